@@ -7,7 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -61,11 +61,11 @@ def fingerprints(docs: DataFrame, width: int, doc_id: str, text: str) -> DataFra
 
 
 def _variants(fps: DataFrame) -> DataFrame:
-    """64 keys a fingerprint: either half with one bit left out. ``bit`` is the bit left out."""
+    """64 keys a fingerprint: the number of the bit left out, then the half that it is in without it."""
     half = F.expr("shiftright(fp, if(at < 32, 0, 32))").bitwiseAND(F.lit((1 << HALF) - 1))
     bit = F.expr("shiftright(fp, at)").bitwiseAND(F.lit(1))
     kept = half - bit * F.expr("shiftleft(1L, at % 32)")
-    return fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(BITS - 1))).alias("at")).select("fp", bit.alias("bit"), (F.col("at").cast("long") * F.lit(1 << HALF) + kept).alias("key"))
+    return fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(BITS - 1))).alias("at")).select("fp", (F.col("at").cast("long") * F.lit(1 << HALF) + kept).alias("key"))
 
 
 def _ball(fps: DataFrame, radius: int) -> DataFrame:
@@ -86,20 +86,19 @@ def links(fps: DataFrame, max_bits: int, scratch: Scratch) -> DataFrame:
     """
     if not 0 <= max_bits <= 3:
         raise ValueError("two halves settle up to 3 differing bits")
-    keys = _variants(fps)
-    sizes = scratch.save(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("n > 1"), "buckets")
-    close = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= max_bits
-    pairs = sizes.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).where(close("a", "b"))
-    members = scratch.save(keys.join(sizes.where("n > 2").select("key", "n"), "key"), "members")
+    met = Window.partitionBy("key")
+    members = scratch.save(_variants(fps).withColumn("n", F.count("*").over(met)).where("n > 1"), "members")
     few = members.where(F.col("n") <= PAIRED)
-    one, two = few.select("key", F.col("fp").alias("a"), F.col("bit").alias("x")), few.select("key", F.col("fp").alias("b"), F.col("bit").alias("y"))
+    bit = lambda name: F.expr(f"shiftright({name}, cast(shiftright(key, {HALF}) as int))").bitwiseAND(F.lit(1))
+    one, two = few.select("key", F.col("fp").alias("a")), few.select("key", F.col("fp").alias("b"))
     first_bit = F.pmod(F.shiftright("key", HALF), F.lit(HALF)) == 0
-    within = one.join(two, "key").where((F.col("a") < F.col("b")) & ((F.col("x") != F.col("y")) | first_bit) & close("a", "b")).select("a", "b")
+    close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
+    within = one.join(two, "key").where((F.col("a") < F.col("b")) & ((bit("a") != bit("b")) | first_bit) & close).select("a", "b")
     many = members.where(F.col("n") > PAIRED).select("fp").distinct()
     near = max_bits // 2
     centres = _ball(many, near).groupBy("v").agg(F.min("fp").alias("b"))
     across = _ball(many, max_bits - near).join(centres, "v").select(F.col("fp").alias("a"), "b")
-    return pairs.unionByName(within).unionByName(across).where("a <> b").distinct()
+    return within.unionByName(across).where("a <> b").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
