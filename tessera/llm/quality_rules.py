@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import held_out
+from .scratch import labelled_sample
 
 #: Bounds of the learning sample (rows of each label, smallest hash of the id first) and of the list.
 ROWS_PER_LABEL, MAX_RULES, MAX_CONDITIONS, CUTS = 1500, 8, 3, 16
@@ -165,13 +165,11 @@ def list_expression(rules: list[Rule], measure: dict[str, Column]) -> Column:
 
 def learn_from(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> list[Rule]:
     """Learns the list from a bounded sample of labelled documents that aren't held out."""
-    marked = labels.where(F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").alias("label")).where(~held_out(F.col("_id")))
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(marked, "_id")
-    draw = lambda value: rows.where(F.col("label") == value).orderBy(F.xxhash64("_id"), "_text").limit(ROWS_PER_LABEL)
+    sample = labelled_sample(docs, labels, "quality", (ROWS_PER_LABEL, ROWS_PER_LABEL), doc_id, text).withColumnRenamed("_label", "label")
     prune = (F.pmod(F.xxhash64("_id", F.lit(3)), F.lit(3)) == 0).alias("prune")
     named = measures()
-    drawn = with_statistics(draw(0).unionByName(draw(1)), "_text").select("label", prune, *[c.alias(n) for n, c in named.items()])
-    return learn_list([r.asDict() for r in drawn.collect()], list(named))
+    drawn = with_statistics(sample, "_text").select("label", prune, *[c.alias(n) for n, c in named.items()])
+    return learn_list([r.asDict() for r in drawn.orderBy(*drawn.columns).collect()], list(named))
 
 
 def judge_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

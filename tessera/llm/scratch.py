@@ -64,6 +64,21 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: tuple[int, int], doc_id: str, text: str, extra: Column | None = None) -> DataFrame:
+    """_id, _text, _label of at most ``rows`` ids of label 0 and of label 1 that aren't held out.
+
+    The ids with the smallest hashes are drawn from the labels alone, so at most sum(rows) of them are
+    broadcast to the documents and no text is dealt out. An id with both labels counts as label 1; null ids,
+    labels and texts aren't drawn; of several texts of an id the smallest is taken.
+    """
+    marked = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max(label).alias("_label")).where(~held_out(F.col("_id")))
+    draw = lambda value: marked.where(F.col("_label") == value).orderBy(F.xxhash64("_id"), "_id").limit(rows[value])
+    drawn = draw(0).unionByName(draw(1))
+    found = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).where(F.col("_text").isNotNull())
+    found = found if extra is None else found.where(extra)
+    return found.join(F.broadcast(drawn), "_id").groupBy("_id", "_label").agg(F.min("_text").alias("_text"))
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` doesn't have, compared without case."""
     taken, name = {c.lower() for c in df.columns}, stem

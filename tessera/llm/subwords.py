@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import held_out, small_batches
+from .scratch import held_out, labelled_sample, small_batches
 
 #: The bucket of a word that came before.
 AGAIN = 0
@@ -158,13 +158,8 @@ def fit(texts: list[str], labels: list[int], s: Settings) -> Model:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, s: Settings, doc_id: str = "doc_id", text: str = "text") -> tuple[list[str], list[int]]:
-    """At most ``rows_per_label`` texts of either label, never of held-out ids.
-
-    Ids with two labels count as their larger one; null ids, labels and texts aren't used.
-    """
-    marked = labels.where(F.col(label).isin(0, 1)).groupBy(F.col("doc_id").alias("_id")).agg(F.max(label).alias("_label")).where(~held_out(F.col("_id")))
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).where(F.col("_text").isNotNull() & (F.length("_text") <= s.train_chars)).join(marked, "_id")
-    drawn = [r for value in (0, 1) for r in rows.where(F.col("_label") == value).orderBy(F.xxhash64("_id"), "_text").limit(s.rows_per_label[value]).collect()]
+    """At most ``rows_per_label`` texts of either label, never of held-out ids, in the order of their ids' hashes."""
+    drawn = labelled_sample(docs, labels, label, s.rows_per_label, doc_id, text, F.length("_text") <= s.train_chars).orderBy(F.xxhash64("_id"), "_id").collect()
     return [r["_text"] for r in drawn], [int(r["_label"]) for r in drawn]
 
 
