@@ -18,7 +18,7 @@ CHUNK, OVERLAP = 1 << 15, 1 << 10
 #: Characters before a cut's end whose words may still change: longer than any special token's string.
 MARGIN = 64
 #: Entries that a worker remembers before it starts anew.
-MEMO = 300_000
+MEMO = 500_000
 
 _TWO_SPACES = re.compile(r"\s\s")
 _BEFORE_WORD = re.compile(r"(?= \S)")
@@ -36,23 +36,64 @@ class Memo(dict):
     """What the library says of a piece of text between two spaces, asked once for each piece.
 
     A lone space is a word boundary for these tokenizers whatever surrounds it, so pieces can be encoded
-    apart. ``value`` turns a piece's ids into what is kept of them.
+    apart. ``value`` turns a piece's ids into what is kept of them; ``plain``, if given, encodes pieces of
+    Latin text faster.
     """
 
-    def __init__(self, tokenizer, value):
+    def __init__(self, tokenizer, value, plain=None):
         super().__init__()
-        self.tokenizer, self.value = tokenizer, value
+        self.tokenizer, self.value, self.plain = tokenizer, value, plain
 
     def of(self, pieces: list[str]) -> Iterator:
-        new = [p for p in dict.fromkeys(pieces) if p not in self]
+        new = {p for p in pieces if p not in self}
         if len(self) + len(new) > MEMO:
             self.clear()
-            new = list(dict.fromkeys(pieces))
+            new = set(pieces)
+        if self.plain:
+            for piece in new:
+                if is_plain(piece):
+                    self[piece] = self.value(self.plain(piece))
+            new = [p for p in new if p not in self]
+        new = list(new)
         for piece, encoded in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
             self[piece] = self.value(encoded.ids)
         return map(self.__getitem__, pieces)
 
 
+def is_plain(piece: str) -> bool:
+    """ASCII, or a word of Latin letters and ASCII punctuation, without a special token's brackets: text whose
+    character classes no two implementations see differently."""
+    if "<|" in piece:
+        return False
+    return piece.isascii() or (max(piece) < "\u0250" and piece.strip(" .,;:!?'").isalpha())
+
+
+def plain_encoder(path: str):
+    """The same byte-level vocabulary in tiktoken, which encodes a short piece in a quarter of the time.
+
+    None where the file's ids aren't in the order of its merges, as tiktoken ranks merges by id.
+    """
+    import json
+
+    import tiktoken
+
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)
+    if model["pre_tokenizer"]["type"] != "ByteLevel" or model["normalizer"] is not None:
+        return None
+    # Fixed value: the usual map of bytes to printable characters; the rest follow from 256 on.
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte_of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
+    special = {t["content"] for t in model["added_tokens"]}
+    ranks = {bytes(byte_of[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
+    merged = [model["model"]["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["model"]["merges"]]
+    if merged != sorted(merged) or (merged and merged[0] < 256):
+        return None
+    # Fixed value: how a byte-level tokenizer of this kind cuts words.
+    words = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    return tiktoken.Encoding("plain", pat_str=words, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 def pieces_dropping_space(text: str) -> list[str]:
     """For tokenizers that drop white space: any space separates."""
     return text.split(" ")
@@ -155,4 +196,4 @@ def ids_memo(path: str) -> Memo:
             a.byteswap()
         return a.tobytes()
 
-    return Memo(load_tokenizer(path), packed)
+    return Memo(load_tokenizer(path), packed, plain_encoder(path))
