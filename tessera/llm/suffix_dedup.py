@@ -322,9 +322,11 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (kh, u, np.concatenate(rows), p1, a, p2)], ["kh", "u", "rk", "p1", "a", "p2"])
 
     runs = scratch.save(texts.where(F.octet_length("text") >= length).mapInArrow(scan, "kh long, u long, rk long, p1 long, a long, p2 long").withColumns({c: F.col(c).cast("int") for c in ("p1", "a", "p2")}), "runs")
-    again = runs.groupBy("kh").agg(F.count("*").alias("n")).where("n > 1").select("kh")
+    # Written before it is joined, so that the join has plain exchanges on both sides and a hot gram can be split.
+    again = scratch.save(runs.groupBy("kh").agg(F.count("*").alias("n")).where("n > 1").select("kh"), "again")
+    scratch.free_shuffles()
     shared = scratch.save(runs.join(again, "kh"), "shared")
-    scratch.drop("runs")
+    scratch.drop("runs", "again")
     scratch.free_shuffles()
     bodies = shared.groupBy("kh", "u").agg(F.count("*").alias("n"), F.min(F.struct("rk", "p1")).alias("one"))
     kinds = bodies.groupBy("kh").agg(F.count("*").alias("kinds"))
