@@ -32,9 +32,14 @@ def register(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str)
     ORACLES[name] = sql
 
 
-def on_triples(name: str, run: Callable[[DataFrame], DataFrame], sql: str, predicates: list[str] | None = None, tables: list[str] | None = None) -> None:
-    """``sql`` goes on after a WITH clause in which ``t`` has the triples."""
-    register(name, lambda spark, d: run(lift(spark, d, predicates, tables)), f"WITH RECURSIVE t AS MATERIALIZED ({lift_sql(predicates, tables)}){sql}")
+def on_triples(name: str, run: Callable[[DataFrame], DataFrame], sql: str, predicates: list[str] | None = None, tables: list[str] | None = None, shared: bool = False) -> None:
+    """``sql`` goes on after a WITH clause in which ``t`` has the triples.
+
+    Operators that look at the graph from many sides (``shared``, and all that need entities) get it written
+    once; others read only the tables and columns behind their predicates.
+    """
+    once = shared or sql.startswith(C1)
+    register(name, lambda spark, d: run(closure.materialize(lift(spark, d, predicates, tables)) if once else lift(spark, d, predicates, tables)), f"WITH RECURSIVE t AS MATERIALIZED ({lift_sql(predicates, tables)}){sql}")
 
 
 def _q(curie: str) -> str:
@@ -207,13 +212,13 @@ def _sides(t: DataFrame) -> DataFrame:
     return axioms.domains_and_ranges(t, axioms.typed_properties(t))
 
 
-on_triples("g5_defaults", lambda t: _sides(t).where("source = 'default'"), _SIDES_OWL.replace("FROM t ", "FROM (SELECT * FROM t WHERE s_kind = 'iri') t ") + " SELECT * FROM sides WHERE source = 'default'", _SIDE_PREDICATES, PARTS)
-on_triples("g6_inheritance", lambda t: _sides(t).where("source <> 'default'"), _SIDES_OWL.replace("FROM t ", "FROM (SELECT * FROM t WHERE s_kind = 'iri') t ") + " SELECT * FROM sides WHERE source <> 'default'", _SIDE_PREDICATES, PARTS)
+on_triples("g5_defaults", lambda t: _sides(t).where("source = 'default'"), _SIDES_OWL.replace("FROM t ", "FROM (SELECT * FROM t WHERE s_kind = 'iri') t ") + " SELECT * FROM sides WHERE source = 'default'", _SIDE_PREDICATES, PARTS, shared=True)
+on_triples("g6_inheritance", lambda t: _sides(t).where("source <> 'default'"), _SIDES_OWL.replace("FROM t ", "FROM (SELECT * FROM t WHERE s_kind = 'iri') t ") + " SELECT * FROM sides WHERE source <> 'default'", _SIDE_PREDICATES, PARTS, shared=True)
 on_triples("g7_rdfs_defaults", lambda t: axioms.domains_and_ranges(t.where("s_kind = 'iri'"), patterns.match(t, p="rdf:type", o="rdf:Property").select(F.col("s").alias("id"), F.lit("Property").alias("cls")), "rdf"), _SIDES_SQL.replace("FROM t ", "FROM (SELECT * FROM t WHERE s_kind = 'iri') t ") + f"""
 gp AS (SELECT DISTINCT s AS id FROM t WHERE p = {_q('rdf:type')} AND o = {_q('rdf:Property')}),
 need AS (SELECT id, side FROM gp, (VALUES ('domain'), ('range')) v(side) WHERE (id, side) NOT IN (SELECT (id, side) FROM decl))
 SELECT d.id AS prop, side, value, 'declared' AS source FROM decl d JOIN gp ON gp.id = d.id
-UNION ALL SELECT n.id, n.side, coalesce(value, CASE n.side WHEN 'domain' THEN {_q('rdfs:Resource')} ELSE {_q('rdfs:Class')} END), CASE WHEN value IS NULL THEN 'default' ELSE 'ancestor' END FROM need n LEFT JOIN upa a ON (a.id, a.side) = (n.id, n.side)""", _SIDE_PREDICATES, PARTS)
+UNION ALL SELECT n.id, n.side, coalesce(value, CASE n.side WHEN 'domain' THEN {_q('rdfs:Resource')} ELSE {_q('rdfs:Class')} END), CASE WHEN value IS NULL THEN 'default' ELSE 'ancestor' END FROM need n LEFT JOIN upa a ON (a.id, a.side) = (n.id, n.side)""", _SIDE_PREDICATES, PARTS, shared=True)
 on_triples("g5_default_types", lambda t: axioms.default_types(t, patterns.match(t, p="rdf:type", o="owl:NamedIndividual").select(F.col("s").alias("id"))), f" SELECT DISTINCT s AS id, {_q('owl:Thing')} AS type FROM t WHERE p = {_q('rdf:type')} AND o = {_q('owl:NamedIndividual')} AND s NOT IN (SELECT s FROM t WHERE p = {_q('rdf:type')} AND NOT ({_STRUCTURAL}))", ["rdf:type"])
 on_triples("g9_ancestors", lambda t: closure.closure(patterns.match(t, p="rdfs:subClassOf").where("o_kind = 'iri'").select(F.col("s").alias("a"), F.col("o").alias("b"))).select(F.col("a").alias("node"), F.col("b").alias("ancestor"), "depth"), _reach("rdfs:subClassOf").replace("AND s <> o", "AND s <> o AND o_kind = 'iri'") + " SELECT a AS node, b AS ancestor, depth FROM reach", ["rdfs:subClassOf"])
 on_triples("g9_descendants", lambda t: closure.closure(patterns.match(t, p="rdfs:subPropertyOf").select(F.col("s").alias("a"), F.col("o").alias("b"))).groupBy(F.col("b").alias("node")).agg(F.count("*").alias("n"), F.max("depth").alias("height")), _reach("rdfs:subPropertyOf") + " SELECT b AS node, count(*) AS n, max(depth) AS height FROM reach GROUP BY b", ["rdfs:subPropertyOf"])
@@ -234,7 +239,7 @@ stmts AS (
     AND NOT (({' OR '.join(f"starts_with(s, '{x}')" for x in R.namespaces('owl'))}) AND s NOT IN (SELECT s FROM t WHERE p = {_q('rdf:type')}))
   EXCEPT SELECT * FROM used)"""
 on_triples("s1_statements", lambda t: statements.statements(t, classify.entities(t)), ENTITIES + _CONSUMED + " SELECT s, p, o, o_lang FROM stmts", tables=["part", "nation"])
-on_triples("s6_nested_statements", lambda t: statements.nested_statements(t, classify.entities(t)), ENTITIES + _CONSUMED + " SELECT s AS id, arg_min(p, (p, o)) AS predicate, arg_min(o, (p, o)) AS object, count(*) - 1 AS n_sides FROM t WHERE s IN (SELECT s FROM structured) GROUP BY s", tables=PARTS)
+on_triples("s6_nested_statements", lambda t: statements.nested_statements(t, classify.entities(t)), ENTITIES + _CONSUMED + " SELECT s AS id, arg_min(p, (p, o)) AS predicate, arg_min(o, (p, o)) AS object, count(*) - 1 AS n_sides FROM t WHERE s IN (SELECT s FROM structured) AND p NOT IN " + _in(*STRUCTURAL_PREDICATES, "rdf:type", *FACETS) + f" AND NOT (p = {_q('owl:inverseOf')} AND s IN (SELECT o FROM t WHERE p = {_q('owl:onProperty')})) GROUP BY s", tables=PARTS)
 _BNODES = """, nodes AS (SELECT s AS root, o AS node FROM t WHERE s_kind = 'iri' AND o_kind = 'bnode' UNION SELECT n.root, t.o FROM nodes n JOIN t ON t.s = n.node AND t.o_kind = 'bnode'),
 inner_ AS (SELECT DISTINCT root, s, p, o FROM nodes JOIN t ON s = node)"""
 on_triples("s8_bnode_closure", statements.bnode_closure, _BNODES + " SELECT * FROM inner_", tables=PARTS)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..vocab import iri
-from .closure import closure, nearest
+from .closure import closure
 from .patterns import match
 from .populate import list_values, symmetric
 
@@ -44,9 +44,12 @@ def domains_and_ranges(triples: DataFrame, properties: DataFrame, dialect: str =
     reach = closure(match(triples, p="rdfs:subPropertyOf").select(F.col("s").alias("a"), F.col("o").alias("b")))
     own = declared.groupBy("id", "side").agg(F.min("value").alias("value"))
     above = own.unionByName(by_inverse.drop("source").join(own.select("id", "side"), ["id", "side"], "left_anti"))
-    up = lambda marked: [nearest(reach, marked.where(F.col("side") == s).select("id", "value"), "value").select("id", F.lit(s).alias("side"), "value", F.lit("ancestor").alias("source")) for s in ("domain", "range")]
-    for_relations = by_inverse.unionByName(up(above)[0]).unionByName(up(above)[1]) if dialect == "owl" else up(own)[0].unionByName(up(own)[1])
-    for_attributes = up(own)[0].unionByName(up(own)[1])
+    def up(marked: DataFrame) -> DataFrame:
+        found = reach.join(marked, reach["b"] == marked["id"]).groupBy(F.col("a").alias("id"), "side").agg(F.min(F.struct("depth", "value")).alias("m"))
+        return found.select("id", "side", F.col("m.value").alias("value"), F.lit("ancestor").alias("source"))
+
+    for_attributes = up(own)
+    for_relations = by_inverse.unionByName(up(above)) if dialect == "owl" else for_attributes
     relation = properties.where("cls <> 'Attribute'").select("id")
     attribute = properties.where("cls = 'Attribute'").select("id")
     found = for_relations.join(relation, "id", "left_semi").unionByName(for_attributes.join(attribute, "id", "left_semi"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import namespace_of
 from ..rules import lattice_frame, namespaces, predicate_frame, type_frame
-from ..vocab import STRUCTURAL_PREDICATES, iri
+from ..vocab import FACETS, STRUCTURAL_PREDICATES, iri
 from .classify import dominant
 from .closure import closure
 from .patterns import match
@@ -58,9 +58,14 @@ def statements(triples: DataFrame, found: DataFrame, dialect: str = "owl") -> Da
 
 
 def nested_statements(triples: DataFrame, found: DataFrame, dialect: str = "owl") -> DataFrame:
-    """id, predicate, object, n_sides: the smallest pair of a structured node fills the slots, the rest annotates."""
+    """id, predicate, object, n_sides: the smallest pair of a structured node fills the slots, the rest annotates.
+
+    Types, list and member links don't count, nor do facets and inline inverses, which restrictions consume.
+    """
     nodes = structured_nodes(triples, found, dialect)
-    own = triples.join(nodes.select(F.col("id").alias("s")), "s", "left_semi")
+    inline = match(triples, p="owl:onProperty").select(F.col("o").alias("s"), F.lit(iri("owl:inverseOf")).alias("p")).distinct()
+    left = triples.where(~F.col("p").isin([iri(p) for p in [*STRUCTURAL_PREDICATES, "rdf:type", *FACETS]])).join(inline, ["s", "p"], "left_anti")
+    own = left.join(nodes.select(F.col("id").alias("s")), "s", "left_semi")
     return own.groupBy(F.col("s").alias("id")).agg(F.min(F.struct("p", "o")).alias("m"), (F.count("*") - 1).alias("n_sides")).select("id", F.col("m.p").alias("predicate"), F.col("m.o").alias("object"), "n_sides")
 
 
