@@ -12,6 +12,7 @@ from .functions import text as X
 from .lift import lift, lift_sql
 from .operators import axioms, classify, closure, patterns, populate, quality, statements
 from .plans import views
+from .sinks import serialize
 from .sources import imports, spool, validate
 from .vocab import BUILTIN_DATATYPES, FACETS, PREFIXES, STRUCTURAL_PREDICATES, iri
 
@@ -311,6 +312,11 @@ e AS (SELECT DISTINCT s AS child, o AS parent FROM t WHERE p = {_q('rdfs:subClas
 tree AS (SELECT id AS node, [id] AS way FROM n WHERE id NOT IN (SELECT child FROM e) UNION ALL SELECT child, list_append(way, child) FROM tree JOIN e ON parent = node WHERE NOT list_contains(way, child))
 SELECT node, array_to_string(list_transform(way, lambda x: {_SHORT.format('x')}), '/') AS path, CAST(len(way) - 1 AS BIGINT) AS depth FROM tree""", ["rdf:type", "rdfs:subClassOf"])
 
+on_triples("v8_language_values", lambda t: views.in_language(populate.literals(t), "en").groupBy("attr", "lang").agg(F.count("*").alias("n")), f" SELECT CASE p WHEN {_q('rdfs:label')} THEN 'has_label' ELSE 'has_comment' END AS attr, o_lang AS lang, count(DISTINCT (s, o)) AS n FROM t WHERE o_kind = 'literal' AND p IN {_in('rdfs:label', 'rdfs:comment')} AND (o_lang = '' OR starts_with(lower(o_lang), 'en')) GROUP BY 1, 2", ["rdfs:label", "rdfs:comment"])
+on_triples("v19_literal_pick", lambda t: views.literal_pick(t.select(F.col("s").alias("id"), F.lit("has_preferred_label").alias("attr"), F.col("o").alias("v"), F.col("o_lang").alias("lang")), "de"), " SELECT s AS id, 'has_preferred_label' AS attr, arg_min(o, (lower(o_lang) <> 'de', o_lang, o)) AS v FROM t GROUP BY s", ["skos:prefLabel"])
+on_triples("v21_link_anchors", lambda t: views.link_anchors(classify.created_from_types(t).select(F.col("id").alias("uri"), "cls", X.anchor(F.col("id"), F.col("cls")).alias("anchor_id"))), _rules_sql() + f", m AS (SELECT DISTINCT s AS id, cls FROM t JOIN tr ON t.o = tr.o WHERE p = {_q('rdf:type')}), e AS (SELECT id, cls FROM m UNION ALL SELECT DISTINCT s, 'Individual' FROM t WHERE p = {_q('rdf:type')} AND s_kind = 'iri' AND s NOT IN (SELECT id FROM m)) SELECT id AS uri, 'id_' || md5(id) || '_' || min(cls) AS anchor_id FROM e GROUP BY id", ["rdf:type"], PARTS)
+on_triples("k3_ntriples", serialize.nt_lines, r""" SELECT CASE s_kind WHEN 'bnode' THEN s ELSE '<' || s || '>' END || ' <' || p || '> ' || CASE o_kind WHEN 'bnode' THEN o WHEN 'iri' THEN '<' || o || '>' ELSE '"' || replace(replace(replace(replace(replace(o, '\', '\\'), '"', '\"'), chr(10), '\n'), chr(13), '\r'), chr(9), '\t') || '"' || CASE WHEN o_lang <> '' THEN '@' || o_lang ELSE '' END END || ' .' AS value FROM t""", ["rdfs:label", "rdfs:comment", "owl:hasValue", "owl:onProperty", "skos:prefLabel"])
+
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/pages.parquet")
@@ -323,6 +329,8 @@ register("v13_likely_ontology", lambda s, d: _pages(s, d).select("page_id", "url
 
 register("val1_size", lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", (F.octet_length("text") <= 4096).alias("fits")), "SELECT doc_id, strlen(text) <= 4096 AS fits FROM documents")
 register("val2_extension", lambda s, d: _pages(s, d).select("page_id", validate.extension_verdict(F.col("url")).alias("verdict")), f"SELECT page_id, CASE WHEN coalesce(url, '') = '' THEN 'missing' WHEN lower(regexp_extract(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/]*', ''), '[^/](\\.[^./]*)$', 1)) IN {tuple(validate.SUFFIXES)} THEN 'ok' ELSE 'extension' END AS verdict FROM pages")
+_ADDRESS = "CAST(c_custkey % 256 AS STRING) || '.' || CAST(c_nationkey * 11 % 256 AS STRING) || '.0.' || CAST(c_custkey % 7 AS STRING)"
+register("val3_address", lambda s, d: s.read.parquet(f"{d}/customer.parquet").select("c_custkey", F.expr(_ADDRESS).alias("ip")).withColumn("blocked", validate.private_v4(F.col("ip"))), f"WITH x AS (SELECT c_custkey, {_ADDRESS} AS ip, c_custkey % 256 AS a, c_nationkey * 11 % 256 AS b FROM customer) SELECT c_custkey, ip, a IN (0, 10, 127) OR a >= 224 OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 169 AND b = 254) AS blocked FROM x")
 register("val4_url", lambda s, d: _pages(s, d).select("page_id", validate.url_verdict(F.col("url")).alias("verdict")), r"""WITH x AS (SELECT page_id, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS scheme, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host FROM pages),
 y AS (SELECT *, regexp_full_match(host, '\d{1,3}(\.\d{1,3}){3}') AS dotted, TRY_CAST(split_part(host, '.', 1) AS INT) AS a, TRY_CAST(split_part(host, '.', 2) AS INT) AS b FROM x)
 SELECT page_id, CASE WHEN scheme NOT IN ('http', 'https') THEN 'scheme' WHEN host = '' THEN 'host' WHEN dotted AND (a IN (0, 10, 127) OR a >= 224 OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 169 AND b = 254)) THEN 'address' ELSE 'ok' END AS verdict FROM y""")

@@ -36,6 +36,17 @@ def in_language(values: DataFrame, language: str | None) -> DataFrame:
     return values if language is None else values.where((F.col("lang") == "") | F.lower("lang").startswith(language.lower()))
 
 
+def literal_pick(values: DataFrame, language: str) -> DataFrame:
+    """id, attr, v: a value in exactly the language, else the first by tag and value."""
+    best = F.min(F.struct((F.lower("lang") != language.lower()).alias("other"), "lang", "v"))
+    return values.groupBy("id", "attr").agg(best.alias("m")).select("id", "attr", F.col("m.v").alias("v"))
+
+
+def link_anchors(cards: DataFrame) -> DataFrame:
+    """uri, anchor_id: where a link to a resource goes, the card of its first class by name."""
+    return cards.groupBy("uri").agg(F.min(F.struct("cls", "anchor_id")).alias("m")).select("uri", "m.anchor_id")
+
+
 def section_counts(found: DataFrame, dialect: str = "owl") -> DataFrame:
     """section, n in the order of the dialect's table of contents; empty sections are left out."""
     return found.where(F.col("cls").isin(SECTIONS[dialect])).groupBy(F.col("cls").alias("section")).agg(F.count("*").alias("n"))

@@ -2,13 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Lifetime in seconds and budget in bytes.
 TTL, BUDGET = 4 * 3600, 1 << 30
 
 
+def cached(spark: SparkSession, root: str, token: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The frame kept under ``token`` in the spool folder ``root``; it is made and written the first time."""
+    path = f"{root.rstrip('/')}/{token}"
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        make().write.mode("ignore").parquet(path)
+        return spark.read.parquet(path)
+
+
+def listing(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """name, size, mtime (in seconds) of the spool's files, without their contents."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
+    return files.select(F.col("path").alias("name"), F.col("length").alias("size"), F.unix_seconds("modificationTime").alias("mtime"))
+
+
 def kept(files: DataFrame, now: int, ttl: int = TTL, budget: int = BUDGET, by: str | None = None) -> DataFrame:
     """Files (name, size, mtime) that stay: young enough, and newest first within the budget.
 
