@@ -17,8 +17,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles) the document with the smallest id stays."""
-    groups = simhash.near_duplicates(docs, width=5, max_bits=3)
+    """Of each group of near-duplicates the document with the smallest id stays.
+
+    Fingerprints are those of the operator's query (three-word shingles), so what it links is linked here; one
+    more bit may differ, which two halves settle as well.
+    """
+    groups = simhash.near_duplicates(docs, width=3, max_bits=3)
     id_ = free_name(docs, "keep_id")
     keep = groups.where("component_id is null or doc_id = component_id").select(F.col("doc_id").alias(id_)).distinct()
     kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep[id_]), "left_semi")
