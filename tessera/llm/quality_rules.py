@@ -22,34 +22,38 @@ ROWS_PER_LABEL, MAX_RULES, MAX_CONDITIONS, CUTS = 1500, 8, 3, 16
 #: Least share of low-quality rows among those a rule covers, on the rows that pruned it, and least rows covered.
 PRECISION, SUPPORT = 0.9, 5
 
-SPACE = " \t\n\x0b\f\r"
 SPACES = r"[\x20\x09-\x0D]+"
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def _repeat_words(words: Column) -> Column:
-    """Words inside 3-word windows that the text has twice or more.
+def _tail(array: Column, start: int = 2) -> Column:
+    """The array without what comes before ``start``; Spark's slice needs a positive length."""
+    return F.slice(array, start, F.greatest(F.size(array), F.lit(1)))
 
-    Windows are hashed and sorted with their places; equal neighbours are repeats. The sort with places
-    runs only where sorting the bare hashes has shown a repeat, as most texts have none.
-    """
-    windows = F.zip_with(F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), F.slice(words, 3, F.greatest(F.size(words), F.lit(1))), lambda ab, c: F.when(c.isNotNull(), F.xxhash64(ab["a"], F.lit(0), ab["b"], F.lit(0), c)))
-    return F.slice(windows, 1, F.greatest(F.size(words) - 2, F.lit(0)))
+
+def _windows(words: Column) -> Column:
+    """A hash of each three consecutive words. The zeros between them keep ``a bc`` from ``ab c``."""
+    pairs = F.zip_with(words, _tail(words), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    hashes = F.zip_with(pairs, _tail(words, 3), lambda ab, c: F.when(c.isNotNull(), F.xxhash64(ab["a"], F.lit(0), ab["b"], F.lit(0), c)))
+    return F.slice(hashes, 1, F.greatest(F.size(words) - 2, F.lit(0)))
 
 
 def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds the statistics of ``text``; null texts have no words, and every statistic of theirs is 0."""
+    """Adds the statistics of ``text``; null texts have no words, and every statistic of theirs is 0.
+
+    Repeated windows are equal neighbours in the sorted order of window hashes. The sort with places runs
+    only where sorting the bare hashes has shown a repeat, as most texts have none.
+    """
     body = F.coalesce(F.col(text), F.lit(""))
     trimmed = F.expr("trim(BOTH ' \\t\\n\\u000b\\f\\r' FROM `_body`)")
     out = docs.withColumn("_body", body).withColumn("_words", F.when(F.length(trimmed) > 0, F.split(trimmed, SPACES)).otherwise(F.array().cast("array<string>")))
-    out = out.withColumn("_windows", _repeat_words(F.col("_words"))).withColumn("_lines", F.filter(F.split("_body", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")))
-    tail = lambda a: F.slice(a, 2, F.greatest(F.size(a), F.lit(1)))
+    out = out.withColumn("_windows", _windows(F.col("_words"))).withColumn("_lines", F.filter(F.split("_body", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")))
     out = out.withColumn("_sorted", F.sort_array("_windows"))
-    repeated = F.exists(F.zip_with("_sorted", tail(F.col("_sorted")), lambda a, b: a == b), lambda same: same)
+    repeated = F.exists(F.zip_with("_sorted", _tail(F.col("_sorted")), lambda a, b: a == b), lambda same: same)
     placed = F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     out = out.withColumn("_placed", F.when(repeated, placed).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
     # A window repeats if the one before or after it in the sorted order is equal.
-    equal_next = F.zip_with("_placed", tail(F.col("_placed")), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
+    equal_next = F.zip_with("_placed", _tail(F.col("_placed")), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
     starts = F.array_distinct(F.flatten(F.filter(equal_next, lambda pair: pair.isNotNull())))
     covered = F.size(F.array_distinct(F.flatten(F.transform(starts, lambda i: F.array(i, i + 1, i + 2)))))
     out = out.withColumns({

@@ -22,9 +22,9 @@ class Trie:
     wins, and between equally long ones the later rule of the list.
     """
 
-    def __init__(self, rules: list[tuple[str, str, str]]):
+    def __init__(self, rules: list[tuple[str, str, str]], first: int = 0):
         self.hosts: dict = {}
-        for order, (verdict, host, path) in enumerate(rules):
+        for order, (verdict, host, path) in enumerate(rules, first):
             node = self.hosts
             for label in reversed(host.lower().split(".")):
                 node = node.setdefault(label, {})
@@ -73,15 +73,15 @@ def url_path(url):
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def _blocks(rules: list[tuple[str, str, str]]) -> Iterator[list[tuple[str, str, str]]]:
-    block, size = [], 0
-    for rule in rules:
+def _blocks(rules: list[tuple[str, str, str]]) -> Iterator[tuple[int, list[tuple[str, str, str]]]]:
+    """Rules in blocks of bounded size, each with the number of its first rule."""
+    first, size = 0, 0
+    for number, rule in enumerate(rules):
         size += sum(map(len, rule))
-        if block and size > MAX_TRIE_BYTES:
-            yield block
-            block, size = [], sum(map(len, rule))
-        block.append(rule)
-    yield block
+        if number > first and size > MAX_TRIE_BYTES:
+            yield first, rules[first:number]
+            first, size = number, sum(map(len, rule))
+    yield first, rules[first:]
 
 
 def _look_up(trie):
@@ -104,10 +104,10 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "
     ``default``. Every row gives one row; an empty table gives none.
     """
     spark: SparkSession = pages.sparkSession
-    base = pages.withColumns({"host": url_host(F.col(url)), "path": url_path(F.col(url))}) if url not in ("host", "path") else pages.withColumn("_url", F.col(url)).withColumns({"host": url_host(F.col("_url")), "path": url_path(F.col("_url"))}).drop("_url")
+    base = pages.withColumns({"host": url_host(F.col(url)), "path": url_path(F.col(url))})
     found = []
-    for block in _blocks(rules):
-        trie = spark.sparkContext.broadcast(Trie(block))
+    for first, block in _blocks(rules):
+        trie = spark.sparkContext.broadcast(Trie(block, first))
 
         found.append(_look_up(trie)("host", "path"))
     hit = "_hit"
