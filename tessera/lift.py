@@ -21,7 +21,6 @@ from .vocab import iri
 EX = "http://ex.org/"
 #: Triples made in one projection: more would pass the size of a compiled method.
 LINES = 16
-COLUMNS = ["s", "s_kind", "p", "o", "o_kind", "o_lang", "o_dt"]
 
 
 class Line(NamedTuple):
