@@ -23,6 +23,8 @@ class Scratch:
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             base = FALLBACK_DIR
         self.root = f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
 

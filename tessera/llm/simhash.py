@@ -117,5 +117,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 2, doc_id:
     merged = rooted.where("root is not null")
     roots = merged.groupBy("root").agg(F.min("least").alias("component_id"))
     named = merged.join(roots, "root").select("fp", "component_id").unionByName(rooted.where("root is null and n > 1").select("fp", F.col("least").alias("component_id")))
-    out = hashed.join(scratch.save(named, "named"), "fp", "left")
+    named = scratch.save(named, "named")
+    scratch.drop("nodes", "members")
+    out = hashed.join(named, "fp", "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"))
