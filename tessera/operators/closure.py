@@ -15,7 +15,10 @@ def materialize(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the shared checkpoint folder, so that loops don't grow their plans."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR)
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(shared or FALLBACK_DIR)
     return df.checkpoint()
 
 

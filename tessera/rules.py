@@ -145,7 +145,7 @@ rdf:List | class | Container | | container
 rdf:Seq | class | Container | | container
 """
 
-#: The dialect that the reference leaves empty, with the evident meaning of the SKOS vocabulary.
+# The same for the SKOS vocabulary.
 SKOS_RULES = """
 skos:Concept | class | Concept
 skos:ConceptScheme | class | Model
