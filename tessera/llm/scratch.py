@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,7 +24,7 @@ class Scratch:
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
-            if not spark.sparkContext.master.startswith("local["):
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             base = FALLBACK_DIR
         self.root = f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
