@@ -20,7 +20,7 @@ from .scratch import labelled_sample
 #: Bounds of the learning sample (rows of each label, smallest hash of the id first) and of the list.
 ROWS_PER_LABEL, MAX_RULES, MAX_CONDITIONS, CUTS = 1500, 8, 3, 16
 #: Least share of low-quality rows among those a rule covers, on the rows that pruned it, and least rows covered.
-PRECISION, SUPPORT = 0.9, 5
+PRECISION, SUPPORT = 0.95, 5
 
 SPACES = r"[\x20\x09-\x0D]+"
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -139,21 +139,35 @@ def _worth(rule: Rule, rows: list[dict]) -> float:
     return (2 * _low(covered) - len(covered)) / len(covered) if covered else -1.0
 
 
+def _tightest(rule: Rule) -> Rule:
+    """The rule with one condition for each measure and sign."""
+    cuts: dict[tuple[str, str], list[float]] = {}
+    for name, sign, cut in rule:
+        cuts.setdefault((name, sign), []).append(cut)
+    return [(name, sign, max(own) if sign == ">=" else min(own)) for (name, sign), own in cuts.items()]
+
+
 def learn_list(rows: list[dict], names: list[str]) -> list[Rule]:
-    """Ordered rules for low quality from rows with ``label`` (0: low), ``prune`` (bool) and the measures."""
-    growing, pruning, rules = [r for r in rows if not r["prune"]], [r for r in rows if r["prune"]], []
+    """Ordered rules for low quality from rows with ``label`` (0: low), ``prune`` (bool) and the measures.
+
+    A rule that doesn't hold on the rows that pruned it is dropped, and the next one starts from another
+    measure; the list ends when no measure is left to start from.
+    """
+    growing, pruning, rules, left = [r for r in rows if not r["prune"]], [r for r in rows if r["prune"]], [], list(names)
     while len(rules) < MAX_RULES and _low(growing):
-        rule = _grow(growing, names)
+        rule = _grow(growing, left)
         if not rule:
             break
+        start = rule[0][0]
         # Conditions go from the end as long as the rule does no worse on rows that didn't grow it.
         while len(rule) > 1 and _worth(rule[:-1], pruning) >= _worth(rule, pruning):
             rule = rule[:-1]
-        seen = _covered(rule, pruning)
-        grown = _covered(rule, growing)
+        grown, seen = _covered(rule, growing), _covered(rule, pruning)
         if len(grown) < SUPPORT or _low(grown) < PRECISION * len(grown) or (seen and _low(seen) < PRECISION * len(seen)):
-            break
-        rules.append(rule)
+            left = [n for n in left if n != start]
+            continue
+        rules.append(_tightest(rule))
+        left = list(names)
         growing, pruning = ([r for r in part if not all(holds(c, r) for c in rule)] for part in (growing, pruning))
     return rules
 
