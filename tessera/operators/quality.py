@@ -108,3 +108,8 @@ def has_warning(warnings: DataFrame, code: str, subject: str | None = None) -> b
     return not (hits if subject is None else hits.where(F.col("subject") == subject)).isEmpty()
 
 
+
+
+def write_warnings(warnings: DataFrame, path: str) -> None:
+    """One JSON object a line: code, subject, message."""
+    warnings.write.mode("overwrite").json(path)

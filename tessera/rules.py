@@ -174,6 +174,10 @@ ENRICHERS = {"owl:AllDisjointClasses": "is_disjoint_with", "owl:AllDifferent": "
 DIALECTS = {"owl": OWL_RULES, "rdf": RDF_RULES, "skos": SKOS_RULES}
 
 
+# What operators know how to do with a predicate or type; ``symmetric``, ``truth`` and ``cardinality`` take an argument.
+HANDLERS = {"rdf_type", "domain", "range", "symmetric", "disjoint_union", "has_key", "facets", "property_chain", "truth", "has_value", "one_of", "cardinality", "on_property", "container", "narrower"}
+
+
 class Rule(NamedTuple):
     ord: int
     name: str
@@ -205,7 +209,7 @@ def is_sub(a: str, b: str) -> bool:
 def rules(dialect: str) -> tuple[Rule, ...]:
     """Base and dialect rules merged by name: a name keeps its base position, the dialect's fields win.
 
-    Raises ValueError for a dialect that isn't registered and KeyError for an unknown entity class.
+    Raises ValueError for a dialect or handler that isn't there and KeyError for an unknown entity class.
     """
     if dialect.lower() not in DIALECTS:
         raise ValueError(f"no dialect {dialect!r}; there are {sorted(DIALECTS)}")
@@ -220,6 +224,8 @@ def rules(dialect: str) -> tuple[Rule, ...]:
         classes = [t.strip() for t in targets.split(",") if t.strip()]
         for c in [*classes, *([inferred] if inferred else [])]:
             PARENTS[c]  # an unknown class is an error in the table
+        if handler and handler.split(":")[0] not in HANDLERS:
+            raise ValueError(f"no handler {handler!r} for {name}")
         out.append(Rule(ord_, iri(name), kind, classes, inferred or None, handler or None, dict(s.strip().split("=") for s in setters.split(",") if s.strip())))
     return tuple(out)
 

@@ -2,19 +2,29 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .validate import ArtefactValidationError
+
 # Lifetime in seconds and budget in bytes.
 TTL, BUDGET = 4 * 3600, 1 << 30
 
 
+def upload_path(root: str, token: str) -> str:
+    """Where an upload is kept; a token is one plain name, so no path leads out of the spool."""
+    if not re.fullmatch(r"[A-Za-z0-9_][A-Za-z0-9_.\-]*", token) or ".." in token:
+        raise ArtefactValidationError("Invalid upload id", token=token)
+    return f"{root.rstrip('/')}/{token}"
+
+
 def cached(spark: SparkSession, root: str, token: str, make: Callable[[], DataFrame]) -> DataFrame:
     """The frame kept under ``token`` in the spool folder ``root``; it is made and written the first time."""
-    path = f"{root.rstrip('/')}/{token}"
+    path = upload_path(root, token)
     try:
         return spark.read.parquet(path)
     except AnalysisException:
