@@ -10,9 +10,10 @@ subword's share of the logit is a number, and a worker remembers the sum of shar
 from __future__ import annotations
 
 import dataclasses
+import functools
 import re
-import zlib
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -24,7 +25,7 @@ from .scratch import held_out, labelled_sample, small_batches
 #: The bucket of a word that came before.
 AGAIN = 0
 #: Words that a worker remembers before it starts anew.
-MEMO = 400_000
+MEMO = 600_000
 
 
 @dataclasses.dataclass(frozen=True)
@@ -55,8 +56,13 @@ class Settings:
 def subword_ids(word: str, s: Settings) -> list[int]:
     """Buckets of the word itself and of the character n-grams of ``<word>``."""
     marked = f"<{word}>"
-    grams = {marked} | {marked[i : i + n] for n in range(s.shortest, s.longest + 1) for i in range(len(marked) - n + 1)}
-    return [zlib.crc32(g.encode("utf-8", "replace")) % s.buckets for g in grams]
+    raw = marked.encode("utf-8", "replace")
+    if len(raw) == len(marked):  # ASCII: a character is a byte
+        grams = {raw[i : i + n] for n in range(s.shortest, min(s.longest, len(raw)) + 1) for i in range(len(raw) - n + 1)}
+    else:
+        grams = {marked[i : i + n].encode("utf-8", "replace") for n in range(s.shortest, min(s.longest, len(marked)) + 1) for i in range(len(marked) - n + 1)}
+    grams.add(raw)
+    return [crc32(g) % s.buckets for g in grams]
 
 
 def words_of(text: str, s: Settings) -> list[str]:
@@ -70,8 +76,14 @@ class Model:
     share: np.ndarray
     bias: float
 
+    @functools.cached_property
+    def shares(self) -> list[float]:
+        """The same as a list, which is faster to look single numbers up in."""
+        return self.share.tolist()
+
     def score(self, texts: pd.Series, memo: dict[str, tuple[float, int]]) -> np.ndarray:
         out = np.empty(len(texts))
+        share = self.shares
         for i, text in enumerate(texts):
             total, n = 0.0, 0
             words = words_of(text, self.settings)
@@ -81,12 +93,12 @@ class Model:
                     if len(memo) >= MEMO:
                         memo.clear()
                     ids = subword_ids(word, self.settings)
-                    known = memo[word] = (float(self.share[ids].sum()), len(ids))
+                    known = memo[word] = (sum([share[k] for k in ids]), len(ids))
                 total += known[0]
                 n += known[1]
             if self.settings.again:
                 repeats = len(words) - len(set(words))
-                total += repeats * float(self.share[AGAIN])
+                total += repeats * share[AGAIN]
                 n += repeats
             out[i] = total / n if n else 0.0
         return 1 / (1 + np.exp(-np.clip(out + self.bias, -30, 30)))
