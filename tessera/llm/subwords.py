@@ -12,6 +12,7 @@ from __future__ import annotations
 import dataclasses
 import functools
 import re
+from array import array
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -106,20 +107,20 @@ class Model:
 
 def _features(texts: list[str], s: Settings) -> list[tuple[np.ndarray, np.ndarray]]:
     """Distinct buckets and their weights, which sum to 1, of each text."""
-    memo: dict[str, list[int]] = {}
+    memo: dict[str, array] = {}  # four bytes a number; lists of ints would take the driver's memory
     out = []
     for text in texts:
-        ids: list[int] = []
+        ids = array("i")
         words = words_of(text, s)
         if s.again:
-            ids += [AGAIN] * (len(words) - len(set(words)))
+            ids.extend([AGAIN] * (len(words) - len(set(words))))
         for word in words:
             found = memo.get(word)
             if found is None:
-                found = memo[word] = subword_ids(word, s)
+                found = memo[word] = array("i", subword_ids(word, s))
             ids += found
-        unique, counts = np.unique(np.array(ids, dtype=np.int64), return_counts=True)
-        out.append((unique, counts / max(1, counts.sum())))
+        unique, counts = np.unique(np.frombuffer(ids, np.intc), return_counts=True)
+        out.append((unique, (counts / max(1, counts.sum())).astype(np.float32)))
     return out
 
 
