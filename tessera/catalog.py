@@ -36,10 +36,10 @@ def register(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str)
 def on_triples(name: str, run: Callable[[DataFrame], DataFrame], sql: str, predicates: list[str] | None = None, tables: list[str] | None = None, shared: bool = False) -> None:
     """``sql`` goes on after a WITH clause in which ``t`` has the triples.
 
-    Operators that look at the graph from many sides (``shared``, and all that need entities) get it written
+    Operators that look at the graph from many sides (``shared``, and all that need entities or lists) get it written
     once; others read only the tables and columns behind their predicates.
     """
-    once = shared or sql.startswith(C1)
+    once = shared or sql.startswith((C1, ITEMS))
     register(name, lambda spark, d: run(closure.materialize(lift(spark, d, predicates, tables)) if once else lift(spark, d, predicates, tables)), f"WITH RECURSIVE t AS MATERIALIZED ({lift_sql(predicates, tables)}){sql}")
 
 
@@ -142,11 +142,10 @@ SELECT g.id AS prop, coalesce(arg_min(cls, (tier, cls)), 'Annotation') AS cls, C
 )
 on_triples("c15_rdf_fallback", lambda t: classify.rdf_fallback(t, classify.created_from_types(t, "rdf").withColumn("id_kind", F.lit("iri"))).groupBy("cls").agg(F.count("*").alias("n")), _rules_sql("rdf") + f""",
 m AS (SELECT DISTINCT s AS id FROM t WHERE p = {_q('rdf:type')} AND (s_kind = 'iri' OR o IN (SELECT o FROM tr))),
-free AS (SELECT id FROM (SELECT p AS id, 1 AS k FROM t UNION SELECT s, 2 FROM t WHERE s_kind = 'iri' UNION SELECT o, 2 FROM t WHERE o_kind = 'iri') WHERE false),
 preds AS (SELECT DISTINCT p AS id FROM t WHERE NOT ({' OR '.join(f"starts_with(p, '{PREFIXES[x]}')" for x in ('rdf', 'rdfs', 'owl', 'skos', 'xsd'))})),
 ends AS (SELECT id FROM (SELECT s AS id FROM t WHERE s_kind = 'iri' UNION SELECT o FROM t WHERE o_kind = 'iri') WHERE NOT ({' OR '.join(f"starts_with(id, '{PREFIXES[x]}')" for x in ('rdf', 'rdfs', 'owl', 'skos', 'xsd'))}))
 SELECT 'Property' AS cls, count(*) AS n FROM preds WHERE id NOT IN (SELECT id FROM m) HAVING count(*) > 0
-UNION ALL SELECT 'Resource', count(*) FROM ends WHERE id NOT IN (SELECT id FROM m) AND id NOT IN (SELECT id FROM preds) HAVING count(*) > 0""")
+UNION ALL SELECT 'Resource', count(*) FROM ends WHERE id NOT IN (SELECT id FROM m) AND id NOT IN (SELECT id FROM preds) HAVING count(*) > 0""", shared=True)
 
 # ------------------------------------------------------------------ population
 
@@ -243,7 +242,7 @@ on_triples("s1_statements", lambda t: statements.statements(t, classify.entities
 on_triples("s6_nested_statements", lambda t: statements.nested_statements(t, classify.entities(t)), ENTITIES + _CONSUMED + " SELECT s AS id, arg_min(p, (p, o)) AS predicate, arg_min(o, (p, o)) AS object, count(*) - 1 AS n_sides FROM t WHERE s IN (SELECT s FROM structured) AND p NOT IN " + _in(*STRUCTURAL_PREDICATES, "rdf:type", *FACETS) + f" AND NOT (p = {_q('owl:inverseOf')} AND s IN (SELECT o FROM t WHERE p = {_q('owl:onProperty')})) GROUP BY s", tables=PARTS)
 _BNODES = """, nodes AS (SELECT s AS root, o AS node FROM t WHERE s_kind = 'iri' AND o_kind = 'bnode' UNION SELECT n.root, t.o FROM nodes n JOIN t ON t.s = n.node AND t.o_kind = 'bnode'),
 inner_ AS (SELECT DISTINCT root, s, p, o FROM nodes JOIN t ON s = node)"""
-on_triples("s8_bnode_closure", statements.bnode_closure, _BNODES + " SELECT * FROM inner_", tables=PARTS)
+on_triples("s8_bnode_closure", statements.bnode_closure, _BNODES + " SELECT * FROM inner_", tables=PARTS, shared=True)
 on_triples("s7_provenance", lambda t: statements.provenance(t, populate.list_values(t, closure.list_items(t), "owl:members", "owl:distinctMembers")).groupBy("root").agg(F.count("*").alias("n"), F.min("s").alias("first")), ITEMS + _BNODES + f""", parts AS (
   SELECT s AS root, s, p, o FROM t WHERE s_kind = 'iri' UNION SELECT * FROM inner_
   UNION SELECT item, y.s, y.p, y.o FROM t x JOIN items ON head = x.o JOIN t y ON y.s = x.s WHERE x.p IN {_in('owl:members', 'owl:distinctMembers')})

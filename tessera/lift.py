@@ -20,7 +20,7 @@ from .vocab import iri
 
 EX = "http://ex.org/"
 #: Triples made in one projection: more would pass the size of a compiled method.
-LINES = 16
+LINES = 8
 
 
 class Line(NamedTuple):
