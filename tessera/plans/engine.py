@@ -59,8 +59,11 @@ class Ontology:
 
     @cached_property
     def entities(self) -> DataFrame:
-        """id, id_kind, cls, with generic properties replaced by what they turn out to be."""
-        found = materialize(classify.entities(self.triples, self.dialect))
+        """id, id_kind, cls: nodes classified by predicates and types, then the values they refer to, with generic
+        properties replaced by what they turn out to be."""
+        first = materialize(classify.entities(self.triples, self.dialect))
+        asked = materialize(classify.population_requests(self.triples, first, self.lists, self.dialect))
+        found = materialize(classify.entities(self.triples, self.dialect, asked))
         if self.dialect != "owl":
             return found
         typed = classify.property_types(self.triples, found)
