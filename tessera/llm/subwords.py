@@ -2,7 +2,7 @@
 
 A token is the sum of the vectors of its word and of its character n-grams; a document is the mean over all
 its subwords; the label is a softmax of that mean. Vectors and softmax weights are trained together by
-stochastic gradient descent in numpy on a bounded sample of labelled rows. Misspelt or unseen words share
+stochastic gradient descent in numpy on a bounded sample of labelled rows, in one task. Misspelt or unseen words share
 n-gram vectors with words that were seen. As the model is linear once the vectors are learned, each
 subword's share of the logit is a number, and a worker remembers the sum of shares of each word it met.
 """
@@ -18,6 +18,7 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -170,10 +171,22 @@ def fit(texts: list[str], labels: list[int], s: Settings) -> Model:
     return Model(s, vectors @ (weights[:, 1] - weights[:, 0]), float(bias[1] - bias[0]))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, s: Settings, doc_id: str = "doc_id", text: str = "text") -> tuple[list[str], list[int]]:
-    """At most ``rows_per_label`` texts of either label, never of held-out ids, in the order of their ids' hashes."""
-    drawn = labelled_sample(docs, labels, label, s.rows_per_label, doc_id, text, F.length("_text") <= s.train_chars).orderBy(F.xxhash64("_id"), "_id").collect()
-    return [r["_text"] for r in drawn], [int(r["_label"]) for r in drawn]
+def train(docs: DataFrame, labels: DataFrame, label: str, s: Settings, doc_id: str = "doc_id", text: str = "text") -> Model:
+    """Trains on at most ``rows_per_label`` texts of either label, never of held-out ids.
+
+    The bounded sample is trained on in one task of an executor; the driver sees the model alone.
+    """
+    small_batches(docs.sparkSession)
+    sample = labelled_sample(docs, labels, label, s.rows_per_label, doc_id, text, F.length("_text") <= s.train_chars)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((crc32(t.encode("utf-8", "replace")), y, t) for b in batches for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        if rows:
+            model = fit([t for _, _, t in rows], [y for _, y, _ in rows], s)
+            yield pa.RecordBatch.from_arrays([pa.array([model.share.tobytes()], pa.binary()), pa.array([model.bias])], ["share", "bias"])
+
+    found = sample.select("_text", F.col("_label").cast("long").alias("_label")).coalesce(1).mapInArrow(run, "share binary, bias double").collect()
+    return Model(s, np.frombuffer(bytes(found[0]["share"])), found[0]["bias"]) if found else fit([], [], s)
 
 
 def scorer(docs: DataFrame, model: Model) -> Column:
@@ -190,10 +203,6 @@ def scorer(docs: DataFrame, model: Model) -> Column:
     return score
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str, s: Settings, doc_id: str = "doc_id", text: str = "text") -> Model:
-    return fit(*training_sample(docs, labels, label, s, doc_id, text), s)
-
-
 def score_documents(docs: DataFrame, labels: DataFrame, label: str, s: Settings, threshold: float, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, score and predicted (score >= threshold) of every whole text.
 
