@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, packing, simhash, subwords, suffix_dedup
+from tessera.llm import decontaminate, packing, similar, subwords, suffix_dedup
 from tessera.llm.scratch import free_name
 
 
@@ -17,19 +17,16 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays.
+    """Of each group of near-duplicates (0.8 of their five-word shingles) the document with the smallest id stays.
 
-    Fingerprints are those of the operator's query (three-word shingles), so what it links is linked here; one
-    more bit may differ, which two halves settle as well.
+    Rows are told apart by id and text. Of rows that repeat both one stays; their texts are only dealt out
+    where there are such rows.
     """
-    groups = simhash.near_duplicates(docs, width=3, max_bits=3)
-    id_ = free_name(docs, "keep_id")
-    keep = groups.where("component_id is null or doc_id = component_id").select(F.col("doc_id").alias(id_)).distinct()
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep[id_]), "left_semi")
-    # Rows that repeat an id are copies of one document: one of them stays. The texts are only dealt out for
-    # that where the ids aren't unique.
-    repeated = groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1)
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])
+    own = free_name(docs, "row_key")
+    keep = similar.near_duplicates(docs).withColumnRenamed("rk", own)
+    kept = docs.withColumn(own, similar.keyed(docs)).join(keep, own, "left_semi")
+    repeated = kept.groupBy(own).agg(F.count("*").alias("n")).where("n > 1").limit(1)
+    return (kept if repeated.isEmpty() else kept.dropDuplicates([own])).select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
