@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from tessera.llm import decontaminate, packing, similar, subwords, suffix_dedup
 from tessera.llm.scratch import free_name
 
+#: Passages of so many words are repeats, however few bytes they have.
+PASSAGE_WORDS = 51
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier marks as toxic go."""
@@ -30,8 +33,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of strings of 400 bytes that occur more than once go."""
-    cleaned = suffix_dedup.remove_repeats(docs)
+    """Passages of over 50 words, and strings of 400 bytes, that occur more than once go."""
+    cleaned = suffix_dedup.remove_repeats(docs, words=PASSAGE_WORDS)
     return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cleaned
 
 

@@ -18,6 +18,7 @@ A repeated string is settled by comparing suffixes, and only suffixes that can r
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 from collections.abc import Iterable, Iterator
 
@@ -27,9 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, partitions, small_batches
+from .scratch import Scratch, free_name, partitions, small_batches
 
 LENGTH, GRAM = 400, 256
+#: Words of an anchor where strings are measured in words.
+WORD_GRAM = 16
 #: Windows looked at together, which bounds memory on very long texts.
 SEGMENT = 1 << 20
 #: Different runs of one anchor up to which one task compares them.
@@ -50,13 +53,24 @@ def _mix(a: np.ndarray, b: np.ndarray, factor: int) -> np.ndarray:
     return h
 
 
-def _hashes(data: bytes, gram: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all substrings of ``gram`` bytes and of ``length`` bytes.
+def _word_hashes(data: bytes) -> np.ndarray:
+    """A 64-bit hash of each word between ASCII white space."""
+    import xxhash
+
+    words = data.split()
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def _hashes(data: bytes | np.ndarray, gram: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all substrings of ``gram`` and of ``length`` bytes, or word hashes.
 
     Doubling: a hash of 2s bytes mixes the hashes of its halves; a length is a sum of powers of two.
     """
-    raw = np.frombuffer(data, np.uint8)
-    at, known = 8, {8: np.ndarray((len(data) - 7,), np.uint64, raw, strides=(1,)).copy()}
+    if isinstance(data, np.ndarray):
+        at, known = 1, {1: data}
+    else:
+        raw = np.frombuffer(data, np.uint8)
+        at, known = 8, {8: np.ndarray((len(data) - 7,), np.uint64, raw, strides=(1,)).copy()}
     while at * 2 <= length:
         half = known[at]
         known[at * 2] = _mix(half[: len(half) - at], half[at:], 0x9E3779B97F4A7C15)
@@ -70,10 +84,11 @@ def _hashes(data: bytes, gram: int, length: int) -> tuple[np.ndarray, np.ndarray
     return known[gram], whole
 
 
-def window_runs(data: bytes, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[np.ndarray, ...]]:
+def window_runs(data: bytes | np.ndarray, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[np.ndarray, ...]]:
     """Arrays (anchor gram's hash, hash of the run's bytes, first window, anchor, last window) by segment.
 
-    ``gram`` is a power of two from 8, ``length`` a larger multiple of 8.
+    ``gram`` is a power of two from 8, ``length`` a larger multiple of 8; of word hashes any power of two and
+    any larger length, and all places count words.
     """
     width = length - gram + 1
     for base in range(0, len(data) - length + 1, SEGMENT):
@@ -201,7 +216,7 @@ class LoserTree:
 _OWN, _OWN_BYTES = "<qqII", struct.calcsize("<qqII")
 
 
-def _repeated_windows(group: list[tuple[bytes, bytes]], length: int) -> Iterator[tuple[int, int, int]]:
+def _repeated_windows(group: list[tuple[bytes, bytes]], length: int, unit: int = 1) -> Iterator[tuple[int, int, int]]:
     """(document, first, end) of the bytes between the outermost repeated windows of each member.
 
     Members share an anchor; windows at one distance from it are compared whole. Windows of a run overlap,
@@ -217,7 +232,7 @@ def _repeated_windows(group: list[tuple[bytes, bytes]], length: int) -> Iterator
         for i, (data, _, first, ahead, windows) in enumerate(members):
             at = ahead - distance
             if 0 <= at < windows:
-                other = seen.setdefault(data[at : at + length], i)
+                other = seen.setdefault(data[at * unit : (at + length) * unit], i)
                 if other != i:
                     for k in (i, other):
                         start = members[k][2] + members[k][3] - distance
@@ -227,8 +242,9 @@ def _repeated_windows(group: list[tuple[bytes, bytes]], length: int) -> Iterator
         yield members[k][1], lo, hi + length
 
 
-def _compare_undecided(texts: DataFrame, undecided: DataFrame, length: int, gram: int, scratch: Scratch) -> DataFrame:
-    """Spans (rk, lo, hi) of repeated bytes in runs that share an anchor with different runs."""
+def _compare_undecided(texts: DataFrame, undecided: DataFrame, length: int, gram: int, scratch: Scratch, words: bool = False) -> DataFrame:
+    """Spans (rk, lo, hi) of repeated bytes, or words, in runs that share an anchor with different runs."""
+    unit = 8 if words else 1
     by_row = undecided.groupBy("rk").agg(F.collect_set(F.struct("kh", "p1", "a", "p2", "crowded")).alias("runs"))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,13 +254,14 @@ def _compare_undecided(texts: DataFrame, undecided: DataFrame, length: int, gram
             kh, rk, p1, a, p2, body, crowded = [], [], [], [], [], [], []
             for row, text, runs in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 data = text.encode("utf-8", "replace")
+                data = _word_hashes(data).tobytes() if words else data
                 for r in runs:
                     if r["crowded"]:
                         for p in range(r["p1"], r["p2"] + 1):
-                            h = xxhash.xxh128_digest(data[p : p + length])
+                            h = xxhash.xxh128_digest(data[p * unit : (p + length) * unit])
                             kh.append(int.from_bytes(h[:8], "big", signed=True)), rk.append(row), p1.append(p), a.append(0), p2.append(0), body.append(h[8:]), crowded.append(True)
                     else:
-                        kh.append(r["kh"]), rk.append(row), p1.append(r["p1"]), a.append(r["a"]), p2.append(r["p2"]), body.append(data[r["p1"] : r["p2"] + length]), crowded.append(False)
+                        kh.append(r["kh"]), rk.append(row), p1.append(r["p1"]), a.append(r["a"]), p2.append(r["p2"]), body.append(data[r["p1"] * unit : (r["p2"] + length) * unit]), crowded.append(False)
             longs = [pa.array(x, pa.int64()) for x in (kh, rk, p1, a, p2)]
             yield pa.RecordBatch.from_arrays([*longs, pa.array(body, pa.binary()), pa.array(crowded, pa.bool_())], ["kh", "rk", "p1", "a", "p2", "body", "crowded"])
 
@@ -264,7 +281,7 @@ def _compare_undecided(texts: DataFrame, undecided: DataFrame, length: int, gram
 
         for batch in batches:
             for kh, rk, p1, a, p2, body in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                held.setdefault(kh % merges, []).append((body[a - p1 :], struct.pack(_OWN, rk, p1, a - p1, p2 - p1 + 1) + body[: a - p1]))
+                held.setdefault(kh % merges, []).append((body[(a - p1) * unit :], struct.pack(_OWN, rk, p1, a - p1, p2 - p1 + 1) + body[: (a - p1) * unit]))
                 size += len(body)
                 if size > RUN_BYTES:
                     yield flush()
@@ -277,13 +294,13 @@ def _compare_undecided(texts: DataFrame, undecided: DataFrame, length: int, gram
         spans: list[tuple[int, int, int]] = []
         group: list[tuple[bytes, bytes]] = []
         for shared, suffix, payload in LoserTree(list(frame["run"])):
-            if shared < gram:
+            if shared < gram * unit:
                 if len(group) > 1:
-                    spans += _repeated_windows(group, length)
+                    spans += _repeated_windows(group, length, unit)
                 group = []
             group.append((suffix, payload))
         if len(group) > 1:
-            spans += _repeated_windows(group, length)
+            spans += _repeated_windows(group, length, unit)
         return pd.DataFrame(spans, columns=["rk", "lo", "hi"], dtype="int64")
 
     merged = plain.mapInArrow(sort_runs, "merge long, run binary").groupBy("merge").applyInPandas(merge, "rk long, lo long, hi long")
@@ -302,8 +319,8 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.xxhash64(F.col(doc_id), body).alias("rk"), F.col(doc_id).alias("doc_id"), body.alias("text"))
 
 
-def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, crowded: int | None = None) -> DataFrame:
-    """rk, spans: for each row that has any, sorted numbers (first << 32) + end of repeated bytes."""
+def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, crowded: int | None = None, words: bool = False) -> DataFrame:
+    """rk, spans: for each row that has any, sorted numbers (first << 32) + end of repeated bytes, or ``words``."""
     spark = docs.sparkSession
     crowded = CROWDED if crowded is None else crowded
     small_batches(spark)
@@ -314,7 +331,8 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         for batch in batches:
             rows, parts = [], []
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for found in window_runs(text.encode("utf-8", "replace"), length, gram):
+                data = text.encode("utf-8", "replace")
+                for found in window_runs(_word_hashes(data) if words else data, length, gram):
                     rows.append(np.full(len(found[0]), row, np.int64))
                     parts.append(found)
             if parts:
@@ -335,7 +353,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     judged = scratch.save(judged.where("whole or open").distinct(), "judged")
     scratch.drop("shared", "verdicts")
     scratch.free_shuffles()
-    spans = _compare_undecided(texts, judged.where("open").drop("whole", "open"), length, gram, scratch)
+    spans = _compare_undecided(texts, judged.where("open").drop("whole", "open"), length, gram, scratch, words)
     spans = judged.where("whole").select("rk", F.col("p1").cast("long").alias("lo"), (F.col("p2") + length).cast("long").alias("hi")).unionByName(spans)
     packed = spans.groupBy("rk").agg(F.sort_array(F.collect_set(F.col("lo") * F.lit(1 << 32) + F.col("hi"))).alias("spans"))
     out = scratch.save(packed, "spans")
@@ -387,12 +405,34 @@ def removed_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     return _with_spans(source, "doc_id", "text", spans).select("doc_id", cut("text", "_spans").alias("c")).select("doc_id", "c.*")
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``docs`` with repeated bytes cut from its texts; a character that a cut runs through goes whole."""
+def _bytes_of_words(data: bytes, spans) -> list[int]:
+    """Spans of words as spans of bytes, from a first word's start to a last word's end."""
+    words = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", data)]
+    return [(words[int(s) >> 32][0] << 32) + words[(int(s) & 0xFFFFFFFF) - 1][1] for s in spans]
 
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([t if own is None or not len(own) else _kept(t.encode("utf-8", "replace"), own)[0].decode("utf-8", "ignore") for t, own in zip(texts, spans)], dtype=object)
 
-    joined = _with_spans(docs, doc_id, text, repeated_spans(docs, doc_id, text, length, gram))
-    return joined.withColumn(text, F.when(F.col("_spans").isNull(), F.col(text)).otherwise(cut(F.coalesce(F.col(text), F.lit("")), "_spans"))).select(*docs.columns)
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, words: int | None = None, word_gram: int = WORD_GRAM) -> DataFrame:
+    """``docs`` with repeated bytes cut from its texts; a character that a cut runs through goes whole.
+
+    With ``words``, strings of so many words (between ASCII white space of any kind) that occur more than once
+    go as well, however few bytes they have; both are judged on the input.
+    """
+    key, by_bytes, by_words = (free_name(docs, n) for n in ("_rk", "_spans", "_word_spans"))
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, spans: pd.Series, word_spans: pd.Series) -> pd.Series:
+        out = []
+        for t, own, of_words in zip(texts, spans, word_spans):
+            data, own = t.encode("utf-8", "replace"), [] if own is None else [int(s) for s in own]
+            own = sorted(own + _bytes_of_words(data, of_words)) if of_words is not None and len(of_words) else own
+            out.append(_kept(data, own)[0].decode("utf-8", "ignore") if own else t)
+        return pd.Series(out, dtype=object)
+
+    joined = docs.withColumn(key, F.xxhash64(F.col(doc_id), F.coalesce(F.col(text), F.lit(""))))
+    found = repeated_spans(docs, doc_id, text, length, gram).select("rk", "spans", F.lit(None).cast("array<bigint>").alias("word_spans"))
+    if words:
+        found = found.unionByName(repeated_spans(docs, doc_id, text, words, word_gram, words=True).select("rk", F.lit(None).cast("array<bigint>").alias("spans"), F.col("spans").alias("word_spans")))
+        found = found.groupBy("rk").agg(F.max("spans").alias("spans"), F.max("word_spans").alias("word_spans"))
+    joined = joined.join(found.select(F.col("rk").alias(key), F.col("spans").alias(by_bytes), F.col("word_spans").alias(by_words)), key, "left")
+    none = F.col(by_bytes).isNull() & F.col(by_words).isNull()
+    return joined.withColumn(text, F.when(none, F.col(text)).otherwise(cut(F.coalesce(F.col(text), F.lit("")), by_bytes, by_words))).select(*docs.columns)
