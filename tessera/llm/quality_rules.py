@@ -45,8 +45,8 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     only where sorting the bare hashes has shown a repeat, as most texts have none.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    trimmed = F.expr("trim(BOTH ' \\t\\n\\u000b\\f\\r' FROM `_body`)")
-    out = docs.withColumn("_body", body).withColumn("_words", F.when(F.length(trimmed) > 0, F.split(trimmed, SPACES)).otherwise(F.array().cast("array<string>")))
+    # Only the first and the last piece can be empty.
+    out = docs.withColumn("_body", body).withColumn("_words", F.filter(F.split("_body", SPACES), lambda word: word != ""))
     out = out.withColumn("_windows", _windows(F.col("_words"))).withColumn("_lines", F.filter(F.split("_body", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")))
     out = out.withColumn("_sorted", F.sort_array("_windows"))
     repeated = F.exists(F.zip_with("_sorted", _tail(F.col("_sorted")), lambda a, b: a == b), lambda same: same)
