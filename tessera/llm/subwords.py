@@ -4,7 +4,8 @@ A token is the sum of the vectors of its word and of its character n-grams; a do
 its subwords; the label is a softmax of that mean. Vectors and softmax weights are trained together by
 stochastic gradient descent in numpy on a bounded sample of labelled rows, in one task. Misspelt or unseen words share
 n-gram vectors with words that were seen. As the model is linear once the vectors are learned, each
-subword's share of the logit is a number, and a worker remembers the sum of shares of each word it met.
+subword's share of the logit is a number, and a text's score is a mean of these numbers. N-grams are hashed,
+looked up and added as numpy arrays over all words of a batch of texts.
 """
 
 from __future__ import annotations
@@ -12,7 +13,6 @@ from __future__ import annotations
 import dataclasses
 import functools
 import re
-from array import array
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -26,8 +26,8 @@ from .scratch import held_out, labelled_sample, small_batches
 
 #: The bucket of a word that came before.
 AGAIN = 0
-#: Words that a worker remembers before it starts anew.
-MEMO = 600_000
+#: Characters of words that are looked at together, which bounds memory on very long texts.
+BLOCK = 1 << 19
 
 
 @dataclasses.dataclass(frozen=True)
@@ -55,20 +55,80 @@ class Settings:
     seed: int = 7
 
 
-def subword_ids(word: str, s: Settings) -> list[int]:
-    """Buckets of the word itself and of the character n-grams of ``<word>``."""
-    marked = f"<{word}>"
-    raw = marked.encode("utf-8", "replace")
-    if len(raw) == len(marked):  # ASCII: a character is a byte
-        grams = {raw[i : i + n] for n in range(s.shortest, min(s.longest, len(raw)) + 1) for i in range(len(raw) - n + 1)}
-    else:
-        grams = {marked[i : i + n].encode("utf-8", "replace") for n in range(s.shortest, min(s.longest, len(marked)) + 1) for i in range(len(marked) - n + 1)}
-    grams.add(raw)
-    return [crc32(g) % s.buckets for g in grams]
+@functools.lru_cache(maxsize=4)
+def _word_characters(pattern: str) -> np.ndarray:
+    """Whether each code point belongs to words; ``pattern`` is a repeated class of characters."""
+    known = np.zeros(0x110000, bool)
+    for first, end in ((0, 0xD800), (0xE000, 0x110000)):
+        for found in re.finditer(pattern, "".join(map(chr, range(first, end)))):
+            known[first + found.start() : first + found.end()] = True
+    return known
 
 
-def words_of(text: str, s: Settings) -> list[str]:
-    return re.findall(s.pattern, text.lower() if s.lower else text)
+@dataclasses.dataclass
+class Block:
+    """Neighbouring words of some texts. ``grams`` holds, for each n, the bucket of the n-gram that starts at each
+    character of ``<word>`` and whether it ends in the word; ``first`` is where each word starts there."""
+
+    owner: np.ndarray
+    first: np.ndarray
+    grams: list[tuple[np.ndarray, np.ndarray]]
+    words: np.ndarray
+    hashes: np.ndarray
+    sizes: np.ndarray
+
+
+def blocks(texts: list[str], s: Settings) -> Iterator[Block]:
+    """All subwords of ``texts``: each word, between ``<`` and ``>``, as a whole and its character n-grams."""
+    texts = [t.lower() for t in texts] if s.lower else texts
+    codes = np.frombuffer("\n".join(texts).encode("utf-32-le", "replace"), np.uint32)
+    inside = np.concatenate(([False], _word_characters(s.pattern)[codes], [False]))
+    turns = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = turns[::2], turns[1::2]
+    owner = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), starts, "right")
+    upto = np.cumsum(ends - starts + 2)
+    at = 0
+    while at < len(starts):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + BLOCK, "right")))
+        yield _block(codes, starts[at:end], ends[at:end], owner[at:end], s)
+        at = end
+
+
+def _block(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, owner: np.ndarray, s: Settings) -> Block:
+    lengths = ends - starts
+    marked = lengths + 2
+    first = np.cumsum(marked) - marked
+    n = int(marked.sum())
+    place = np.arange(n)
+    within = place - np.repeat(first, marked)
+    left = np.repeat(marked, marked) - within
+    text = codes[np.minimum(np.repeat(starts, marked) + within - 1, len(codes) - 1)]
+    text[first], text[first + marked - 1] = ord("<"), ord(">")
+    shift = np.uint32(32 - s.buckets.bit_length() + 1)
+    bucket = lambda h, n: ((h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D + 2 * n)) >> shift
+    rolling, grams = text * np.uint32(0x9E3779B1), []
+    for size in range(2, s.longest + 1):
+        following = np.zeros(n, np.uint32)
+        following[: max(0, n - size + 1)] = text[size - 1 :]
+        rolling = (rolling + following) * np.uint32(0x85EBCA6B)
+        if size >= s.shortest:
+            grams.append((bucket(rolling, size), left >= size))
+    long = text.astype(np.uint64) + (within.astype(np.uint64) << np.uint64(32))
+    long *= np.uint64(0x9E3779B97F4A7C15)
+    long ^= long >> np.uint64(29)
+    hashes = np.add.reduceat(long * np.uint64(0xBF58476D1CE4E5B9), first)
+    hashes ^= hashes >> np.uint64(32)
+    sizes = 1 + sum(np.maximum(0, marked - size + 1) for size in range(s.shortest, s.longest + 1))
+    return Block(owner, first, grams, bucket(hashes.astype(np.uint32), 0), hashes, sizes)
+
+
+def repeated_words(found: list[Block], n: int) -> np.ndarray:
+    """How many words of each of ``n`` texts are equal to an earlier one of the same text."""
+    owner = np.concatenate([b.owner for b in found]) if found else np.zeros(0, np.int64)
+    hashes = np.concatenate([b.hashes for b in found]) if found else np.zeros(0, np.uint64)
+    own = (hashes + owner.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+    _, one = np.unique(own, return_index=True)
+    return np.bincount(owner, minlength=n) - np.bincount(owner[one], minlength=n)
 
 
 @dataclasses.dataclass
@@ -78,50 +138,34 @@ class Model:
     share: np.ndarray
     bias: float
 
-    @functools.cached_property
-    def shares(self) -> list[float]:
-        """The same as a list, which is faster to look single numbers up in."""
-        return self.share.tolist()
-
-    def score(self, texts: pd.Series, memo: dict[str, tuple[float, int]]) -> np.ndarray:
-        out = np.empty(len(texts))
-        share = self.shares
-        for i, text in enumerate(texts):
-            total, n = 0.0, 0
-            words = words_of(text, self.settings)
-            for word in words:
-                known = memo.get(word)
-                if known is None:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    ids = subword_ids(word, self.settings)
-                    known = memo[word] = (sum([share[k] for k in ids]), len(ids))
-                total += known[0]
-                n += known[1]
+    def score(self, texts: list[str]) -> np.ndarray:
+        """The softmax of each text's mean; a text without words has the bias alone."""
+        total, n, found = np.zeros(len(texts)), np.zeros(len(texts)), []
+        for block in blocks(texts, self.settings):
+            per_character = sum(np.where(valid, self.share[bucket], 0) for bucket, valid in block.grams)
+            per_word = np.add.reduceat(per_character, block.first) + self.share[block.words]
+            total += np.bincount(block.owner, per_word, len(texts))
+            n += np.bincount(block.owner, block.sizes, len(texts))
             if self.settings.again:
-                repeats = len(words) - len(set(words))
-                total += repeats * share[AGAIN]
-                n += repeats
-            out[i] = total / n if n else 0.0
-        return 1 / (1 + np.exp(-np.clip(out + self.bias, -30, 30)))
+                block.grams = []
+                found.append(block)
+        if self.settings.again:
+            repeats = repeated_words(found, len(texts))
+            total += repeats * self.share[AGAIN]
+            n += repeats
+        return 1 / (1 + np.exp(-np.clip(total / np.maximum(n, 1) + self.bias, -30, 30)))
 
 
 def _features(texts: list[str], s: Settings) -> list[tuple[np.ndarray, np.ndarray]]:
     """Distinct buckets and their weights, which sum to 1, of each text."""
-    memo: dict[str, array] = {}  # four bytes a number; lists of ints would take the driver's memory
     out = []
     for text in texts:
-        ids = array("i")
-        words = words_of(text, s)
+        found = list(blocks([text], s))
+        ids = [bucket[valid] for block in found for bucket, valid in block.grams] + [block.words for block in found]
         if s.again:
-            ids.extend([AGAIN] * (len(words) - len(set(words))))
-        for word in words:
-            found = memo.get(word)
-            if found is None:
-                found = memo[word] = array("i", subword_ids(word, s))
-            ids += found
-        unique, counts = np.unique(np.frombuffer(ids, np.intc), return_counts=True)
-        out.append((unique, (counts / max(1, counts.sum())).astype(np.float32)))
+            ids.append(np.full(repeated_words(found, 1)[0], AGAIN, np.uint32))
+        unique, counts = np.unique(np.concatenate(ids), return_counts=True) if ids else (np.zeros(0, np.uint32), np.zeros(0))
+        out.append((unique.astype(np.int32), (counts / max(1, counts.sum())).astype(np.float32)))
     return out
 
 
@@ -195,10 +239,8 @@ def scorer(docs: DataFrame, model: Model) -> Column:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        memo: dict[str, tuple[float, int]] = {}
-        for texts in batches:
-            yield pd.Series(shared.value.score(texts, memo))
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.score(texts.tolist()))
 
     return score
 
