@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch, partitions, small_batches
-from .tokens import document_ids, ids_memo
+from .tokens import encoding
 
 CAPACITY, SEPARATOR = 2048, 0
 
@@ -37,11 +37,11 @@ def cut_into_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACI
     mark = separator.to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = ids_memo(tokenizer_path)
+        encoder = encoding(tokenizer_path)
         for batch in batches:
             out: list[tuple] = []
             for row, text in enumerate(batch.column(1).to_pylist()):
-                ids = document_ids(memo.tokenizer, memo, text or "") + mark
+                ids = encoder.of(text) + mark
                 n = len(ids) // 4
                 start = 0
                 for piece in range(-(-n // capacity)):

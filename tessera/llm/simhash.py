@@ -7,7 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -86,8 +86,9 @@ def links(fps: DataFrame, max_bits: int, scratch: Scratch) -> DataFrame:
     """
     if not 0 <= max_bits <= 3:
         raise ValueError("two halves settle up to 3 differing bits")
-    met = Window.partitionBy("key")
-    members = scratch.save(_variants(fps).withColumn("n", F.count("*").over(met)).where("n > 1"), "members")
+    variants = _variants(fps)
+    met = scratch.save(variants.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "met")
+    members = scratch.save(variants.join(met, "key"), "members")
     few = members.where(F.col("n") <= PAIRED)
     bit = lambda name: F.expr(f"shiftright({name}, cast(shiftright(key, {HALF}) as int))").bitwiseAND(F.lit(1))
     one, two = few.select("key", F.col("fp").alias("a")), few.select("key", F.col("fp").alias("b"))
@@ -101,6 +102,16 @@ def links(fps: DataFrame, max_bits: int, scratch: Scratch) -> DataFrame:
     return within.unionByName(across).where("a <> b").distinct()
 
 
+def candidates(docs: DataFrame, scratch: Scratch, width: int, max_bits: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Pairs (a, b) of ids for the user to verify: each row with the first of its fingerprint, and the first rows of
+    fingerprints that ``links`` has. Repeated ids are one."""
+    hashed = scratch.save(fingerprints(docs, width, doc_id, text), "hashed")
+    first = scratch.save(hashed.groupBy("fp").agg(F.min("doc_id").alias("first")), "first")
+    own = lambda side: first.select(F.col("fp").alias(side), F.col("first").alias(f"first_{side}"))
+    across = links(first.select("fp"), max_bits, scratch).join(own("a"), "a").join(own("b"), "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+    return hashed.join(first, "fp").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).unionByName(across).where("a <> b").distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id: the smallest id reachable over links.
 
@@ -118,6 +129,6 @@ def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 2, doc_id:
     roots = merged.groupBy("root").agg(F.min("least").alias("component_id"))
     named = merged.join(roots, "root").select("fp", "component_id").unionByName(rooted.where("root is null and n > 1").select("fp", F.col("least").alias("component_id")))
     named = scratch.save(named, "named")
-    scratch.drop("nodes", "members")
+    scratch.drop("nodes", "met", "members")
     out = hashed.join(named, "fp", "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -5,6 +5,9 @@ n - ceil(t * n) + 1 shingles of each (its prefix) have one in common at least. A
 shingles that many texts of a sample share come last, so that boilerplate meets only where it is nearly all
 of a text. Pairs that their sizes or the places of a common shingle rule out aren't looked at, all others are
 verified on the whole sets. Shingles are told apart by 64-bit hashes.
+
+SimHash goes first: pairs that ``simhash.candidates`` finds by deletion variants are verified along with them. Texts
+of a similarity of 0.8 often differ in more bits of a fingerprint than two halves settle; the join finds those.
 """
 
 from __future__ import annotations
@@ -17,11 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .components import components
 from .scratch import Scratch, small_batches
 from .suffix_dedup import _mix
 
 WIDTH, THRESHOLD = 5, 0.8
+#: Differing bits of fingerprints whose texts are candidates.
+MAX_BITS = 3
 #: Buckets of up to so many sets are paired; of larger ones, members first meet ``CENTRES`` of them.
 PAIRED, CENTRES = 32, 4
 #: One set in ``SAMPLE`` is looked at for common shingles: those of ``COMMON`` sets, at most ``MOST`` of them.
@@ -109,6 +115,13 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: float = THRE
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rk")).alias("best")
     nodes = scratch.save(own.join(ids, "rk").groupBy("sk").agg(best, F.max("n").alias("n")), "nodes")
 
+    hinted = simhash.candidates(texts, scratch, width, MAX_BITS, "rk", "text")
+    named = lambda side: own.select(F.col("rk").alias(side), F.col("sk").alias(f"sk_{side}")).distinct()
+    hinted = hinted.join(named("a"), "a").join(named("b"), "b").select(F.col("sk_a").alias("a"), F.col("sk_b").alias("b")).where("a <> b")
+    hinted = scratch.save(hinted.distinct(), "hinted")
+    scratch.drop("hashed", "first", "met")
+    scratch.drop("members")
+
     sampled = _sets(texts, width, "v long, sk long", lambda rk, own: (own, np.full(len(own), _name(own))) if _name(own) % SAMPLE == 0 else (own[:0], own[:0]))
     # Copies count as one set: the number of different sets is bounded by the largest and the smallest name.
     often = sampled.groupBy("v").agg(F.count("*").alias("k"), F.min("sk").alias("lo"), F.max("sk").alias("hi")).where(f"k >= {COMMON} and lo <> hi")
@@ -138,7 +151,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: float = THRE
     many = scratch.save(members.join(buckets.where(F.col("size") > PAIRED), "v"), "many")
     scratch.drop("members", "buckets")
     pairs = _side(few, "a").join(_side(few, "b"), "v").where((F.col("a") < F.col("b")) & _possible(threshold)).select("a", "b")
-    pairs = pairs.unionByName(many.select(F.col("sk").alias("a"), F.explode("centres").alias("b")).distinct())
+    pairs = pairs.unionByName(hinted).unionByName(many.select(F.col("sk").alias("a"), F.explode("centres").alias("b")).distinct())
     edges = _verified(pairs, texts, nodes, width, threshold, scratch, "first")
     # What is left in large buckets are pairs that centres haven't linked yet; one of the two lies outside of
     # the largest group of its bucket.
