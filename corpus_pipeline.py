@@ -14,7 +14,11 @@ PASSAGE_WORDS = 51
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier marks as toxic go."""
+    """Documents that the classifier marks as toxic (0.5 or more) go.
+
+    Null and empty texts have the model's prior. All other rows stay as they are, repeated ones and null ids too;
+    with no labels all have the same prior. An empty table gives none.
+    """
     model = subwords.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "toxic", subwords.TOXICITY)
     return docs.where(subwords.scorer(docs, model)(F.coalesce("text", F.lit(""))) < 0.5).select(*docs.columns)
 
@@ -22,7 +26,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (0.8 of their five-word shingles) the document with the smallest id stays.
 
-    Rows are told apart by id and text. Of rows that repeat both one stays; their texts are only dealt out
+    Candidates are found by SimHash, and by an exact join for pairs whose fingerprints lie too far apart; all are
+    verified. Texts without words, or null, are copies of each other; null ids come last. Rows are told apart by id and text. Of rows that repeat both one stays; their texts are only dealt out
     where there are such rows.
     """
     own = free_name(docs, "row_key")
@@ -33,13 +38,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of over 50 words, and strings of 400 bytes, that occur more than once go."""
+    """Passages of over 50 words, and strings of 400 bytes, that occur more than once go.
+
+    Judged on the stage's own input, all its rows at once: repeated rows repeat each other. No row goes; null and empty
+    texts, and null ids, stay as they are. An empty table gives none.
+    """
     cleaned = suffix_dedup.remove_repeats(docs, words=PASSAGE_WORDS)
     return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cleaned
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item (0.8 of its five-word shingles) go. Rows are told apart by id and text."""
+    """Documents that hold a benchmark item (0.8 of its five-word shingles) go. Rows are told apart by id and text.
+
+    Null and empty texts hold nothing and stay; with no benchmark, or none with words, all rows stay.
+    """
     own = free_name(docs, "row_key")
     marked = docs.withColumn(own, similar.keyed(docs))
     hits = decontaminate.contained_items(marked, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), doc_id=own)
@@ -48,7 +60,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as sequences of at most 2048 tokens."""
+    """Documents as sequences of at most 2048 tokens: a row for each piece of a document.
+
+    Null and empty texts are documents of a separator alone; repeated rows and null ids are documents of their own.
+    """
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
