@@ -30,6 +30,8 @@ WIDTH, THRESHOLD = 5, 0.8
 MAX_BITS = 3
 #: Buckets of up to so many sets are paired; of larger ones, members first meet ``CENTRES`` of them.
 PAIRED, CENTRES = 32, 4
+#: Bits that sets of large buckets are compared by before they are paired.
+BITMAP = 1024
 #: One set in ``SAMPLE`` is looked at for common shingles: those of ``COMMON`` sets, at most ``MOST`` of them.
 SAMPLE, COMMON, MOST = 4, 8, 200_000
 
@@ -78,8 +80,21 @@ def _possible(threshold: float):
     return (F.least(F.expr("a_n - a_i"), F.expr("b_n - b_i")) >= least) & F.expr(f"least(a_n, b_n) >= {threshold!r}D * greatest(a_n, b_n) - 1e-6")
 
 
+def _bits(own: np.ndarray) -> np.ndarray:
+    """A set as ``BITMAP`` bits, of which each element sets one."""
+    bits = np.zeros(BITMAP, bool)
+    bits[own.view(np.uint64) % np.uint64(BITMAP)] = True
+    return np.packbits(bits).view(np.int64)
+
+
+def _close(threshold: float):
+    """Whether the bits of two sets allow the similarity: each bit that only one has is an element that only it has."""
+    alone = lambda x, y: " + ".join(f"bit_count({x}_bits[{k}] & ~{y}_bits[{k}])" for k in range(BITMAP // 64))
+    return F.expr(f"least(a_n - ({alone('a', 'b')}), b_n - ({alone('b', 'a')})) >= ceil({threshold / (1 + threshold)!r}D * (a_n + b_n) - 1e-6)")
+
+
 def _side(members: DataFrame, side: str) -> DataFrame:
-    return members.select("v", *[F.col(c).alias(f"{side}_{c}" if c != "sk" else side) for c in ("sk", "n", "i")])
+    return members.select("v", *[F.col(c).alias(f"{side}_{c}" if c != "sk" else side) for c in members.columns if c != "v"])
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, width: int, threshold: float, scratch: Scratch, name: str) -> DataFrame:
@@ -119,8 +134,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: float = THRE
     named = lambda side: own.select(F.col("rk").alias(side), F.col("sk").alias(f"sk_{side}")).distinct()
     hinted = hinted.join(named("a"), "a").join(named("b"), "b").select(F.col("sk_a").alias("a"), F.col("sk_b").alias("b")).where("a <> b")
     hinted = scratch.save(hinted.distinct(), "hinted")
-    scratch.drop("hashed", "first", "met")
-    scratch.drop("members")
+    scratch.drop("hashed", "first", "met", "members")
+    scratch.free_shuffles()
 
     sampled = _sets(texts, width, "v long, sk long", lambda rk, own: (own, np.full(len(own), _name(own))) if _name(own) % SAMPLE == 0 else (own[:0], own[:0]))
     # Copies count as one set: the number of different sets is bounded by the largest and the smallest name.
@@ -150,6 +165,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: float = THRE
     few = scratch.save(members.join(buckets.where(F.col("size") <= PAIRED).select("v"), "v"), "few")
     many = scratch.save(members.join(buckets.where(F.col("size") > PAIRED), "v"), "many")
     scratch.drop("members", "buckets")
+    scratch.free_shuffles()
     pairs = _side(few, "a").join(_side(few, "b"), "v").where((F.col("a") < F.col("b")) & _possible(threshold)).select("a", "b")
     pairs = pairs.unionByName(hinted).unionByName(many.select(F.col("sk").alias("a"), F.explode("centres").alias("b")).distinct())
     edges = _verified(pairs, texts, nodes, width, threshold, scratch, "first")
@@ -158,11 +174,18 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: float = THRE
     roots = components(edges, Scratch(spark)).select(F.col("node").alias("sk"), "root")
     grouped = scratch.save(many.select("v", "sk", "n", "i").join(roots, "sk", "left").withColumn("root", F.coalesce("root", "sk")), "grouped")
     largest = grouped.groupBy("v", "root").agg(F.count("*").alias("k")).groupBy("v").agg(F.count("*").alias("groups"), F.max(F.struct("k", "root"))["root"].alias("most")).where("groups > 1")
-    outside = grouped.join(largest, "v").where("root <> most")
-    left = _side(outside, "a").join(_side(grouped.join(largest.select("v"), "v", "left_semi"), "b"), "v").where((F.col("a") != F.col("b")) & _possible(threshold)).select("a", "b")
-    place = lambda side: roots.select(F.col("sk").alias(side), F.col("root").alias(f"root_{side}"))
-    left = left.distinct().join(place("a"), "a", "left").join(place("b"), "b", "left").where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
+    mixed = scratch.save(grouped.join(largest, "v"), "mixed")
+    asked = nodes.join(mixed.select("sk").distinct(), "sk", "left_semi").select("best.rk")
+    bits = scratch.save(_sets(texts.join(asked, "rk", "left_semi").dropDuplicates(["rk"]), width, "sk long, bits array<long>", lambda rk, own: (_name(own), _bits(own).tolist())), "bits")
+    mixed = scratch.save(mixed.join(bits, "sk"), "compared")
+    members = ["v", "sk", "n", "i", "root", "bits"]
+    met = _side(mixed.where("root <> most").select(*members), "a").join(_side(mixed.select(*members), "b"), "v")
+    left = met.where((F.col("a_root") != F.col("b_root")) & _possible(threshold) & _close(threshold)).select("a", "b")
     edges = edges.unionByName(_verified(left, texts, nodes, width, threshold, scratch, "second"))
+    scratch.drop("few", "many", "grouped", "mixed", "bits", "compared", "hinted", "pairs-first", "sets-first", "pairs-second", "sets-second")
+    scratch.free_shuffles()
     found = components(edges, scratch)
     kept = nodes.join(found.withColumnRenamed("node", "sk"), "sk", "left").groupBy(F.coalesce("root", "sk").alias("root")).agg(F.min("best").alias("best"))
-    return scratch.save(kept.select("best.rk"), "kept")
+    out = scratch.save(kept.select("best.rk"), "kept")
+    scratch.drop("nodes", "edges-of-first", "edges-of-second")
+    return out
