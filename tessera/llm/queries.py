@@ -51,7 +51,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.removed_bytes(documents(spark, sf_dir))
+    return suffix_dedup.removed_bytes(documents(spark, sf_dir), words=51)
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -378,17 +378,29 @@ def _kept(data: bytes, spans) -> tuple[bytes, int]:
     return b"".join(out), n
 
 
-def _with_spans(docs: DataFrame, doc_id: str, text: str, spans: DataFrame) -> DataFrame:
-    return docs.withColumn("_rk", F.xxhash64(F.col(doc_id), F.coalesce(F.col(text), F.lit("")))).join(spans.select(F.col("rk").alias("_rk"), F.col("spans").alias("_spans")), "_rk", "left").drop("_rk")
+def _with_spans(source: DataFrame, spans: DataFrame) -> DataFrame:
+    """``source`` (doc_id, text) with the spans of each row."""
+    return source.withColumn("rk", F.xxhash64("doc_id", "text")).join(spans.withColumnRenamed("spans", "_spans"), "rk", "left").drop("rk")
 
 
-def removed_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, crowded: int | None = None) -> DataFrame:
+def _length(spans) -> int:
+    """How much ``spans`` cover together."""
+    total, end = 0, 0
+    for span in [] if spans is None else spans:
+        lo, hi = int(span) >> 32, int(span) & 0xFFFFFFFF
+        total += max(0, hi - max(lo, end))
+        end = max(end, hi)
+    return total
+
+
+def removed_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, crowded: int | None = None, words: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 of every whole text.
 
     A byte goes if a string of ``length`` bytes over it also starts anywhere else, in the same text or in
     another row; strings are judged on the input. Null texts are empty. Texts shorter than ``length`` keep
     all. Repeated rows repeat each other. Null ids are kept; further columns are left out; an empty table
-    gives an empty result.
+    gives an empty result. With ``words``, n_passage_words tells how many words lie in strings of so many words
+    that also start anywhere else, however few bytes they have; they don't go.
     """
     source = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     spans = repeated_spans(source, length=length, gram=gram, crowded=crowded)
@@ -402,7 +414,15 @@ def removed_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
             rows.append((len(data), len(data) - len(kept), n, hashlib.sha256(kept).hexdigest()))
         return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _with_spans(source, "doc_id", "text", spans).select("doc_id", cut("text", "_spans").alias("c")).select("doc_id", "c.*")
+    @F.pandas_udf("long")
+    def covered(spans: pd.Series) -> pd.Series:
+        return pd.Series([_length(own) for own in spans], dtype="int64")
+
+    if not words:
+        return _with_spans(source, spans).select("doc_id", cut("text", "_spans").alias("c")).select("doc_id", "c.*")
+    passages = repeated_spans(source, length=words, gram=WORD_GRAM, crowded=crowded, words=True).select("rk", covered("spans").alias("n_passage_words"))
+    spans = spans.join(passages, "rk", "full")
+    return _with_spans(source, spans).select("doc_id", cut("text", "_spans").alias("c"), F.coalesce("n_passage_words", F.lit(0)).alias("n_passage_words")).select("doc_id", "c.*", "n_passage_words")
 
 
 def _bytes_of_words(data: bytes, spans) -> list[int]:
