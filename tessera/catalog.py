@@ -20,8 +20,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 LISTS = ["rdf:first", "rdf:rest"]
-#: Predicates that come with the class and property trees but not with the bulk of the instance data.
-PARTS = ["part"]
 
 
 def _longs(df: DataFrame) -> DataFrame:
@@ -33,14 +31,14 @@ def register(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str)
     ORACLES[name] = sql
 
 
-def on_triples(name: str, run: Callable[[DataFrame], DataFrame], sql: str, predicates: list[str] | None = None, tables: list[str] | None = None, shared: bool = False) -> None:
+def on_triples(name: str, run: Callable[[DataFrame], DataFrame], sql: str, predicates: list[str] | None = None, shared: bool = False) -> None:
     """``sql`` goes on after a WITH clause in which ``t`` has the triples.
 
     Operators that look at the graph from many sides (``shared``, and all that need entities or lists) get it written
-    once; others read only the tables and columns behind their predicates.
+    once; others read only the tables and columns behind their own predicates.
     """
     once = shared or sql.startswith((C1, ITEMS))
-    register(name, lambda spark, d: run(closure.materialize(lift(spark, d, predicates, tables)) if once else lift(spark, d, predicates, tables)), f"WITH RECURSIVE t AS MATERIALIZED ({lift_sql(predicates, tables)}){sql}")
+    register(name, lambda spark, d: run(closure.materialize(lift(spark, d, predicates)) if once else lift(spark, d, predicates)), f"WITH RECURSIVE t AS MATERIALIZED ({lift_sql(predicates)}){sql}")
 
 
 def _q(curie: str) -> str:
@@ -126,7 +124,7 @@ on_triples("tp_exists", lambda t: patterns.having(patterns.match(t, p="rdfs:subC
 on_triples("c1_classify_by_predicate", lambda t: classify.predicate_requests(t).select("id", "cls"), C1 + " SELECT id, cls FROM p1")
 on_triples("c5_create_from_types", classify.created_from_types, _rules_sql() + f", m AS (SELECT DISTINCT s AS id, cls FROM t JOIN tr ON t.o = tr.o WHERE p = {_q('rdf:type')}) SELECT id, cls FROM m UNION ALL SELECT DISTINCT s, 'Individual' FROM t WHERE p = {_q('rdf:type')} AND s_kind = 'iri' AND s NOT IN (SELECT id FROM m)", ["rdf:type"])
 on_triples("c8_identity_counts", lambda t: classify.count_by_class(classify.entities(t)), ENTITIES + " SELECT cls, count(*) AS n FROM ent GROUP BY cls")
-on_triples("c12_punning", lambda t: classify.punned(classify.entities(t)), ENTITIES + " SELECT id, main AS dominant, string_agg(cls, ',' ORDER BY cls) AS others FROM ent JOIN main USING (id) WHERE cls <> main GROUP BY id, main", tables=PARTS)
+on_triples("c12_punning", lambda t: classify.punned(classify.entities(t)), ENTITIES + " SELECT id, main AS dominant, string_agg(cls, ',' ORDER BY cls) AS others FROM ent JOIN main USING (id) WHERE cls <> main GROUP BY id, main")
 on_triples(
     "c14_property_type", lambda t: classify.property_types(t, classify.entities(t)),
     ENTITIES + _reach("rdfs:subPropertyOf") + f""",
@@ -138,7 +136,7 @@ tiers AS (
   UNION ALL SELECT b, arg_min(cls, (depth, cls)), 3 FROM reach JOIN concrete ON a = id GROUP BY b
   UNION ALL SELECT s, CASE WHEN bool_or(starts_with(o, '{PREFIXES['xsd']}') OR o = {_q('rdfs:Literal')}) THEN 'Attribute' ELSE 'Relation' END, 4 FROM t WHERE p = {_q('rdfs:range')} AND o_kind = 'iri' GROUP BY s
   UNION ALL SELECT p, CASE WHEN bool_or(o_kind <> 'literal') THEN 'Relation' ELSE 'Attribute' END, 5 FROM t GROUP BY p)
-SELECT g.id AS prop, coalesce(arg_min(cls, (tier, cls)), 'Annotation') AS cls, CAST(coalesce(min(tier), 6) AS BIGINT) AS tier FROM generic g LEFT JOIN tiers x ON x.id = g.id GROUP BY g.id""", tables=PARTS,
+SELECT g.id AS prop, coalesce(arg_min(cls, (tier, cls)), 'Annotation') AS cls, CAST(coalesce(min(tier), 6) AS BIGINT) AS tier FROM generic g LEFT JOIN tiers x ON x.id = g.id GROUP BY g.id""",
 )
 on_triples("c15_rdf_fallback", lambda t: classify.rdf_fallback(t, classify.created_from_types(t, "rdf").withColumn("id_kind", F.lit("iri"))).groupBy("cls").agg(F.count("*").alias("n")), _rules_sql("rdf") + f""",
 m AS (SELECT DISTINCT s AS id FROM t WHERE p = {_q('rdf:type')} AND (s_kind = 'iri' OR o IN (SELECT o FROM tr))),
@@ -160,10 +158,10 @@ onp AS (SELECT t.s AS restriction, coalesce(inv.o, t.o) AS property, inv.o IS NO
 prop AS (SELECT restriction AS id, min(property) AS property FROM onp GROUP BY restriction)"""
 on_triples("h12_on_property", populate.on_property, _ON_PROPERTY + " SELECT * FROM onp", ["owl:onProperty", "owl:inverseOf"])
 for _name, _ps in (("h13_chain", ["owl:propertyChainAxiom"]), ("h14_keys", ["owl:hasKey"]), ("h15_disjoint_union", ["owl:disjointUnionOf"]), ("h24_one_of", ["owl:oneOf"])):
-    on_triples(_name, lambda t, ps=_ps: populate.list_values(t, closure.list_items(t), *ps).select("owner", "idx", "item"), ITEMS + f" SELECT s AS owner, idx, item FROM t JOIN items ON head = o WHERE p IN {_in(*_ps)}", [*_ps, *LISTS], PARTS)
-on_triples("h28_collections", lambda t: populate.list_values(t, closure.list_items(t), "http://ex.org/o#items").groupBy("owner").agg(F.count("*").alias("n"), F.max(F.struct("idx", "item"))["item"].alias("last")), ITEMS + " SELECT s AS owner, count(*) AS n, arg_max(item, (idx, item)) AS last FROM t JOIN items ON head = o WHERE p = 'http://ex.org/o#items' GROUP BY s", ["http://ex.org/o#items", *LISTS], ["lineitem"])
+    on_triples(_name, lambda t, ps=_ps: populate.list_values(t, closure.list_items(t), *ps).select("owner", "idx", "item"), ITEMS + f" SELECT s AS owner, idx, item FROM t JOIN items ON head = o WHERE p IN {_in(*_ps)}", [*_ps, *LISTS])
+on_triples("h28_collections", lambda t: populate.list_values(t, closure.list_items(t), "http://ex.org/o#items").groupBy("owner").agg(F.count("*").alias("n"), F.max(F.struct("idx", "item"))["item"].alias("last")), ITEMS + " SELECT s AS owner, count(*) AS n, arg_max(item, (idx, item)) AS last FROM t JOIN items ON head = o WHERE p = 'http://ex.org/o#items' GROUP BY s", ["http://ex.org/o#items", *LISTS])
 _FACETS = "CASE p " + " ".join(f"WHEN {_q(k)} THEN '{v}'" for k, v in FACETS.items()) + " END"
-on_triples("h16_facets", lambda t: populate.facets(t, closure.list_items(t)), ITEMS + f", n AS (SELECT s AS id, idx, item FROM t JOIN items ON head = o WHERE p = {_q('owl:withRestrictions')}), d AS (SELECT s, min(o) AS datatype FROM t WHERE p = {_q('owl:onDatatype')} GROUP BY s) SELECT n.id, n.idx, {_FACETS} AS comparator, t.o AS v, datatype FROM n JOIN t ON t.s = n.item AND t.p IN {_in(*FACETS)} LEFT JOIN d ON d.s = n.id", ["owl:withRestrictions", "owl:onDatatype", *FACETS, *LISTS], PARTS)
+on_triples("h16_facets", lambda t: populate.facets(t, closure.list_items(t)), ITEMS + f", n AS (SELECT s AS id, idx, item FROM t JOIN items ON head = o WHERE p = {_q('owl:withRestrictions')}), d AS (SELECT s, min(o) AS datatype FROM t WHERE p = {_q('owl:onDatatype')} GROUP BY s) SELECT n.id, n.idx, {_FACETS} AS comparator, t.o AS v, datatype FROM n JOIN t ON t.s = n.item AND t.p IN {_in(*FACETS)} LEFT JOIN d ON d.s = n.id", ["owl:withRestrictions", "owl:onDatatype", *FACETS, *LISTS])
 _CARD = "CASE p " + " ".join(f"WHEN {_q(k)} THEN '{v}'" for k, v in populate.CARDINALITIES.items()) + " END"
 _CARD_SQL = _ON_PROPERTY + f""", k AS (SELECT s AS id, min(({_CARD}, TRY_CAST(o AS INT))) AS c FROM t WHERE p IN {_in(*populate.CARDINALITIES)} GROUP BY s),
 card AS (SELECT k.id, c[1] AS kind, CAST(c[2] AS BIGINT) AS n, property, coalesce((SELECT min(o) FROM t WHERE s = k.id AND p = {_q('owl:onClass')}), (SELECT min(o) FROM t WHERE s = k.id AND p = {_q('owl:onDataRange')}), {_q('owl:Thing')}) AS filler FROM k LEFT JOIN prop ON prop.id = k.id)"""
@@ -173,18 +171,18 @@ _TRUTH_SQL = f""", truth AS (
   SELECT s AS id, CASE p WHEN {_q('owl:intersectionOf')} THEN 'and' ELSE 'or' END AS operator, count(item) AS n, coalesce(string_agg(item, ',' ORDER BY idx), '') AS members FROM t LEFT JOIN items ON head = o WHERE p IN {_in('owl:intersectionOf', 'owl:unionOf')} GROUP BY s, p
   UNION ALL SELECT s, 'not', 1, o FROM t WHERE p = {_q('owl:complementOf')})"""
 _BOOLEAN = ["owl:intersectionOf", "owl:unionOf", "owl:complementOf"]
-on_triples("h20_truth", lambda t: populate.truth_functions(t, closure.list_items(t)), ITEMS + _TRUTH_SQL + " SELECT * FROM truth", [*_BOOLEAN, *LISTS], PARTS)
+on_triples("h20_truth", lambda t: populate.truth_functions(t, closure.list_items(t)), ITEMS + _TRUTH_SQL + " SELECT * FROM truth", [*_BOOLEAN, *LISTS])
 on_triples("h25_value", populate.has_values, _ON_PROPERTY + f" SELECT s AS id, property, o AS v FROM t LEFT JOIN prop ON prop.id = s WHERE p = {_q('owl:hasValue')}", [*_RESTRICTIONS, "owl:hasValue"])
 _QUANT_SQL = f" SELECT s AS id, CASE p WHEN {_q('owl:someValuesFrom')} THEN 'some' ELSE 'only' END AS quantifier, property, o AS filler FROM t LEFT JOIN prop ON prop.id = s WHERE p IN {_in('owl:someValuesFrom', 'owl:allValuesFrom')}"
 on_triples("h26_quantifier", populate.quantifiers, _ON_PROPERTY + _QUANT_SQL, [*_RESTRICTIONS, "owl:someValuesFrom", "owl:allValuesFrom"])
-on_triples("h30_containers", populate.containers, f" SELECT s AS container, CAST(regexp_extract(p, '_(\\d+)$', 1) AS BIGINT) AS pos, o AS member FROM t WHERE starts_with(p, {_q('rdf:_')}) AND s IN (SELECT s FROM t WHERE p = {_q('rdf:type')} AND o IN {_in('rdf:Bag', 'rdf:Alt', 'rdf:Seq')})", None, ["conversations"])
+on_triples("h30_containers", populate.containers, f" SELECT s AS container, CAST(regexp_extract(p, '_(\\d+)$', 1) AS BIGINT) AS pos, o AS member FROM t WHERE starts_with(p, {_q('rdf:_')}) AND s IN (SELECT s FROM t WHERE p = {_q('rdf:type')} AND o IN {_in('rdf:Bag', 'rdf:Alt', 'rdf:Seq')})")
 on_triples("h32_swrl_rules", lambda t: populate.swrl_rules(t, closure.list_items(t)), ITEMS + f""", sides AS (SELECT s AS rule, regexp_extract(p, '#(.*)$', 1) AS side, idx AS pos, item FROM t JOIN items ON head = o WHERE p IN {_in('swrl:body', 'swrl:head')})
-SELECT rule, side, pos, (SELECT min(o) FROM t WHERE s = item AND p IN {_in('swrl:classPredicate', 'swrl:propertyPredicate', 'swrl:builtin', 'swrl:dataRange')}) AS predicate, (SELECT string_agg(o, ',' ORDER BY p) FROM t WHERE s = item AND p IN {_in('swrl:argument1', 'swrl:argument2')}) AS args FROM sides""", ["rdf:type", "swrl:body", "swrl:head", "swrl:classPredicate", "swrl:propertyPredicate", "swrl:argument1", "swrl:argument2", *LISTS], PARTS)
+SELECT rule, side, pos, (SELECT min(o) FROM t WHERE s = item AND p IN {_in('swrl:classPredicate', 'swrl:propertyPredicate', 'swrl:builtin', 'swrl:dataRange')}) AS predicate, (SELECT string_agg(o, ',' ORDER BY p) FROM t WHERE s = item AND p IN {_in('swrl:argument1', 'swrl:argument2')}) AS args FROM sides""", ["rdf:type", "swrl:body", "swrl:head", "swrl:classPredicate", "swrl:propertyPredicate", "swrl:argument1", "swrl:argument2", *LISTS])
 
 # ------------------------------------------------------------------ axioms, closures, inheritance
 
 for _name, _type, _p in (("g2_pairwise_disjoint", "owl:AllDisjointClasses", "owl:members"), ("g3_all_different", "owl:AllDifferent", "owl:distinctMembers"), ("g4_disjoint_properties", "owl:AllDisjointProperties", "owl:members")):
-    on_triples(_name, lambda t, ty=_type, p=_p: axioms.pairwise(t, closure.list_items(t), ty, p), ITEMS + f", m AS (SELECT s, idx, item FROM t JOIN items ON head = o WHERE p = {_q(_p)} AND s IN (SELECT s FROM t WHERE p = {_q('rdf:type')} AND o = {_q(_type)})), x AS (SELECT a.item AS a, b.item AS b FROM m a JOIN m b ON a.s = b.s AND a.idx < b.idx AND a.item <> b.item) SELECT a, b FROM x UNION SELECT b, a FROM x", ["rdf:type", _p, *LISTS], PARTS)
+    on_triples(_name, lambda t, ty=_type, p=_p: axioms.pairwise(t, closure.list_items(t), ty, p), ITEMS + f", m AS (SELECT s, idx, item FROM t JOIN items ON head = o WHERE p = {_q(_p)} AND s IN (SELECT s FROM t WHERE p = {_q('rdf:type')} AND o = {_q(_type)})), x AS (SELECT a.item AS a, b.item AS b FROM m a JOIN m b ON a.s = b.s AND a.idx < b.idx AND a.item <> b.item) SELECT a, b FROM x UNION SELECT b, a FROM x", ["rdf:type", _p, *LISTS])
 _SIDES_SQL = _reach("rdfs:subPropertyOf") + f""",
 props AS (SELECT s AS id, CASE min(CASE o WHEN {_q('owl:ObjectProperty')} THEN 0 WHEN {_q('owl:DatatypeProperty')} THEN 1 ELSE 2 END) WHEN 0 THEN 'Relation' WHEN 1 THEN 'Attribute' ELSE 'Annotation' END AS cls FROM t WHERE p = {_q('rdf:type')} AND o IN {_in('owl:ObjectProperty', 'owl:DatatypeProperty', 'owl:AnnotationProperty')} GROUP BY s),
 decl AS (SELECT DISTINCT s AS id, CASE p WHEN {_q('rdfs:domain')} THEN 'domain' ELSE 'range' END AS side, o AS value FROM t WHERE p IN {_in('rdfs:domain', 'rdfs:range')} AND o_kind = 'iri'),
@@ -212,13 +210,13 @@ def _sides(t: DataFrame) -> DataFrame:
     return axioms.domains_and_ranges(t, axioms.typed_properties(t))
 
 
-on_triples("g5_defaults", lambda t: _sides(t).where("source = 'default'"), _SIDES_OWL.replace("FROM t ", "FROM (SELECT * FROM t WHERE s_kind = 'iri') t ") + " SELECT * FROM sides WHERE source = 'default'", _SIDE_PREDICATES, PARTS, shared=True)
-on_triples("g6_inheritance", lambda t: _sides(t).where("source <> 'default'"), _SIDES_OWL.replace("FROM t ", "FROM (SELECT * FROM t WHERE s_kind = 'iri') t ") + " SELECT * FROM sides WHERE source <> 'default'", _SIDE_PREDICATES, PARTS, shared=True)
+on_triples("g5_defaults", lambda t: _sides(t).where("source = 'default'"), _SIDES_OWL.replace("FROM t ", "FROM (SELECT * FROM t WHERE s_kind = 'iri') t ") + " SELECT * FROM sides WHERE source = 'default'", _SIDE_PREDICATES, shared=True)
+on_triples("g6_inheritance", lambda t: _sides(t).where("source <> 'default'"), _SIDES_OWL.replace("FROM t ", "FROM (SELECT * FROM t WHERE s_kind = 'iri') t ") + " SELECT * FROM sides WHERE source <> 'default'", _SIDE_PREDICATES, shared=True)
 on_triples("g7_rdfs_defaults", lambda t: axioms.domains_and_ranges(t.where("s_kind = 'iri'"), patterns.match(t, p="rdf:type", o="rdf:Property").select(F.col("s").alias("id"), F.lit("Property").alias("cls")), "rdf"), _SIDES_SQL.replace("FROM t ", "FROM (SELECT * FROM t WHERE s_kind = 'iri') t ") + f"""
 gp AS (SELECT DISTINCT s AS id FROM t WHERE p = {_q('rdf:type')} AND o = {_q('rdf:Property')}),
 need AS (SELECT id, side FROM gp, (VALUES ('domain'), ('range')) v(side) WHERE (id, side) NOT IN (SELECT (id, side) FROM decl))
 SELECT d.id AS prop, side, value, 'declared' AS source FROM decl d JOIN gp ON gp.id = d.id
-UNION ALL SELECT n.id, n.side, coalesce(value, CASE n.side WHEN 'domain' THEN {_q('rdfs:Resource')} ELSE {_q('rdfs:Class')} END), CASE WHEN value IS NULL THEN 'default' ELSE 'ancestor' END FROM need n LEFT JOIN upa a ON (a.id, a.side) = (n.id, n.side)""", _SIDE_PREDICATES, PARTS, shared=True)
+UNION ALL SELECT n.id, n.side, coalesce(value, CASE n.side WHEN 'domain' THEN {_q('rdfs:Resource')} ELSE {_q('rdfs:Class')} END), CASE WHEN value IS NULL THEN 'default' ELSE 'ancestor' END FROM need n LEFT JOIN upa a ON (a.id, a.side) = (n.id, n.side)""", _SIDE_PREDICATES, shared=True)
 on_triples("g5_default_types", lambda t: axioms.default_types(t, patterns.match(t, p="rdf:type", o="owl:NamedIndividual").select(F.col("s").alias("id"))), f" SELECT DISTINCT s AS id, {_q('owl:Thing')} AS type FROM t WHERE p = {_q('rdf:type')} AND o = {_q('owl:NamedIndividual')} AND s NOT IN (SELECT s FROM t WHERE p = {_q('rdf:type')} AND NOT ({_STRUCTURAL}))", ["rdf:type"])
 on_triples("g9_ancestors", lambda t: closure.closure(patterns.match(t, p="rdfs:subClassOf").where("o_kind = 'iri'").select(F.col("s").alias("a"), F.col("o").alias("b"))).select(F.col("a").alias("node"), F.col("b").alias("ancestor"), "depth"), _reach("rdfs:subClassOf").replace("AND s <> o", "AND s <> o AND o_kind = 'iri'") + " SELECT a AS node, b AS ancestor, depth FROM reach", ["rdfs:subClassOf"])
 on_triples("g9_descendants", lambda t: closure.closure(patterns.match(t, p="rdfs:subPropertyOf").select(F.col("s").alias("a"), F.col("o").alias("b"))).groupBy(F.col("b").alias("node")).agg(F.count("*").alias("n"), F.max("depth").alias("height")), _reach("rdfs:subPropertyOf") + " SELECT b AS node, count(*) AS n, max(depth) AS height FROM reach GROUP BY b", ["rdfs:subPropertyOf"])
@@ -238,15 +236,15 @@ stmts AS (
   SELECT s, p, o, o_lang FROM t WHERE p NOT IN {_in(*STRUCTURAL_PREDICATES, 'rdf:type')} AND s NOT IN (SELECT s FROM structured)
     AND NOT (({' OR '.join(f"starts_with(s, '{x}')" for x in R.namespaces('owl'))}) AND s NOT IN (SELECT s FROM t WHERE p = {_q('rdf:type')}))
   EXCEPT SELECT * FROM used)"""
-on_triples("s1_statements", lambda t: statements.statements(t, classify.entities(t)), ENTITIES + _CONSUMED + " SELECT s, p, o, o_lang FROM stmts", tables=["part", "nation"])
-on_triples("s6_nested_statements", lambda t: statements.nested_statements(t, classify.entities(t)), ENTITIES + _CONSUMED + " SELECT s AS id, arg_min(p, (p, o)) AS predicate, arg_min(o, (p, o)) AS object, count(*) - 1 AS n_sides FROM t WHERE s IN (SELECT s FROM structured) AND p NOT IN " + _in(*STRUCTURAL_PREDICATES, "rdf:type", *FACETS) + f" AND NOT (p = {_q('owl:inverseOf')} AND s IN (SELECT o FROM t WHERE p = {_q('owl:onProperty')})) GROUP BY s", tables=PARTS)
+on_triples("s1_statements", lambda t: statements.statements(t, classify.entities(t)), ENTITIES + _CONSUMED + " SELECT s, p, o, o_lang FROM stmts")
+on_triples("s6_nested_statements", lambda t: statements.nested_statements(t, classify.entities(t)), ENTITIES + _CONSUMED + " SELECT s AS id, arg_min(p, (p, o)) AS predicate, arg_min(o, (p, o)) AS object, count(*) - 1 AS n_sides FROM t WHERE s IN (SELECT s FROM structured) AND p NOT IN " + _in(*STRUCTURAL_PREDICATES, "rdf:type", *FACETS) + f" AND NOT (p = {_q('owl:inverseOf')} AND s IN (SELECT o FROM t WHERE p = {_q('owl:onProperty')})) GROUP BY s")
 _BNODES = """, nodes AS (SELECT s AS root, o AS node FROM t WHERE s_kind = 'iri' AND o_kind = 'bnode' UNION SELECT n.root, t.o FROM nodes n JOIN t ON t.s = n.node AND t.o_kind = 'bnode'),
 inner_ AS (SELECT DISTINCT root, s, p, o FROM nodes JOIN t ON s = node)"""
-on_triples("s8_bnode_closure", statements.bnode_closure, _BNODES + " SELECT * FROM inner_", tables=PARTS, shared=True)
+on_triples("s8_bnode_closure", statements.bnode_closure, _BNODES + " SELECT * FROM inner_", shared=True)
 on_triples("s7_provenance", lambda t: statements.provenance(t, populate.list_values(t, closure.list_items(t), "owl:members", "owl:distinctMembers")).groupBy("root").agg(F.count("*").alias("n"), F.min("s").alias("first")), ITEMS + _BNODES + f""", parts AS (
   SELECT s AS root, s, p, o FROM t WHERE s_kind = 'iri' UNION SELECT * FROM inner_
   UNION SELECT item, y.s, y.p, y.o FROM t x JOIN items ON head = x.o JOIN t y ON y.s = x.s WHERE x.p IN {_in('owl:members', 'owl:distinctMembers')})
-SELECT root, count(*) AS n, min(s) AS first FROM parts GROUP BY root""", tables=PARTS)
+SELECT root, count(*) AS n, min(s) AS first FROM parts GROUP BY root""")
 
 # ------------------------------------------------------------------ warnings
 
@@ -254,26 +252,26 @@ _FILLERS = _in(*quality.FILLERS)
 on_triples("w01_malformed_restriction", quality.malformed_restrictions, f""", k AS (SELECT DISTINCT s, p FROM t WHERE s_kind = 'bnode' AND p IN {_FILLERS}), sev AS (SELECT s FROM k GROUP BY s HAVING count(*) > 1),
 par AS (SELECT o AS s, min(s) AS parent FROM t WHERE s_kind = 'iri' AND o_kind = 'bnode' GROUP BY o),
 per AS (SELECT coalesce(parent, '<anonymous>') AS subject, list_sort(list(DISTINCT 'owl:' || regexp_extract(p, '([^/#]*)$', 1))) AS names FROM k JOIN sev USING (s) LEFT JOIN par USING (s) GROUP BY ALL)
-SELECT 'malformed_restriction' AS code, subject, 'OWL 2 DL: malformed restrictions on ' || subject || ' (' || array_to_string(names, ', ') || ')' AS message FROM per""".replace("GROUP BY ALL)\nSELECT", "GROUP BY 1)\nSELECT"), tables=PARTS)
-on_triples("w02_empty_truth_function", lambda t: quality.small_truth_functions(t, closure.list_items(t), 0), ITEMS + _TRUTH_SQL + " SELECT 'empty_truth_function' AS code, id AS subject, '§8.1.1: Truth Function (' || id || ', ' || operator || ') is empty — ignored (collection BNode: ' || id || ')' AS message FROM truth WHERE n = 0 AND operator <> 'not'", [*_BOOLEAN, *LISTS], PARTS)
-on_triples("w03_singleton_truth_function", lambda t: quality.small_truth_functions(t, closure.list_items(t), 1), ITEMS + _TRUTH_SQL + " SELECT 'singleton_truth_function' AS code, id AS subject, '§8.1.1: TruthFunction (' || id || ', ' || operator || ') has a single element — ontology should be checked (collection BNode: ' || id || ')' AS message FROM truth WHERE n = 1 AND operator <> 'not'", [*_BOOLEAN, *LISTS], PARTS)
-on_triples("w04_orphan_restriction", quality.orphan_restrictions, f" SELECT 'orphan_restriction' AS code, s AS subject, 'Orphan ' || CASE WHEN bool_or(p IN {_in('owl:someValuesFrom', 'owl:allValuesFrom')}) THEN 'Quantifier' ELSE 'Cardinality' END || ': no owl:onProperty in graph, removed' AS message FROM t WHERE s_kind = 'bnode' AND p IN {_FILLERS} AND s NOT IN (SELECT s FROM t WHERE p = {_q('owl:onProperty')}) GROUP BY s", tables=PARTS)
+SELECT 'malformed_restriction' AS code, subject, 'OWL 2 DL: malformed restrictions on ' || subject || ' (' || array_to_string(names, ', ') || ')' AS message FROM per""".replace("GROUP BY ALL)\nSELECT", "GROUP BY 1)\nSELECT"))
+on_triples("w02_empty_truth_function", lambda t: quality.small_truth_functions(t, closure.list_items(t), 0), ITEMS + _TRUTH_SQL + " SELECT 'empty_truth_function' AS code, id AS subject, '§8.1.1: Truth Function (' || id || ', ' || operator || ') is empty — ignored (collection BNode: ' || id || ')' AS message FROM truth WHERE n = 0 AND operator <> 'not'", [*_BOOLEAN, *LISTS])
+on_triples("w03_singleton_truth_function", lambda t: quality.small_truth_functions(t, closure.list_items(t), 1), ITEMS + _TRUTH_SQL + " SELECT 'singleton_truth_function' AS code, id AS subject, '§8.1.1: TruthFunction (' || id || ', ' || operator || ') has a single element — ontology should be checked (collection BNode: ' || id || ')' AS message FROM truth WHERE n = 1 AND operator <> 'not'", [*_BOOLEAN, *LISTS])
+on_triples("w04_orphan_restriction", quality.orphan_restrictions, f" SELECT 'orphan_restriction' AS code, s AS subject, 'Orphan ' || CASE WHEN bool_or(p IN {_in('owl:someValuesFrom', 'owl:allValuesFrom')}) THEN 'Quantifier' ELSE 'Cardinality' END || ': no owl:onProperty in graph, removed' AS message FROM t WHERE s_kind = 'bnode' AND p IN {_FILLERS} AND s NOT IN (SELECT s FROM t WHERE p = {_q('owl:onProperty')}) GROUP BY s")
 on_triples("w05_multiple_inverse_of", quality.multiple_inverses, f", e AS (SELECT s AS a, o AS b FROM t WHERE p = {_q('owl:inverseOf')} AND s_kind = 'iri' AND o_kind = 'iri'), x AS (SELECT a, b FROM e UNION SELECT b, a FROM e) SELECT 'multiple_inverse_of' AS code, a AS subject, '§9.2.4: Relation ' || a || ' has ' || count(*) || ' owl:inverseOf declarations (' || string_agg(b, ', ' ORDER BY b) || ')' AS message FROM x GROUP BY a HAVING count(*) > 1", ["owl:inverseOf"])
-on_triples("w06_empty_restriction", lambda t: quality.empty_restrictions(t, closure.list_items(t)), ITEMS + _TRUTH_SQL + " SELECT 'empty_restriction' AS code, id AS subject, 'TruthFunction has empty applies_on_concept' AS message FROM truth WHERE n = 0", [*_BOOLEAN, *LISTS], PARTS)
+on_triples("w06_empty_restriction", lambda t: quality.empty_restrictions(t, closure.list_items(t)), ITEMS + _TRUTH_SQL + " SELECT 'empty_restriction' AS code, id AS subject, 'TruthFunction has empty applies_on_concept' AS message FROM truth WHERE n = 0", [*_BOOLEAN, *LISTS])
 
 
 def _hierarchy_sql(p: str, classes: tuple, code: str, word: str) -> str:
     return ENTITIES + f" SELECT DISTINCT '{code}' AS code, s AS subject, '§5.8.1: ' || c.cls || ' ' || s || ' {word} ' || d.cls || ' ' || o AS message FROM t JOIN ent c ON c.id = s JOIN ent d ON d.id = o WHERE p = {_q(p)} AND s_kind = 'iri' AND o_kind = 'iri' AND c.cls IN {classes} AND d.cls IN {classes} AND NOT list_contains({PAIRS}, d.cls || '<' || c.cls)"
 
 
-on_triples("w07_property_hierarchy", lambda t: quality.property_hierarchy(t, classify.entities(t)), _hierarchy_sql("rdfs:subPropertyOf", ("Relation", "Attribute", "Annotation"), "property_type_mismatch_hierarchy", "subPropertyOf"), tables=PARTS)
-on_triples("w08_class_hierarchy", lambda t: quality.class_hierarchy(t, classify.entities(t)), _hierarchy_sql("rdfs:subClassOf", ("Concept", "Datatype"), "class_datatype_mismatch_hierarchy", "subClassOf"), tables=PARTS)
+on_triples("w07_property_hierarchy", lambda t: quality.property_hierarchy(t, classify.entities(t)), _hierarchy_sql("rdfs:subPropertyOf", ("Relation", "Attribute", "Annotation"), "property_type_mismatch_hierarchy", "subPropertyOf"))
+on_triples("w08_class_hierarchy", lambda t: quality.class_hierarchy(t, classify.entities(t)), _hierarchy_sql("rdfs:subClassOf", ("Concept", "Datatype"), "class_datatype_mismatch_hierarchy", "subClassOf"))
 on_triples("w09_punning_conflicts", lambda t: quality.punning_conflicts(classify.entities(t)), ENTITIES + """, per AS (SELECT id, list_sort(list(DISTINCT cls)) AS l FROM ent WHERE id_kind = 'iri' GROUP BY id)
 SELECT 'class_datatype_conflict' AS code, id AS subject, '§5.8.1: ' || id || ' has both Concept and Datatype in cache' AS message FROM per WHERE list_contains(l, 'Concept') AND list_contains(l, 'Datatype')
-UNION ALL SELECT 'property_type_conflict', id, '§5.8.1: ' || id || ' has multiple property types: [''' || array_to_string(k, ''', ''') || ''']' FROM (SELECT id, list_filter(l, lambda c: c IN ('Annotation', 'Attribute', 'Relation')) AS k FROM per) WHERE len(k) > 1""", tables=PARTS)
+UNION ALL SELECT 'property_type_conflict', id, '§5.8.1: ' || id || ' has multiple property types: [''' || array_to_string(k, ''', ''') || ''']' FROM (SELECT id, list_filter(l, lambda c: c IN ('Annotation', 'Attribute', 'Relation')) AS k FROM per) WHERE len(k) > 1""")
 on_triples("w10_config_type_mismatch", lambda t: quality.config_mismatches(t, classify.entities(t)), ENTITIES + f""", per AS (SELECT id, list_sort(list(DISTINCT cls)) AS l FROM ent GROUP BY id)
 SELECT DISTINCT 'config_type_mismatch' AS code, s AS subject, s || ' subject of ' || t.p || ' (expected [''' || array_to_string(targets, ''', ''') || ''']) got [''' || array_to_string(l, ''', ''') || ''']' AS message
-FROM t JOIN pr ON pr.p = t.p JOIN per ON id = s WHERE s_kind = 'iri' AND len(list_filter(l, lambda c: len(list_filter(targets, lambda x: list_contains({PAIRS}, c || '<' || x))) > 0)) = 0""", tables=PARTS)
+FROM t JOIN pr ON pr.p = t.p JOIN per ON id = s WHERE s_kind = 'iri' AND len(list_filter(l, lambda c: len(list_filter(targets, lambda x: list_contains({PAIRS}, c || '<' || x))) > 0)) = 0""")
 
 # ------------------------------------------------------------------ views
 
@@ -288,8 +286,8 @@ _LABELLED = ["skos:prefLabel", "rdfs:label", "rdfs:subClassOf"]
 for _lang in ("en", "fr"):
     on_triples(f"v1_best_label_{_lang}", lambda t, lang=_lang: views.best_labels(t, t.where("s_kind = 'iri'").select(F.col("s").alias("id")), lang), _labels_sql(_lang) + f" SELECT DISTINCT s AS id, coalesce(label, {_CLEAN.format('s')}) AS label FROM t LEFT JOIN best ON best.id = s WHERE s_kind = 'iri'", _LABELLED)
 on_triples("v5_sections", lambda t: views.section_counts(classify.entities(t)), ENTITIES + f" SELECT cls AS section, count(*) AS n FROM ent WHERE cls IN {tuple(views.SECTIONS['owl'])} GROUP BY cls")
-on_triples("v6_entities", lambda t: views.entity_cards(t, classify.entities(t)), ENTITIES + _labels_sql("en") + f" SELECT 'id_' || md5(id) || '_' || cls AS anchor_id, cls, id AS uri, coalesce(label, {_CLEAN.format('id')}) AS label, id IN (SELECT s FROM t WHERE p = {_q('owl:deprecated')} OR (p = {_q('rdf:type')} AND o = {_q('owl:DeprecatedClass')})) AS is_deprecated FROM ent LEFT JOIN best USING (id) WHERE cls <> 'Literal'", tables=PARTS)
-on_triples("v7_metadata", views.ontology_metadata, f" SELECT DISTINCT {_CLEAN.format('p')} AS attr, o AS v FROM t WHERE p <> {_q('rdf:type')} AND s = (SELECT min(s) FROM t WHERE p = {_q('rdf:type')} AND o IN {_in('owl:Ontology', 'skos:ConceptScheme')})", tables=PARTS)
+on_triples("v6_entities", lambda t: views.entity_cards(t, classify.entities(t)), ENTITIES + _labels_sql("en") + f" SELECT 'id_' || md5(id) || '_' || cls AS anchor_id, cls, id AS uri, coalesce(label, {_CLEAN.format('id')}) AS label, id IN (SELECT s FROM t WHERE p = {_q('owl:deprecated')} OR (p = {_q('rdf:type')} AND o = {_q('owl:DeprecatedClass')})) AS is_deprecated FROM ent LEFT JOIN best USING (id) WHERE cls <> 'Literal'")
+on_triples("v7_metadata", views.ontology_metadata, f" SELECT DISTINCT {_CLEAN.format('p')} AS attr, o AS v FROM t WHERE p <> {_q('rdf:type')} AND s = (SELECT min(s) FROM t WHERE p = {_q('rdf:type')} AND o IN {_in('owl:Ontology', 'skos:ConceptScheme')})")
 _SHORT = "CASE WHEN {0} LIKE '%/%' OR {0} LIKE '%#%' THEN regexp_extract({0}, '([^/#]*)$', 1) ELSE {0} END"
 on_triples("v9_restriction_text", lambda t: views.restriction_texts(t, closure.list_items(t)), ITEMS + _CARD_SQL + _TRUTH_SQL + f""", pn AS (SELECT restriction AS id, min((property, is_inverse)) AS m FROM onp GROUP BY restriction),
 nm AS (SELECT id, CASE WHEN m[2] THEN 'inverse of ' ELSE '' END || {_SHORT.format('m[1]')} AS name FROM pn),
@@ -303,9 +301,9 @@ SELECT id, string_agg(txt, '' ORDER BY n, txt) AS text FROM (
   UNION ALL SELECT id, idx, CASE WHEN idx = 1 THEN CASE WHEN p = {_q('owl:oneOf')} THEN 'one of {{ ' ELSE '(' END WHEN p = {_q('owl:intersectionOf')} THEN ' and ' WHEN p = {_q('owl:unionOf')} THEN ' or ' ELSE ', ' END || {_SHORT.format('item')} || CASE WHEN idx = last THEN CASE WHEN p = {_q('owl:oneOf')} THEN ' }}' ELSE ')' END ELSE '' END FROM lst
   UNION ALL SELECT id, 0, '(' || {_SHORT.format('members')} || ')' FROM truth WHERE operator = 'not'
   UNION ALL SELECT id, idx, CASE WHEN idx = 1 THEN {_SHORT.format('datatype')} || ' restricted by ' ELSE ', ' END || comparator || ' ' || {_SHORT.format('v')} FROM fc)
-WHERE starts_with(id, '_:') GROUP BY id""".replace("{{", "{").replace("}}", "}"), tables=PARTS)
-on_triples("v10_chains", lambda t: views.chain_texts(populate.list_values(t, closure.list_items(t), "owl:propertyChainAxiom")), ITEMS + f" SELECT s AS owner, string_agg({_SHORT.format('item')}, ' o ' ORDER BY idx) AS text FROM t JOIN items ON head = o WHERE p = {_q('owl:propertyChainAxiom')} GROUP BY s", ["owl:propertyChainAxiom", *LISTS], PARTS)
-on_triples("v11_statement_groups", lambda t: statements.statements(t, classify.entities(t)).groupBy("s", X.clean_name(X.local_name(F.col("p"))).alias("label")).agg(F.array_join(F.array_sort(F.collect_set("o")), "|").alias("vals")), ENTITIES + _CONSUMED + f" SELECT s, {_CLEAN.format('p')} AS label, array_to_string(list_sort(list(DISTINCT o)), '|') AS vals FROM stmts GROUP BY 1, 2", tables=PARTS)
+WHERE starts_with(id, '_:') GROUP BY id""".replace("{{", "{").replace("}}", "}"))
+on_triples("v10_chains", lambda t: views.chain_texts(populate.list_values(t, closure.list_items(t), "owl:propertyChainAxiom")), ITEMS + f" SELECT s AS owner, string_agg({_SHORT.format('item')}, ' o ' ORDER BY idx) AS text FROM t JOIN items ON head = o WHERE p = {_q('owl:propertyChainAxiom')} GROUP BY s", ["owl:propertyChainAxiom", *LISTS])
+on_triples("v11_statement_groups", lambda t: statements.statements(t, classify.entities(t)).groupBy("s", X.clean_name(X.local_name(F.col("p"))).alias("label")).agg(F.array_join(F.array_sort(F.collect_set("o")), "|").alias("vals")), ENTITIES + _CONSUMED + f" SELECT s, {_CLEAN.format('p')} AS label, array_to_string(list_sort(list(DISTINCT o)), '|') AS vals FROM stmts GROUP BY 1, 2")
 on_triples("v12_hierarchy", lambda t: views.hierarchy(t, "rdfs:subClassOf", patterns.match(t, p="rdf:type", o="owl:Class").where("s_kind = 'iri'").select(F.col("s").alias("id"))), f""", n AS (SELECT DISTINCT s AS id FROM t WHERE p = {_q('rdf:type')} AND o = {_q('owl:Class')} AND s_kind = 'iri'),
 e AS (SELECT DISTINCT s AS child, o AS parent FROM t WHERE p = {_q('rdfs:subClassOf')} AND s <> o AND s IN (SELECT id FROM n) AND o IN (SELECT id FROM n)),
 tree AS (SELECT id AS node, [id] AS way FROM n WHERE id NOT IN (SELECT child FROM e) UNION ALL SELECT child, list_append(way, child) FROM tree JOIN e ON parent = node WHERE NOT list_contains(way, child))
@@ -313,7 +311,7 @@ SELECT node, array_to_string(list_transform(way, lambda x: {_SHORT.format('x')})
 
 on_triples("v8_language_values", lambda t: views.in_language(populate.literals(t), "en").groupBy("attr", "lang").agg(F.count("*").alias("n")), f" SELECT CASE p WHEN {_q('rdfs:label')} THEN 'has_label' ELSE 'has_comment' END AS attr, o_lang AS lang, count(DISTINCT (s, o)) AS n FROM t WHERE o_kind = 'literal' AND p IN {_in('rdfs:label', 'rdfs:comment')} AND (o_lang = '' OR starts_with(lower(o_lang), 'en')) GROUP BY 1, 2", ["rdfs:label", "rdfs:comment"])
 on_triples("v19_literal_pick", lambda t: views.literal_pick(t.select(F.col("s").alias("id"), F.lit("has_preferred_label").alias("attr"), F.col("o").alias("v"), F.col("o_lang").alias("lang")), "de"), " SELECT s AS id, 'has_preferred_label' AS attr, arg_min(o, (lower(o_lang) <> 'de', o_lang, o)) AS v FROM t GROUP BY s", ["skos:prefLabel"])
-on_triples("v21_link_anchors", lambda t: views.link_anchors(classify.created_from_types(t).select(F.col("id").alias("uri"), "cls", X.anchor(F.col("id"), F.col("cls")).alias("anchor_id"))), _rules_sql() + f", m AS (SELECT DISTINCT s AS id, cls FROM t JOIN tr ON t.o = tr.o WHERE p = {_q('rdf:type')}), e AS (SELECT id, cls FROM m UNION ALL SELECT DISTINCT s, 'Individual' FROM t WHERE p = {_q('rdf:type')} AND s_kind = 'iri' AND s NOT IN (SELECT id FROM m)) SELECT id AS uri, 'id_' || md5(id) || '_' || min(cls) AS anchor_id FROM e GROUP BY id", ["rdf:type"], PARTS)
+on_triples("v21_link_anchors", lambda t: views.link_anchors(classify.created_from_types(t).select(F.col("id").alias("uri"), "cls", X.anchor(F.col("id"), F.col("cls")).alias("anchor_id"))), _rules_sql() + f", m AS (SELECT DISTINCT s AS id, cls FROM t JOIN tr ON t.o = tr.o WHERE p = {_q('rdf:type')}), e AS (SELECT id, cls FROM m UNION ALL SELECT DISTINCT s, 'Individual' FROM t WHERE p = {_q('rdf:type')} AND s_kind = 'iri' AND s NOT IN (SELECT id FROM m)) SELECT id AS uri, 'id_' || md5(id) || '_' || min(cls) AS anchor_id FROM e GROUP BY id", ["rdf:type"])
 on_triples("k3_ntriples", serialize.nt_lines, r""" SELECT CASE s_kind WHEN 'bnode' THEN s ELSE '<' || s || '>' END || ' <' || p || '> ' || CASE o_kind WHEN 'bnode' THEN o WHEN 'iri' THEN '<' || o || '>' ELSE '"' || replace(replace(replace(replace(replace(o, '\', '\\'), '"', '\"'), chr(10), '\n'), chr(13), '\r'), chr(9), '\t') || '"' || CASE WHEN o_lang <> '' THEN '@' || o_lang ELSE '' END END || ' .' AS value FROM t""", ["rdfs:label", "rdfs:comment", "owl:hasValue", "owl:onProperty", "skos:prefLabel"])
 
 
@@ -338,10 +336,11 @@ register("val6_xml", lambda s, d: _pages(s, d).select("page_id", validate.xml_ve
 y AS (SELECT *, substr(html, pos) AS rest FROM x),
 z AS (SELECT *, strpos(rest, '[') AS b, strpos(rest, '>') AS e FROM y),
 v AS (SELECT page_id, CASE WHEN pos = 0 THEN NULL WHEN b > 0 THEN CASE WHEN strpos(substr(rest, b), ']') > 0 THEN substr(rest, b, strpos(substr(rest, b), ']')) ELSE substr(rest, b) END WHEN e > 0 THEN substr(rest, 1, e) ELSE rest END AS sub FROM z)
-SELECT page_id, CASE WHEN sub IS NULL THEN 'ok' WHEN length(sub) > 51200 THEN 'size' WHEN contains(lower(sub), 'system') OR contains(lower(sub), 'public') THEN 'external' WHEN len(regexp_extract_all(lower(sub), '<!entity')) > 100 THEN 'entities' WHEN regexp_matches(lower(sub), '<!entity\s*%') THEN 'parameter' WHEN regexp_matches(sub, '&[\pL_][\pL\pN_.\-]{0,63};') THEN 'nested' ELSE 'ok' END AS verdict FROM v""")
+SELECT page_id, CASE WHEN sub IS NULL THEN 'ok' WHEN length(sub) > 51200 THEN 'size' WHEN regexp_matches(lower(sub), '<!entity\s*%') THEN 'parameter' WHEN contains(lower(sub), 'system') OR contains(lower(sub), 'public') THEN 'external' WHEN len(regexp_extract_all(lower(sub), '<!entity')) > 100 THEN 'entities' WHEN regexp_matches(sub, '&[\pL_][\pL\pN_.\-]{0,63};') THEN 'nested' ELSE 'ok' END AS verdict FROM v""")
 register("val7_entityref", lambda s, d: _pages(s, d).select("page_id", validate.has_entity_reference(F.col("html")).alias("found")), r"SELECT page_id, regexp_matches(html, '&[\pL_][\pL\pN_.\-]{0,63};') AS found FROM pages")
-on_triples("src9_import_closure", imports.import_closure, _reach("owl:imports") + " SELECT a AS model, b AS imported, depth FROM reach", ["owl:imports"], PARTS)
-on_triples("src8_direct_imports", imports.direct_imports, f" SELECT s AS model, o AS imported FROM t WHERE p = {_q('owl:imports')} GROUP BY ALL".replace("GROUP BY ALL", "GROUP BY s, o"), ["owl:imports"], PARTS)
+on_triples("src9_import_closure", imports.import_closure, _reach("owl:imports") + " SELECT a AS model, b AS imported, depth FROM reach", ["owl:imports"])
+on_triples("src10_imports_of_a_root", lambda t: imports.import_closure(t, imports.direct_imports(t).groupBy().agg(F.min("model").alias("model"))), _reach("owl:imports") + f" SELECT a AS model, b AS imported, depth FROM reach WHERE a = (SELECT min(s) FROM t WHERE p = {_q('owl:imports')})", ["owl:imports"])
+on_triples("src8_direct_imports", imports.direct_imports, f" SELECT s AS model, o AS imported FROM t WHERE p = {_q('owl:imports')} GROUP BY ALL".replace("GROUP BY ALL", "GROUP BY s, o"), ["owl:imports"])
 register("src12_token", lambda s, d: _pages(s, d).select("page_id", X.url_token(F.col("url"), "owl", False, True).alias("token")), "SELECT page_id, 'url_' || substr(sha256(url || '|owl|False|True'), 1, 32) AS token FROM pages")
 register("src14_spool_eviction", lambda s, d: spool.kept(s.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("spool"), F.col("event_id").alias("name"), F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").alias("mtime"), (F.col("user_id") + 1).alias("size")), now=1735689600, ttl=10**9, budget=20_000, by="spool").select("spool", "name"), "WITH f AS (SELECT event_type AS spool, event_id AS name, user_id + 1 AS size, CAST(floor(epoch(ts)) AS BIGINT) AS mtime FROM events), r AS (SELECT spool, name, sum(size) OVER (PARTITION BY spool ORDER BY mtime DESC, name DESC ROWS UNBOUNDED PRECEDING) AS total FROM f WHERE mtime >= 1735689600 - 1000000000) SELECT spool, name FROM r WHERE total <= 20000")
 register("k2_slug", lambda s, d: _pages(s, d).select("page_id", X.slug(F.col("url")).alias("slug")), "SELECT page_id, replace(replace(regexp_replace(url, '^https?://', ''), '/', '_'), '#', '_') AS slug FROM pages")

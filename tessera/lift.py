@@ -226,19 +226,19 @@ def _specification() -> list[Line]:
 SPECIFICATION = _specification()
 
 
-def _chosen(predicates: list[str] | None, tables: list[str] | None) -> list[Line]:
+def _chosen(predicates: list[str] | None) -> list[Line]:
     wanted = None if predicates is None else {f"'{iri(p)}'" for p in predicates}
-    return [x for x in SPECIFICATION if (wanted is None or x.p in wanted or ("||" in x.p and any(w.startswith(x.p.split("' ||")[0]) for w in wanted))) and (tables is None or x.table in tables)]
+    return [x for x in SPECIFICATION if (wanted is None or x.p in wanted or ("||" in x.p and any(w.startswith(x.p.split("' ||")[0]) for w in wanted)))]
 
 
 def _kind(s: str) -> str:
     return "'bnode'" if s.startswith("'_:") else "'iri'"
 
 
-def lift(spark: SparkSession, sf_dir: str, predicates: list[str] | None = None, tables: list[str] | None = None) -> DataFrame:
+def lift(spark: SparkSession, sf_dir: str, predicates: list[str] | None = None) -> DataFrame:
     """Triples of the tables in ``sf_dir``: s, s_kind, p, o, o_kind, o_lang, o_dt (empty: none)."""
     parts = []
-    lines = _chosen(predicates, tables)
+    lines = _chosen(predicates)
     groups: dict[str, list[Line]] = {}
     for line in lines:
         groups.setdefault(line.table, []).append(line)
@@ -249,7 +249,7 @@ def lift(spark: SparkSession, sf_dir: str, predicates: list[str] | None = None,
     return reduce(DataFrame.unionByName, parts)
 
 
-def lift_sql(predicates: list[str] | None = None, tables: list[str] | None = None) -> str:
+def lift_sql(predicates: list[str] | None = None) -> str:
     """The same triples as plain SQL."""
-    lines = [f"SELECT {x.s} AS s, {_kind(x.s)} AS s_kind, {x.p} AS p, {x.o} AS o, '{x.kind}' AS o_kind, {x.lang} AS o_lang, '' AS o_dt FROM {x.table} WHERE {x.where}" for x in _chosen(predicates, tables)]
+    lines = [f"SELECT {x.s} AS s, {_kind(x.s)} AS s_kind, {x.p} AS p, {x.o} AS o, '{x.kind}' AS o_kind, {x.lang} AS o_lang, '' AS o_dt FROM {x.table} WHERE {x.where}" for x in _chosen(predicates)]
     return " UNION ALL ".join(lines)

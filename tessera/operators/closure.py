@@ -24,19 +24,36 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def closure(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+#: Rows that a doubling round may make besides twice the pairs that are known.
+DOUBLING_ROWS = 1_000_000
+
+
+def closure(edges: DataFrame, a: str = "a", b: str = "b", roots: DataFrame | None = None) -> DataFrame:
     """Pairs (a, b, depth) with b reachable from a, at the least number of steps; cycles end, a = b is left out.
 
-    Paths double in length with every round, so a tree of depth d takes log2(d) rounds.
+    With ``roots`` (a column ``a``) only pairs that start there. All pairs up to a depth are known after a round, and
+    what lies beyond starts with a pair of exactly that depth: these go on, by a step, or by all known pairs where
+    that makes few rows, as in trees and chains. Pairs that are known already are dropped by an anti-join.
     """
-    now = materialize(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct().withColumn("depth", F.lit(1)))
-    size = now.count()
+    steps = materialize(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct().withColumn("depth", F.lit(1)))
+    known = steps if roots is None else steps.join(roots.select("a").distinct(), "a", "left_semi")
+    depth = 1
     while True:
-        longer = now.alias("x").join(now.alias("y"), F.col("x.b") == F.col("y.a")).where("x.a <> y.b").select("x.a", "y.b", (F.col("x.depth") + F.col("y.depth")).alias("depth"))
-        now = materialize(now.unionByName(longer).groupBy("a", "b").agg(F.min("depth").alias("depth")))
-        before, size = size, now.count()
-        if size == before:
-            return now
+        last = known.where(F.col("depth") == depth)
+        double = roots is None and depth > 1 and _rows_made(last, known) <= DOUBLING_ROWS + 2 * known.count()
+        further = (known if double else steps).select(F.col("a").alias("m"), F.col("b").alias("end"), F.col("depth").alias("more"))
+        longer = last.join(further, last["b"] == F.col("m")).where("a <> end").groupBy("a", F.col("end").alias("b")).agg((F.min("more") + depth).alias("depth"))
+        new = materialize(longer.join(known.select("a", "b"), ["a", "b"], "left_anti"))
+        if new.isEmpty():
+            return known
+        known, depth = known.unionByName(new), depth * 2 if double else depth + 1
+
+
+def _rows_made(last: DataFrame, known: DataFrame) -> int:
+    """How many rows a join of ``last`` with ``known`` makes."""
+    ends = last.groupBy("b").agg(F.count("*").alias("n"))
+    starts = known.groupBy("a").agg(F.count("*").alias("k"))
+    return ends.join(starts, ends["b"] == starts["a"]).agg(F.sum(F.expr("n * k"))).first()[0] or 0
 
 
 def nearest(reach: DataFrame, marked: DataFrame, pick: str, start: str = "a", end: str = "b") -> DataFrame:

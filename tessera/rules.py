@@ -58,6 +58,7 @@ swrl:body | predicate | Rule
 swrl:head | predicate | Rule
 """
 
+# The same for the OWL vocabulary.
 OWL_RULES = """
 rdf:type | predicate | Individual, Resource | | rdf_type
 rdfs:Literal | class | Literal
@@ -133,6 +134,7 @@ owl:sameAs | predicate | Resource | Individual | symmetric:is_same_as
 owl:differentFrom | predicate | Resource | | symmetric:is_different_from
 """
 
+# The same for the RDF vocabulary.
 RDF_RULES = """
 rdf:Property | class | Property
 rdf:Statement | class | Statement

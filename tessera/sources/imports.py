@@ -14,9 +14,13 @@ def direct_imports(triples: DataFrame) -> DataFrame:
     return match(triples, p="owl:imports").select(F.col("s").alias("model"), F.col("o").alias("imported")).distinct()
 
 
-def import_closure(triples: DataFrame) -> DataFrame:
-    """model, imported, depth; models that import each other in a circle end once all are seen."""
-    return closure(direct_imports(triples), "model", "imported").select(F.col("a").alias("model"), F.col("b").alias("imported"), "depth")
+def import_closure(triples: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """model, imported, depth; models that import each other in a circle end once all are seen.
+
+    ``roots`` (a column ``model``): the models to start from, as a user loads some; the work grows with what they reach.
+    """
+    start = None if roots is None else roots.select(F.col("model").alias("a"))
+    return closure(direct_imports(triples), "model", "imported", start).select(F.col("a").alias("model"), F.col("b").alias("imported"), "depth")
 
 
 def with_imports(triples: DataFrame, catalogue: DataFrame, root: str, closed: bool = False) -> DataFrame:
@@ -28,7 +32,8 @@ def with_imports(triples: DataFrame, catalogue: DataFrame, root: str, closed: bo
     columns = triples.columns
     if closed:
         edges = match(catalogue, p="owl:imports").select("s", "p", "o", "o_kind").unionByName(match(triples, p="owl:imports").select("s", "p", "o", "o_kind"))
-        wanted = import_closure(edges).where(F.col("model") == root).select(F.col("imported").alias("model"))
+        start = triples.sparkSession.createDataFrame([(root,)], "model string")
+        wanted = import_closure(edges, start).select(F.col("imported").alias("model"))
     else:
         wanted = direct_imports(triples).where(F.col("model") == root).select(F.col("imported").alias("model"))
     return triples.unionByName(catalogue.join(wanted, "model", "left_semi").select(*columns)).dropDuplicates(columns)
