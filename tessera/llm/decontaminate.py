@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .scratch import small_batches
 
@@ -43,10 +44,10 @@ class Index:
         from xxhash import xxh64_intdigest
 
         self.items: list[tuple[object, frozenset[bytes], int]] = []
-        #: width -> hash value -> items that have it in their sketch
-        self.sketches: dict[int, dict[int, list[int]]] = defaultdict(dict)
-        #: width -> least number of shingles that any of its items asks for
-        self.least: dict[int, int] = {}
+        #: width -> hash value -> size class -> items that have it in their sketch
+        self.sketches: dict[int, dict[int, dict[int, list[int]]]] = defaultdict(dict)
+        #: width -> size class -> least number of shingles that any of its items asks for
+        self.least: dict[int, dict[int, int]] = defaultdict(dict)
         for item_id, text in items:
             words = words_of(text)
             if not words:
@@ -54,11 +55,11 @@ class Index:
             own = min(width, len(words))  # an item of fewer words is one shingle of its own width
             shingles = frozenset(shingles_of(words, own))
             need = math.ceil(threshold * len(shingles) - 1e-9)
-            number = len(self.items)
+            size, number = len(shingles).bit_length() - 1, len(self.items)
             self.items.append((item_id, shingles, need))
             for value in sorted(map(xxh64_intdigest, shingles))[: len(shingles) - need + 1]:
-                self.sketches[own].setdefault(value, []).append(number)
-            self.least[own] = min(need, self.least.get(own, need))
+                self.sketches[own].setdefault(value, {}).setdefault(size, []).append(number)
+            self.least[own][size] = min(need, self.least[own].get(size, need))
 
     def search(self, text: str | None) -> Iterator[tuple[object, int, int]]:
         """(item, its shingles, how many of them the text has) for all items contained in the text."""
@@ -66,13 +67,13 @@ class Index:
 
         words = words_of(text)
         for width, sketch in self.sketches.items():
-            if len(words) - width + 1 < self.least[width]:
+            open_ = {size for size, least in self.least[width].items() if len(words) - width + 1 >= least}
+            if not open_:
                 continue
             hits = [v for v in map(xxh64_intdigest, shingles_of(words, width)) if v in sketch]
-            if not hits:
-                continue
-            there = set(shingles_of(words, width))
-            for number in sorted({n for v in hits for n in sketch[v]}):
+            numbers = {n for v in hits for size, own in sketch[v].items() if size in open_ for n in own}
+            there = set(shingles_of(words, width)) if numbers else set()
+            for number in sorted(numbers):
                 item_id, shingles, need = self.items[number]
                 shared = len(shingles & there)
                 if shared >= need:
@@ -92,7 +93,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, t
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     items = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text"))
     schema = HITS.format(id=source.schema["doc_id"].dataType.simpleString(), item=items.schema["item_id"].dataType.simpleString())
-    item_type = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[items.schema["item_id"].dataType.simpleString()]
+    item_type = to_arrow_type(items.schema["item_id"].dataType)
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, -(-total // BLOCK_BYTES))
     out = None
