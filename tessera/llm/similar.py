@@ -113,6 +113,14 @@ def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"):
     return F.xxhash64(docs[doc_id], docs[doc_id].isNull(), F.coalesce(docs[text], F.lit("")))
 
 
+def _common(texts: DataFrame, width: int) -> list[int]:
+    """The shingles that most sets of a sample share, most frequent first. Copies count as one set: whether there are
+    different ones is seen from the largest and the smallest name."""
+    sampled = _sets(texts, width, "v long, sk long", lambda rk, own: (own, np.full(len(own), _name(own))) if _name(own) % SAMPLE == 0 else (own[:0], own[:0]))
+    often = sampled.groupBy("v").agg(F.count("*").alias("k"), F.min("sk").alias("lo"), F.max("sk").alias("hi")).where(f"k >= {COMMON} and lo <> hi")
+    return [r[0] for r in often.orderBy(F.desc("k"), "v").limit(MOST).select("v").collect()]
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """rk (``keyed``) of the row that stays of each group of near-duplicates.
 
@@ -137,10 +145,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: float = THRE
     scratch.drop("hashed", "first", "met", "members")
     scratch.free_shuffles()
 
-    sampled = _sets(texts, width, "v long, sk long", lambda rk, own: (own, np.full(len(own), _name(own))) if _name(own) % SAMPLE == 0 else (own[:0], own[:0]))
-    # Copies count as one set: the number of different sets is bounded by the largest and the smallest name.
-    often = sampled.groupBy("v").agg(F.count("*").alias("k"), F.min("sk").alias("lo"), F.max("sk").alias("hi")).where(f"k >= {COMMON} and lo <> hi")
-    common = [r[0] for r in often.orderBy(F.desc("k"), "v").limit(MOST).select("v").collect()]
+    common = _common(texts, width)
+    scratch.free_shuffles()
     values = np.array(common, np.int64)
     by_value = np.argsort(values)
     shared = spark.sparkContext.broadcast((values[by_value], (len(values) - by_value).astype(np.int64)))
