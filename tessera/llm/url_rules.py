@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import free_name
+
 #: Most bytes of rule text that are broadcast as one trie; longer lists are matched in blocks of this size.
 MAX_TRIE_BYTES = 64 << 20
 
@@ -110,9 +112,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "
         trie = spark.sparkContext.broadcast(Trie(block, first))
 
         found.append(_look_up(trie)("host", "path"))
-    hit = "_hit"
-    while hit in base.columns:
-        hit += "_"
+    hit = free_name(base, "_hit")
     if len(found) == 1:
         base = base.withColumn(hit, found[0])
     else:
