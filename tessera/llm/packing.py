@@ -24,6 +24,8 @@ from .tokens import encoding
 
 CAPACITY, SEPARATOR = 2048, 0
 
+#: Pieces of one length whose runs are looked up together, as a power of two.
+BLOCK_BITS = 16
 RUNS = "length long, lo long, n long, seq long, offset long"
 PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long"
 
@@ -126,6 +128,10 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, separat
     first = counts.select("length", (F.sum("n").over(Window.orderBy("length")) - F.col("n")).alias("first"))
     runs = match_runs([tuple(r) for r in counts.collect()], capacity)  # at most `capacity` classes
     ranked = placed.join(F.broadcast(before), "part").join(F.broadcast(first), "length").withColumn("rank", F.col("before") + F.col("at") - F.col("first")).drop("part", "at", "before", "first")
-    runs = spark.createDataFrame(runs, RUNS).select("length", "lo", (F.col("lo") + F.col("n")).alias("hi"), "seq", "offset")
-    out = ranked.join(F.broadcast(runs), "length").where("rank >= lo and rank < hi")
+    # Runs meet pieces by length and block of ranks: a hot length is dealt over many keys, and whether the runs are
+    # broadcast is left to Spark, which knows the size of the written table.
+    block = lambda rank: F.shiftright(rank, BLOCK_BITS)
+    runs = spark.createDataFrame(runs, RUNS).withColumn("hi", F.col("lo") + F.col("n"))
+    runs = scratch.save(runs.select("length", "lo", "hi", "seq", "offset", F.explode(F.sequence(block(F.col("lo")), block(F.col("hi") - 1))).alias("block")), "runs")
+    out = ranked.withColumn("block", block(F.col("rank"))).join(runs, ["length", "block"]).where("rank >= lo and rank < hi")
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("seq") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset")
