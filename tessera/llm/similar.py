@@ -30,7 +30,7 @@ WIDTH, THRESHOLD = 5, 0.8
 MAX_BITS = 3
 #: Buckets of up to so many sets are paired; of larger ones, members first meet ``CENTRES`` of them.
 PAIRED, CENTRES = 32, 4
-#: Bits that sets of large buckets are compared by before they are paired.
+#: Bits that sets are compared by first: in large buckets before they are paired, else before whole sets are.
 BITMAP = 1024
 #: One set in ``SAMPLE`` is looked at for common shingles: those of ``COMMON`` sets, at most ``MOST`` of them.
 SAMPLE, COMMON, MOST = 4, 8, 200_000
@@ -94,12 +94,20 @@ def _close(threshold: float):
 
 
 def _side(members: DataFrame, side: str) -> DataFrame:
-    return members.select("v", *[F.col(c).alias(f"{side}_{c}" if c != "sk" else side) for c in members.columns if c != "v"])
+    return members.select(*[F.col(c).alias({"v": c, "sk": side}.get(c, f"{side}_{c}")) for c in members.columns])
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, width: int, threshold: float, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs (a, b) whose sets have at least ``threshold`` of their union in common."""
-    pairs = scratch.save(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), f"pairs-{name}")
+def _verified(pairs: DataFrame, marks: DataFrame, texts: DataFrame, nodes: DataFrame, width: int, threshold: float, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs (a, b) whose sets have at least ``threshold`` of their union in common.
+
+    ``marks`` (sk, n, bits) rules most pairs out, so that few whole sets are written and dealt out.
+    """
+    pairs = scratch.save(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), f"met-{name}")
+    for side in ("a", "b"):
+        pairs = pairs.join(_side(marks, side), side)
+    pairs = scratch.save(pairs.where(_close(threshold)).select("a", "b"), f"pairs-{name}")
+    scratch.drop(f"met-{name}")
+    scratch.free_shuffles()
     asked = pairs.select(F.col("a").alias("sk")).unionByName(pairs.select(F.col("b").alias("sk"))).distinct()
     asked = nodes.join(asked, "sk", "left_semi").select("best.rk")
     arrays = scratch.save(_sets(texts.join(asked, "rk", "left_semi").dropDuplicates(["rk"]), width, "sk long, hashes array<long>", lambda rk, own: (_name(own), own.tolist())), f"sets-{name}")
@@ -134,10 +142,12 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: float = THRE
     scratch = Scratch(spark)
     texts = docs.select(keyed(docs, doc_id, text).alias("rk"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     ids = docs.select(keyed(docs, doc_id, text).alias("rk"), F.col(doc_id).alias("id"))
-    own = scratch.save(_sets(texts, width, "rk long, sk long, n int", lambda rk, own: (rk, _name(own), len(own))), "own")
+    own = scratch.save(_sets(texts, width, "rk long, sk long, n int, bits array<long>", lambda rk, own: (rk, _name(own), len(own), _bits(own).tolist())), "own")
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rk")).alias("best")
     nodes = scratch.save(own.join(ids, "rk").groupBy("sk").agg(best, F.max("n").alias("n")), "nodes")
 
+    marks = scratch.save(own.select("sk", "n", "bits").dropDuplicates(["sk"]), "marks")
+
     hinted = simhash.candidates(texts, scratch, width, MAX_BITS, "rk", "text")
     named = lambda side: own.select(F.col("rk").alias(side), F.col("sk").alias(f"sk_{side}")).distinct()
     hinted = hinted.join(named("a"), "a").join(named("b"), "b").select(F.col("sk_a").alias("a"), F.col("sk_b").alias("b")).where("a <> b")
@@ -174,21 +184,19 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: float = THRE
     scratch.free_shuffles()
     pairs = _side(few, "a").join(_side(few, "b"), "v").where((F.col("a") < F.col("b")) & _possible(threshold)).select("a", "b")
     pairs = pairs.unionByName(hinted).unionByName(many.select(F.col("sk").alias("a"), F.explode("centres").alias("b")).distinct())
-    edges = _verified(pairs, texts, nodes, width, threshold, scratch, "first")
+    edges = _verified(pairs, marks, texts, nodes, width, threshold, scratch, "first")
     # What is left in large buckets are pairs that centres haven't linked yet; one of the two lies outside of
     # the largest group of its bucket.
     roots = components(edges, Scratch(spark)).select(F.col("node").alias("sk"), "root")
     grouped = scratch.save(many.select("v", "sk", "n", "i").join(roots, "sk", "left").withColumn("root", F.coalesce("root", "sk")), "grouped")
     largest = grouped.groupBy("v", "root").agg(F.count("*").alias("k")).groupBy("v").agg(F.count("*").alias("groups"), F.max(F.struct("k", "root"))["root"].alias("most")).where("groups > 1")
     mixed = scratch.save(grouped.join(largest, "v"), "mixed")
-    asked = nodes.join(mixed.select("sk").distinct(), "sk", "left_semi").select("best.rk")
-    bits = scratch.save(_sets(texts.join(asked, "rk", "left_semi").dropDuplicates(["rk"]), width, "sk long, bits array<long>", lambda rk, own: (_name(own), _bits(own).tolist())), "bits")
-    mixed = scratch.save(mixed.join(bits, "sk"), "compared")
+    mixed = scratch.save(mixed.join(marks.select("sk", "bits"), "sk"), "compared")
     members = ["v", "sk", "n", "i", "root", "bits"]
     met = _side(mixed.where("root <> most").select(*members), "a").join(_side(mixed.select(*members), "b"), "v")
     left = met.where((F.col("a_root") != F.col("b_root")) & _possible(threshold) & _close(threshold)).select("a", "b")
-    edges = edges.unionByName(_verified(left, texts, nodes, width, threshold, scratch, "second"))
-    scratch.drop("few", "many", "grouped", "mixed", "bits", "compared", "hinted", "pairs-first", "sets-first", "pairs-second", "sets-second")
+    edges = edges.unionByName(_verified(left, marks, texts, nodes, width, threshold, scratch, "second"))
+    scratch.drop("few", "many", "grouped", "mixed", "marks", "compared", "hinted", "pairs-first", "sets-first", "pairs-second", "sets-second")
     scratch.free_shuffles()
     found = components(edges, scratch)
     kept = nodes.join(found.withColumnRenamed("node", "sk"), "sk", "left").groupBy(F.coalesce("root", "sk").alias("root")).agg(F.min("best").alias("best"))
