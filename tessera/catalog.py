@@ -11,7 +11,7 @@ from . import rules as R
 from .functions import text as X
 from .lift import lift, lift_sql
 from .operators import axioms, classify, closure, patterns, populate, quality, statements
-from .plans import views
+from .plans import values, views
 from .sinks import serialize
 from .sources import imports, spool, validate
 from .vocab import BUILTIN_DATATYPES, FACETS, PREFIXES, STRUCTURAL_PREDICATES, iri
@@ -177,7 +177,7 @@ _QUANT_SQL = f" SELECT s AS id, CASE p WHEN {_q('owl:someValuesFrom')} THEN 'som
 on_triples("h26_quantifier", populate.quantifiers, _ON_PROPERTY + _QUANT_SQL, [*_RESTRICTIONS, "owl:someValuesFrom", "owl:allValuesFrom"])
 on_triples("h30_containers", populate.containers, f" SELECT s AS container, CAST(regexp_extract(p, '_(\\d+)$', 1) AS BIGINT) AS pos, o AS member FROM t WHERE starts_with(p, {_q('rdf:_')}) AND s IN (SELECT s FROM t WHERE p = {_q('rdf:type')} AND o IN {_in('rdf:Bag', 'rdf:Alt', 'rdf:Seq')})")
 on_triples("h32_swrl_rules", lambda t: populate.swrl_rules(t, closure.list_items(t)), ITEMS + f""", sides AS (SELECT s AS rule, regexp_extract(p, '#(.*)$', 1) AS side, idx AS pos, item FROM t JOIN items ON head = o WHERE p IN {_in('swrl:body', 'swrl:head')})
-SELECT rule, side, pos, (SELECT min(o) FROM t WHERE s = item AND p IN {_in('swrl:classPredicate', 'swrl:propertyPredicate', 'swrl:builtin', 'swrl:dataRange')}) AS predicate, (SELECT string_agg(o, ',' ORDER BY p) FROM t WHERE s = item AND p IN {_in('swrl:argument1', 'swrl:argument2')}) AS args FROM sides""", ["rdf:type", "swrl:body", "swrl:head", "swrl:classPredicate", "swrl:propertyPredicate", "swrl:argument1", "swrl:argument2", *LISTS])
+SELECT rule, side, pos, item AS atom, (SELECT min(o) FROM t WHERE s = item AND p IN {_in('swrl:classPredicate', 'swrl:propertyPredicate', 'swrl:builtin', 'swrl:dataRange')}) AS predicate, (SELECT string_agg(o, ',' ORDER BY p) FROM t WHERE s = item AND p IN {_in('swrl:argument1', 'swrl:argument2')}) AS args FROM sides""", ["rdf:type", "swrl:body", "swrl:head", "swrl:classPredicate", "swrl:propertyPredicate", "swrl:argument1", "swrl:argument2", *LISTS])
 
 # ------------------------------------------------------------------ axioms, closures, inheritance
 
@@ -346,3 +346,44 @@ register("src14_spool_eviction", lambda s, d: spool.kept(s.read.parquet(f"{d}/ev
 register("k2_slug", lambda s, d: _pages(s, d).select("page_id", X.slug(F.col("url")).alias("slug")), "SELECT page_id, replace(replace(regexp_replace(url, '^https?://', ''), '/', '_'), '#', '_') AS slug FROM pages")
 register("k5_nav_qs", lambda s, d: _pages(s, d).select("page_id", X.query_string(read_as=F.lit("owl"), url=F.col("url"), lang=F.lit(None).cast("string")).alias("qs")), "SELECT page_id, 'read_as=owl&url=' || replace(url_encode(url), '%20', '+') AS qs FROM pages")
 
+# ------------------------------------------------------------------ all values
+
+_LITERAL_ATTRS = _values("la", "p, attr", [(r.name, a) for r in R.predicate_rules() for a, kind in r.setters.items() if kind == "Literal"])
+_SETTERS = _values("su", "is_type, name, attr, constant", R.setter_rows())
+_SYMMETRIC = _values("sy", "p, attr", [(r.name, r.handler.split(":")[1]) for r in R.predicate_rules() if (r.handler or "").startswith("symmetric:")])
+_LISTED = _values("li", "p, attr", [(iri(p), a) for p, a in values.LISTED.items()])
+_GROUPS = _values("gr", "type, p, attr", [(iri("owl:AllDisjointClasses"), iri("owl:members"), "is_disjoint_with"), (iri("owl:AllDifferent"), iri("owl:distinctMembers"), "is_different_from"), (iri("owl:AllDisjointProperties"), iri("owl:members"), "is_disjoint_with")])
+_KEPT_TYPE = f"p = {_q('rdf:type')} AND (NOT ({_STRUCTURAL}) OR o IN {_in('owl:Thing', 'owl:Nothing', 'rdfs:Literal')})"
+on_triples(
+    "e1_values",
+    lambda t: values.asserted(t, closure.materialize(closure.list_items(t))),
+    ITEMS + _CARD_SQL + _TRUTH_SQL + f""", {_LITERAL_ATTRS}, {_SETTERS}, {_SYMMETRIC}, {_LISTED}, {_GROUPS},
+sym AS (SELECT s AS a, o AS b, attr FROM t JOIN sy USING (p) WHERE o_kind <> 'literal' AND s <> o),
+du AS (SELECT DISTINCT s AS owner, '_:u' || substr(sha256(s || chr(10) || o), 1, 32) AS node, idx, item FROM t JOIN items ON head = o WHERE p = {_q('owl:disjointUnionOf')}),
+grp AS (SELECT s AS owner, attr, idx, item FROM t JOIN items ON head = o JOIN gr ON gr.p = t.p WHERE (s, type) IN (SELECT (s, o) FROM t WHERE p = {_q('rdf:type')}) UNION ALL SELECT node, 'is_disjoint_with', idx, item FROM du),
+two AS (SELECT x.attr, x.item AS a, y.item AS b FROM grp x JOIN grp y ON x.owner = y.owner AND x.attr = y.attr AND x.idx < y.idx AND x.item <> y.item),
+fa AS (SELECT f.s AS id, i.idx, {_FACETS.replace('CASE p', 'CASE v.p')} AS comparator, v.o AS v FROM t f JOIN items i ON i.head = f.o JOIN t v ON v.s = i.item AND v.p IN {_in(*FACETS)} WHERE f.p = {_q('owl:withRestrictions')}),
+atoms AS (SELECT s AS rule, p, idx, item FROM t JOIN items ON head = o WHERE p IN {_in('swrl:body', 'swrl:head')}),
+everything AS (
+  SELECT s AS id, attr, 0 AS ord, o AS v, o_lang AS lang FROM t JOIN la USING (p) WHERE o_kind = 'literal'
+  UNION ALL SELECT s, 'has_type', 0, o, '' FROM t WHERE {_KEPT_TYPE}
+  UNION ALL SELECT o, 'individuals_with_this_type', 0, s, '' FROM t WHERE {_KEPT_TYPE}
+  UNION ALL SELECT s, attr, 0, coalesce(constant, o), '' FROM t JOIN su ON NOT is_type AND name = p
+  UNION ALL SELECT s, attr, 0, constant, '' FROM t JOIN su ON is_type AND name = o WHERE p = {_q('rdf:type')}
+  UNION ALL SELECT a, attr, 0, b, '' FROM sym UNION ALL SELECT b, attr, 0, a, '' FROM sym
+  UNION ALL SELECT s, 'has_member', CAST(regexp_extract(p, '_(\\d+)$', 1) AS BIGINT), o, '' FROM t WHERE starts_with(p, {_q('rdf:_')}) AND s IN (SELECT s FROM t WHERE p = {_q('rdf:type')} AND o IN {_in('rdf:Bag', 'rdf:Alt', 'rdf:Seq')})
+  UNION ALL SELECT s, attr, idx, item, '' FROM t JOIN li USING (p) JOIN items ON head = o
+  UNION ALL SELECT restriction, 'applies_on_property', 0, property, '' FROM onp UNION ALL SELECT restriction, 'is_inverse', 0, 'True', '' FROM onp WHERE is_inverse
+  UNION ALL SELECT id, 'has_cardinality_type', 0, kind, '' FROM card UNION ALL SELECT id, 'has_cardinality', 0, CAST(n AS VARCHAR), '' FROM card
+  UNION ALL SELECT id, 'applies_on_concept', 0, filler, '' FROM card UNION ALL SELECT s, 'applies_on_resource', 0, o, '' FROM t WHERE p = {_q('owl:hasValue')}
+  UNION ALL SELECT id, 'has_logical_operator', 0, operator, '' FROM truth UNION ALL SELECT id, 'applies_on_concept', 0, members, '' FROM truth WHERE operator = 'not'
+  UNION ALL SELECT id, 'has_facet', idx, comparator, '' FROM fa UNION ALL SELECT id, 'has_restriction_value', idx, v, '' FROM fa
+  UNION ALL SELECT fa.id, 'applies_on_concept', 0, (SELECT min(o) FROM t WHERE s = fa.id AND p = {_q('owl:onDatatype')}), '' FROM fa
+  UNION ALL SELECT owner, 'is_equivalent_to', 0, node, '' FROM du UNION ALL SELECT node, 'has_logical_operator', 0, 'or', '' FROM du UNION ALL SELECT node, 'applies_on_concept', idx, item, '' FROM du
+  UNION ALL SELECT a, attr, 0, b, '' FROM two UNION ALL SELECT b, attr, 0, a, '' FROM two
+  UNION ALL SELECT rule, CASE p WHEN {_q('swrl:body')} THEN 'has_antecedent' ELSE 'has_consequent' END, idx, item, '' FROM atoms
+  UNION ALL SELECT item, 'has_predicate', 0, (SELECT min(o) FROM t WHERE s = item AND p IN {_in('swrl:classPredicate', 'swrl:propertyPredicate', 'swrl:builtin', 'swrl:dataRange')}), '' FROM atoms
+  UNION ALL SELECT s, 'has_arguments', CASE p WHEN {_q('swrl:argument1')} THEN 1 ELSE 2 END, o, '' FROM t WHERE p IN {_in('swrl:argument1', 'swrl:argument2')})
+SELECT DISTINCT id, attr, CAST(ord AS BIGINT) AS ord, v, lang FROM everything WHERE v IS NOT NULL""",
+    shared=True,
+)

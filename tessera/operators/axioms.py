@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..rules import below
 from ..vocab import iri
 from .closure import closure
 from .patterns import match
@@ -14,7 +15,18 @@ from .populate import list_values, symmetric
 def pairwise(triples: DataFrame, items: DataFrame, type_: str, *predicates: str) -> DataFrame:
     """a, b: every two members of the lists of group axioms of a type, in both directions."""
     nodes = match(triples, p="rdf:type", o=type_).select(F.col("s").alias("owner")).distinct()
-    members = list_values(triples, items, *predicates).join(nodes, "owner", "left_semi").select("owner", "idx", "item")
+    return every_two(list_values(triples, items, *predicates).join(nodes, "owner", "left_semi").select("owner", "idx", "item"))
+
+
+def disjoint_unions(triples: DataFrame, items: DataFrame) -> DataFrame:
+    """owner, node, idx, item: each list behind owl:disjointUnionOf as a union of its own, a blank node named by owner and list."""
+    node = F.concat(F.lit("_:u"), F.substring(F.sha2(F.concat_ws("\n", "owner", "head"), 256), 1, 32))
+    heads = match(triples, p="owl:disjointUnionOf").select(F.col("s").alias("owner"), F.col("o").alias("head")).distinct()
+    return heads.join(items, "head").select("owner", node.alias("node"), "idx", "item")
+
+
+def every_two(members: DataFrame) -> DataFrame:
+    """a, b: every two members (owner, idx, item) of an owner, in both directions."""
     other = members.select("owner", F.col("idx").alias("j"), F.col("item").alias("b"))
     one = members.join(other, "owner").where("idx < j and item <> b").select(F.col("item").alias("a"), "b")
     return one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
@@ -26,14 +38,15 @@ def _declared(triples: DataFrame) -> DataFrame:
     return triples.where(F.col("p").isin(iri("rdfs:domain"), iri("rdfs:range")) & (F.col("o_kind") == "iri")).select(F.col("s").alias("id"), side.alias("side"), F.col("o").alias("value")).distinct()
 
 
-def domains_and_ranges(triples: DataFrame, properties: DataFrame, dialect: str = "owl") -> DataFrame:
+def domains_and_ranges(triples: DataFrame, properties: DataFrame, dialect: str = "owl", classes: DataFrame | None = None) -> DataFrame:
     """prop, side, value, source for the (id, cls) ``properties``.
 
     A declared side stays. Otherwise, for relations, the opposite side of an inverse (other than owl:Thing)
     counts, then the nearest ancestor's own side or its inverses' opposite side, at equal depth the smallest
     IRI; attributes take the nearest ancestor's own side. What is left gets the dialect's default:
     owl:Thing, for ranges of attributes rdfs:Literal; in RDF rdfs:Resource and rdfs:Class. Annotations have
-    no default.
+    no default. With the ``classes`` (id, cls) of values, an inferred range stays only if it is a datatype, for
+    attributes, or any concept, for relations.
     """
     declared = _declared(triples)
     sides = properties.crossJoin(F.broadcast(triples.sparkSession.createDataFrame([("domain",), ("range",)], "side string")))
@@ -54,6 +67,12 @@ def domains_and_ranges(triples: DataFrame, properties: DataFrame, dialect: str =
     attribute = properties.where("cls = 'Attribute'").select("id")
     found = for_relations.join(relation, "id", "left_semi").unionByName(for_attributes.join(attribute, "id", "left_semi"))
     best = found.groupBy("id", "side").agg(F.min(F.struct(F.when(F.col("source") == "inverse", 0).otherwise(1).alias("k"), "value", "source")).alias("m"))
+    if classes is not None:
+        data = F.max(F.col("cls").isin(*below("Datatype"), *below("DatatypeRestriction"))).alias("is_data")
+        fits = classes.where(F.col("cls").isin(below("Concept"))).groupBy(F.col("id").alias("fit")).agg(data)
+        kinds = properties.groupBy("id").agg(F.max(F.col("cls") == "Attribute").alias("is_attribute"))
+        checked = best.join(kinds, "id").join(fits, F.col("m.value") == F.col("fit"), "left")
+        best = checked.where("side = 'domain' or (fit is not null and (is_data or not is_attribute))").select("id", "side", "m")
     if dialect == "owl":
         default = F.when((F.col("cls") == "Attribute") & (F.col("side") == "range"), iri("rdfs:Literal")).when(F.col("cls").isin("Relation", "Attribute"), iri("owl:Thing"))
     else:

@@ -100,11 +100,18 @@ def containers(triples: DataFrame) -> DataFrame:
 
 
 def swrl_rules(triples: DataFrame, items: DataFrame) -> DataFrame:
-    """rule, side, pos, predicate, args of the atoms of SWRL rules."""
+    """rule, side, pos, atom, predicate, args of the atoms of SWRL rules."""
     sides = list_values(triples, items, "swrl:body", "swrl:head").select(F.col("owner").alias("rule"), F.regexp_extract("p", "#(.*)$", 1).alias("side"), F.col("idx").alias("pos"), F.col("item").alias("id"))
     predicate = with_predicates(triples, "swrl:classPredicate", "swrl:propertyPredicate", "swrl:builtin", "swrl:dataRange").groupBy(F.col("s").alias("id")).agg(F.min("o").alias("predicate"))
-    arguments = with_predicates(triples, "swrl:argument1", "swrl:argument2").groupBy(F.col("s").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("p", "o"))), lambda x: x["o"]), ",").alias("args"))
+    arguments = atom_arguments(triples, items).groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("pos", "arg"))), lambda x: x["arg"]), ",").alias("args"))
     kinds = with_predicates(triples, "rdf:type").groupBy(F.col("s").alias("id")).agg(F.min("o").alias("kind"))
     # Atoms about identity have no predicate of their own.
     implied = F.when(F.col("kind").startswith(PREFIXES["swrl"] + "SameIndividual"), iri("owl:sameAs")).when(F.col("kind") == iri("swrl:DifferentIndividualsAtom"), iri("owl:differentFrom"))
-    return sides.join(predicate, "id", "left").join(arguments, "id", "left").join(kinds, "id", "left").select("rule", "side", "pos", F.coalesce("predicate", implied).alias("predicate"), "args")
+    return sides.join(predicate, "id", "left").join(arguments, "id", "left").join(kinds, "id", "left").select("rule", "side", "pos", F.col("id").alias("atom"), F.coalesce("predicate", implied).alias("predicate"), "args")
+
+
+def atom_arguments(triples: DataFrame, items: DataFrame) -> DataFrame:
+    """id, pos, arg: first and second argument of an atom, then those of its list."""
+    two = with_predicates(triples, "swrl:argument1", "swrl:argument2").select(F.col("s").alias("id"), F.when(F.col("p") == iri("swrl:argument1"), 1).otherwise(2).cast("long").alias("pos"), F.col("o").alias("arg"))
+    listed = list_values(triples, items, "swrl:arguments").select(F.col("owner").alias("id"), (F.col("idx") + 2).cast("long").alias("pos"), F.col("item").alias("arg"))
+    return two.unionByName(listed)

@@ -16,8 +16,7 @@ from ..sinks.serialize import serialized
 from ..sources import imports as modules
 from ..sources import parse
 from ..sources.validate import ArtefactLoadError
-from ..vocab import iri
-from . import views
+from . import values, views
 
 
 class Ontology:
@@ -68,37 +67,16 @@ class Ontology:
             return found
         typed = classify.property_types(self.triples, found)
         concrete = of_class(found, "Property").where("cls <> 'Property'").select("id").distinct()
-        rest = found.where("cls <> 'Property'")
+        unions = axioms.disjoint_unions(self.triples, self.lists).select(F.col("node").alias("id"), F.lit("bnode").alias("id_kind"), F.lit("TruthFunction").alias("cls"))
+        rest = found.where("cls <> 'Property'").unionByName(unions)
         again = typed.select(F.col("prop").alias("id"), F.lit("iri").alias("id_kind"), "cls").join(concrete, "id", "left_anti")
         return materialize(rest.unionByName(again).distinct())
 
     @cached_property
     def values(self) -> DataFrame:
-        """id, attr, ord, v, lang in long form: literals, setters, symmetric axioms, lists, domains and ranges."""
-        t = self.triples
-        none, zero = F.lit(""), F.lit(0)
-        out = populate.literals(t, self.dialect).select("id", "attr", zero.alias("ord"), "v", "lang")
-        out = out.unionByName(populate.types(t).select("id", F.lit("has_type").alias("attr"), zero.alias("ord"), F.col("type").alias("v"), none.alias("lang")))
-        for r in rules.predicate_rules(self.dialect):
-            if r.handler and r.handler.startswith("symmetric:"):
-                out = out.unionByName(_symmetric(t, r).select("id", F.lit(r.handler.split(":")[1]).alias("attr"), zero.alias("ord"), "v", none.alias("lang")))
-            for attr, kind in r.setters.items():
-                if kind != "Literal" and not r.handler:
-                    constant = kind if kind in ("True", "False", "some", "only") else None
-                    rows = t.where(F.col("p") == r.name).select(F.col("s").alias("id"), F.lit(attr).alias("attr"), zero.alias("ord"), (F.lit(constant) if constant else F.col("o")).alias("v"), none.alias("lang"))
-                    out = out.unionByName(rows)
-        for r in rules.type_rules(self.dialect):
-            for attr, constant in r.setters.items():
-                rows = t.where((F.col("p") == iri("rdf:type")) & (F.col("o") == r.name)).select(F.col("s").alias("id"), F.lit(attr).alias("attr"), zero.alias("ord"), F.lit(constant).alias("v"), none.alias("lang"))
-                out = out.unionByName(rows)
-        listed = {"owl:hasKey": "has_key", "owl:propertyChainAxiom": "has_property_chain", "owl:oneOf": "applies_on_resource", "owl:intersectionOf": "applies_on_concept", "owl:unionOf": "applies_on_concept"}
-        for p, attr in listed.items():
-            out = out.unionByName(populate.list_values(t, self.lists, p).select(F.col("owner").alias("id"), F.lit(attr).alias("attr"), F.col("idx").cast("int").alias("ord"), F.col("item").alias("v"), none.alias("lang")))
-        if self.dialect in ("owl", "rdf"):
-            kinds = self.entities.where(F.col("cls").isin("Relation", "Attribute", "Annotation") if self.dialect == "owl" else F.col("cls") == "Property").select("id", "cls")
-            sides = axioms.domains_and_ranges(t, kinds, self.dialect)
-            out = out.unionByName(sides.select(F.col("prop").alias("id"), F.concat(F.lit("has_"), "side").alias("attr"), zero.alias("ord"), F.col("value").alias("v"), none.alias("lang")))
-        return out.distinct()
+        """id, attr, ord, v, lang in long form: literals, setters, lists, restrictions, axioms, rules, domains and ranges."""
+        found = values.asserted(self.triples, self.lists, self.dialect)
+        return found.unionByName(values.of_entities(self.triples, self.entities, self.dialect)).distinct()
 
     @cached_property
     def statements(self) -> DataFrame:
@@ -144,7 +122,3 @@ class Ontology:
 
 def _members() -> list[str]:
     return ["owl:members", "owl:distinctMembers"]
-
-
-def _symmetric(triples: DataFrame, rule: rules.Rule) -> DataFrame:
-    return populate.symmetric(triples, rule.name).select(F.col("a").alias("id"), F.col("b").alias("v"))

@@ -256,6 +256,19 @@ def type_frame(spark: SparkSession, dialect: str = "owl") -> DataFrame:
     return spark.createDataFrame([(r.name, r.ord, r.targets[0]) for r in type_rules(dialect)], "o string, ord int, cls string")
 
 
+def setter_rows(dialect: str = "owl") -> list[tuple[bool, str, str, str | None]]:
+    """is_type, name, attr, constant of all that rules set without a handler; no constant: the object of the triple.
+
+    Literals and rdf:type are left out: they have conditions of their own.
+    """
+    out = [(False, r.name, attr, None if kind in PARENTS else kind) for r in predicate_rules(dialect) if not r.handler and r.name != iri("rdf:type") for attr, kind in r.setters.items() if kind != "Literal"]
+    return out + [(True, r.name, attr, constant) for r in type_rules(dialect) for attr, constant in r.setters.items()]
+
+
+def setter_frame(spark: SparkSession, dialect: str = "owl") -> DataFrame:
+    return spark.createDataFrame(setter_rows(dialect), "is_type boolean, name string, attr string, constant string")
+
+
 def lattice_frame(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(a, b, d) for a, up in lattice().items() for b, d in up.items()], "sub string, sup string, depth int")
 
