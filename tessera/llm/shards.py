@@ -11,6 +11,8 @@ from .scratch import Scratch
 RANGES_PER_SHARD, SAMPLES_PER_RANGE, RANGE_BYTES = 64, 8, 256 << 20
 #: A range of over this many times the mean is subdivided.
 OVERFULL = 1.5
+#: Tables of ranges are broadcast up to so many rows (of some 50 bytes), which is 50 TB of input; else rows are joined.
+BROADCAST_RANGES = 200_000
 #: Leading bits of a key that join a row to the few ranges near it.
 PREFIX_BITS = 12
 
@@ -26,8 +28,9 @@ def shard_by_bytes(docs: DataFrame, shards: int, doc_id: str = "doc_id", text: s
     gapless from 0 in each shard. Rows are ordered by (hash of the text, doc_id): size-weighted samples
     of that key give quantile boundaries of ``64 * shards`` ranges (more when a range would pass 256 MB),
     the exact bytes of each range are summed, an overfull range (one text that many rows share, say) is
-    subdivided by a hash of the id, and whole ranges go to shards by their cumulative bytes. Equal texts
-    stay together unless a boundary runs through them. Repeated rows are rows of their own; null ids and
+    subdivided by a hash of the text, a text of over a mean range's bytes by a hash of the id, and whole parts go to
+    shards by their cumulative bytes. So only texts that fill a range alone are parted. Windows without a partition see
+    a row or, for samples, eight for each range or part, so one for each 32 MB. Repeated rows are rows of their own; null ids and
     texts are kept; an empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -55,11 +58,23 @@ def shard_by_bytes(docs: DataFrame, shards: int, doc_id: str = "doc_id", text: s
         .withColumn("prefix", F.explode(F.sequence(_prefix(F.col("first")), _prefix(F.col("last")))))
     )
     ranges = scratch.save(ranges, "ranges")
-    placed = rows.withColumn("prefix", _prefix(F.col("key"))).join(F.broadcast(ranges), "prefix").where("key between first and last").drop("prefix", "first", "last")
+    small = F.broadcast if n_ranges <= BROADCAST_RANGES else lambda table: table
+    placed = rows.withColumn("prefix", _prefix(F.col("key"))).join(small(ranges), "prefix").where("key between first and last").drop("prefix", "first", "last")
     mean = total / n_ranges if n_ranges else 1
-    parts = placed.groupBy("range").agg(F.sum("size").alias("bytes")).select("range", F.when(F.col("bytes") > OVERFULL * mean, F.ceil(F.col("bytes") / mean)).otherwise(1).alias("parts"))
-    parts = scratch.save(parts, "parts")
-    split = placed.join(F.broadcast(parts), "range").withColumn("part", F.pmod(F.col("salt"), F.col("parts"))).drop("parts")
+    placed = scratch.save(placed, "placed")
+    over = placed.groupBy("range").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > OVERFULL * mean)
+    over = scratch.save(over, "overfull")
+    # Texts that fill a range alone are at most as many as there are ranges.
+    texts = placed.join(small(over.select("range")), "range", "left_semi").groupBy("range", "key").agg(F.sum("size").alias("own"))
+    heavy = texts.where(F.col("own") > mean).withColumn("own_parts", F.ceil(F.col("own") / mean))
+    before = F.sum("own_parts").over(Window.partitionBy("range").orderBy("key")) - F.col("own_parts")
+    heavy = scratch.save(heavy.withColumn("base", before), "heavy")
+    rest = over.join(heavy.groupBy("range").agg(F.sum("own").alias("taken")), "range", "left")
+    rest = rest.select("range", F.greatest(F.lit(1), F.ceil((F.col("bytes") - F.coalesce("taken", F.lit(0))) / mean)).alias("parts"))
+    split = placed.join(small(rest), "range", "left").join(small(heavy.select("range", "key", "own_parts", "base")), ["range", "key"], "left")
+    by_id = F.col("parts") + F.col("base") + F.pmod(F.col("salt"), F.col("own_parts"))
+    by_text = F.pmod(F.xxhash64("key", F.lit(3)), F.coalesce("parts", F.lit(1)))
+    split = split.withColumn("part", F.coalesce(by_id, by_text)).drop("parts", "own_parts", "base")
     split = scratch.save(split, "split")
     # One row for each range and part: at most a few times n_ranges, whatever the input holds.
     sums = split.groupBy("range", "part").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
@@ -69,5 +84,6 @@ def shard_by_bytes(docs: DataFrame, shards: int, doc_id: str = "doc_id", text: s
     offsets = chosen.withColumn("before", F.sum("n").over(Window.partitionBy("shard").orderBy("range", "part")) - F.col("n")).select("range", "part", "shard", "before")
     offsets = scratch.save(offsets, "offsets")
     within = F.row_number().over(Window.partitionBy("range", "part").orderBy("key", F.col("doc_id").asc_nulls_first()))
-    out = split.join(F.broadcast(offsets), ["range", "part"]).withColumn("slot", (F.col("before") + within - 1).cast("long"))
+    scratch.drop("rows", "ranges", "placed", "overfull", "heavy")
+    out = split.join(small(offsets), ["range", "part"]).withColumn("slot", (F.col("before") + within - 1).cast("long"))
     return out.select("doc_id", "size", "text_crc32", "shard", "slot")
