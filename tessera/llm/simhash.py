@@ -16,6 +16,8 @@ from .scratch import Scratch, small_batches
 #: Buckets of up to so many fingerprints are paired; larger ones are linked through common neighbours.
 PAIRED = 32
 BITS, HALF = 64, 32
+#: Keys that several fingerprints have are broadcast up to so many (of some 64 bytes); else variants are dealt out again.
+BROADCAST_KEYS = 1_000_000
 #: Shingles hashed at a time, which bounds the bit matrix of a very long text.
 BLOCK = 1 << 16
 
@@ -89,7 +91,8 @@ def links(fps: DataFrame, max_bits: int, scratch: Scratch) -> DataFrame:
     variants = _variants(fps)
     met = scratch.save(variants.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "met")
     scratch.free_shuffles()
-    members = scratch.save(variants.join(met, "key"), "members")
+    few_keys = met.count() <= BROADCAST_KEYS
+    members = scratch.save(variants.join(F.broadcast(met) if few_keys else met.hint("merge"), "key"), "members")
     scratch.free_shuffles()
     few = members.where(F.col("n") <= PAIRED)
     bit = lambda name: F.expr(f"shiftright({name}, cast(shiftright(key, {HALF}) as int))").bitwiseAND(F.lit(1))
