@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, quality_rules, shards, simhash, subwords, suffix_dedup, tokens, url_rules
+from . import backoff, decontaminate, hard_negatives, packing, quality_rules, shards, simhash, subwords, suffix_dedup, tokens, url_rules, whitening
 from .scratch import documents
 
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -58,7 +58,22 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(_table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_simhash, op4_best_fit_packing, op5_toxicity, op6_sharding, op7_quality_classifier, op8_decontamination, op9_suffix_dedup, op10_url_filters)}
+def op11_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7
+    return backoff.score(documents(spark, sf_dir), F.coalesce(remainder == 2, F.lit(False)))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whitened = whitening.whiten(_table(spark, sf_dir, "embeddings"))
+    return whitened.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_simhash, op4_best_fit_packing, op5_toxicity, op6_sharding, op7_quality_classifier, op8_decontamination, op9_suffix_dedup, op10_url_filters, op11_backoff_automaton, op12_whitening, op13_hard_negatives)}
 
 ORACLES = {
     "op8_decontamination": r"""
