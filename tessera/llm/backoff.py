@@ -14,7 +14,10 @@ many as were seen. At the bottom a word has (c + 1) / (N + V + 1), and so have a
 
 from __future__ import annotations
 
+from array import array
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -66,12 +69,18 @@ def grouped(docs: DataFrame, held_out: Column, doc_id: str, text: str) -> DataFr
     source = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = source.schema["doc_id"].dataType
 
+    def numbering() -> dict[bytes, int]:
+        """Numbers by first use; the end has 0."""
+        names = defaultdict(count(1).__next__)
+        names[END] = 0
+        return names
+
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, tokens, sizes, held, ids, size = {END: 0}, [], [], [], [], 0
+        names, tokens, sizes, held, ids, size = numbering(), array("q"), [], [], [], 0
 
         def told() -> pa.RecordBatch:
             train = sum(n for n, h in zip(sizes, held) if not h)
-            columns = [pa.array([ids], pa.list_(id_type)), pa.array([held], pa.list_(pa.bool_())), pa.array([sizes], pa.list_(pa.int64())), pa.array([_packed(np.array(tokens, np.int64))], pa.binary())]
+            columns = [pa.array([ids], pa.list_(id_type)), pa.array([held], pa.list_(pa.bool_())), pa.array([sizes], pa.list_(pa.int64())), pa.array([_packed(np.array(tokens))], pa.binary())]
             words = zstandard.ZstdCompressor(level=1).compress(b"".join(w + b"\n" for w in names))
             return pa.RecordBatch.from_arrays([*columns, pa.array([words], pa.binary()), pa.array([len(tokens)]), pa.array([train])], ["doc_ids", "held", "sizes", "tokens", "words", "n_tokens", "n_train"])
 
@@ -81,12 +90,12 @@ def grouped(docs: DataFrame, held_out: Column, doc_id: str, text: str) -> DataFr
             for k in range(batch.num_rows):
                 words = (body := batch.column(2)[k].as_py().encode("utf-8", "replace")).lower().split()
                 ids.append(batch.column(0)[k].as_py()), held.append(batch.column(1)[k].as_py()), sizes.append(len(words) + 1)
-                tokens += [names.setdefault(w, len(names)) for w in words]
-                tokens.append(0)
+                words.append(END)
+                tokens.extend(map(names.__getitem__, words))
                 size += len(body)
                 if size >= GROUP_BYTES:
                     yield told()
-                    names, tokens, sizes, held, ids, size = {END: 0}, [], [], [], [], 0
+                    names, tokens, sizes, held, ids, size = numbering(), array("q"), [], [], [], 0
         if ids:
             yield told()
 
@@ -195,10 +204,16 @@ def _answered_grams(buckets: int):
 
     def answer(found: pa.Table) -> pa.Table:
         asked = [(*_unpacked(k), *_unpacked(c)) for k, c in zip(found.column("keys").to_pylist(), found.column("counts").to_pylist())]
-        pairs = np.concatenate([np.stack([context, last], 1) for context, last, _, _ in asked])
-        order = np.lexsort((pairs[:, 1], pairs[:, 0]))
-        new = np.ones(len(order), bool)
-        new[1:] = (pairs[order[1:]] != pairs[order[:-1]]).any(1)
+        context, last = (np.concatenate([a[k] for a in asked]) for k in range(2))
+        words = int(last.max()) + 1
+        if (int(context.max()) + 1) * words < 1 << 63:
+            pair = context * words + last
+            order = np.argsort(pair)
+            differs = np.diff(pair[order]) != 0
+        else:
+            order = np.lexsort((last, context))
+            differs = (np.diff(context[order]) != 0) | (np.diff(last[order]) != 0)
+        new = np.concatenate([[True], differs])
         own = np.empty(len(order), np.int64)
         own[order] = np.cumsum(new) - 1
         totals = np.bincount(own, weights=np.concatenate([c for _, _, c, _ in asked]), minlength=int(new.sum())).astype(np.int64)
@@ -271,9 +286,9 @@ class Automaton:
             if n > 1:
                 at = state[n - 1][grams.context[n]]
                 back_off = share[n - 1][np.maximum(at - self._first(state[n - 1]), 0)] if len(share[n - 1]) else np.zeros(len(at))
-                count = known.count[n - 1][grams.context[n]]
+                whole = known.count[n - 1][grams.context[n]]
                 # Only n-grams that were seen become arcs; their contexts and suffixes were seen as well.
-                probability[n] = (1 - back_off) * known.count[n] / np.maximum(count, 1) + back_off * probability[n - 1][suffix[n]]
+                probability[n] = (1 - back_off) * known.count[n] / np.maximum(whole, 1) + back_off * probability[n - 1][suffix[n]]
             seen = np.ones(self.n_words, bool) if n == 1 else known.count[n] > 0
             source = np.zeros(self.n_words, np.int64) if n == 1 else state[n - 1][grams.context[n]]
             words = np.arange(self.n_words) if n == 1 else grams.last[n]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import re
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,9 +45,14 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def free_shuffles(self) -> None:
-        """Lets Spark's context cleaner remove the shuffle files of plans that are no longer referenced."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        """Lets Spark's context cleaner remove the shuffle files of plans that are no longer referenced.
+
+        What the first collection lets go of is seen by the second only: after one, the files of the last plan stay.
+        """
+        for _ in range(2):
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.3)
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
