@@ -104,5 +104,21 @@ hits as (
     row_number() over (partition by page_id, host, path order by length(rhost || rpath) desc nulls last) k
   from parts p left join rules r on (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath))
 select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from hits where k = 1
+""",
+    "op13_hard_negatives": r"""
+with rows as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) v
+  from embeddings where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scores as (
+  select a.vec_id anchor_id, a.label own, r.vec_id id, r.label other, list_inner_product(a.v, r.v)::bigint score
+  from rows a join rows r on a.vec_id % 100 = 0),
+positives as (
+  select anchor_id, id positive_id, score positive_score from scores where own = other and id <> anchor_id
+  qualify row_number() over (partition by anchor_id order by score desc, id) <= 5),
+hard as (
+  select s.anchor_id, positive_id, positive_score, id negative_id, score negative_score,
+    row_number() over (partition by s.anchor_id, positive_id order by score desc, id)::int as rank
+  from positives p join scores s on s.anchor_id = p.anchor_id and own <> other and 100 * score between 30 * positive_score and 90 * positive_score)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from hard where rank <= 10
 """,
 }
