@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from . import rules as R
 from .functions import text as X
 from .lift import lift, lift_sql
-from .operators import axioms, classify, closure, patterns, populate, quality, statements
+from .operators import axioms, classify, closure, patterns, populate, quality, retract, statements
 from .plans import values, views
 from .sinks import serialize
 from .sources import imports, spool, validate
@@ -159,7 +160,7 @@ prop AS (SELECT restriction AS id, min(property) AS property FROM onp GROUP BY r
 on_triples("h12_on_property", populate.on_property, _ON_PROPERTY + " SELECT * FROM onp", ["owl:onProperty", "owl:inverseOf"])
 for _name, _ps in (("h13_chain", ["owl:propertyChainAxiom"]), ("h14_keys", ["owl:hasKey"]), ("h15_disjoint_union", ["owl:disjointUnionOf"]), ("h24_one_of", ["owl:oneOf"])):
     on_triples(_name, lambda t, ps=_ps: populate.list_values(t, closure.list_items(t), *ps).select("owner", "idx", "item"), ITEMS + f" SELECT s AS owner, idx, item FROM t JOIN items ON head = o WHERE p IN {_in(*_ps)}", [*_ps, *LISTS])
-on_triples("h28_collections", lambda t: populate.list_values(t, closure.list_items(t), "http://ex.org/o#items").groupBy("owner").agg(F.count("*").alias("n"), F.max(F.struct("idx", "item"))["item"].alias("last")), ITEMS + " SELECT s AS owner, count(*) AS n, arg_max(item, (idx, item)) AS last FROM t JOIN items ON head = o WHERE p = 'http://ex.org/o#items' GROUP BY s", ["http://ex.org/o#items", *LISTS])
+on_triples("h28_collections", lambda t: populate.collections(t, closure.list_items(t)).groupBy("owner", "p").agg(F.count("*").alias("n"), F.max(F.struct("idx", "item"))["item"].alias("last")), ITEMS + _rules_sql() + f" SELECT s AS owner, p, count(*) AS n, arg_max(item, (idx, item)) AS last FROM t JOIN items ON head = o WHERE p NOT IN (SELECT p FROM pr) AND p NOT IN {_in(*LISTS)} GROUP BY s, p")
 _FACETS = "CASE p " + " ".join(f"WHEN {_q(k)} THEN '{v}'" for k, v in FACETS.items()) + " END"
 on_triples("h16_facets", lambda t: populate.facets(t, closure.list_items(t)), ITEMS + f", n AS (SELECT s AS id, idx, item FROM t JOIN items ON head = o WHERE p = {_q('owl:withRestrictions')}), d AS (SELECT s, min(o) AS datatype FROM t WHERE p = {_q('owl:onDatatype')} GROUP BY s) SELECT n.id, n.idx, {_FACETS} AS comparator, t.o AS v, datatype FROM n JOIN t ON t.s = n.item AND t.p IN {_in(*FACETS)} LEFT JOIN d ON d.s = n.id", ["owl:withRestrictions", "owl:onDatatype", *FACETS, *LISTS])
 _CARD = "CASE p " + " ".join(f"WHEN {_q(k)} THEN '{v}'" for k, v in populate.CARDINALITIES.items()) + " END"
@@ -171,7 +172,6 @@ _TRUTH_SQL = f""", truth AS (
   SELECT s AS id, CASE p WHEN {_q('owl:intersectionOf')} THEN 'and' ELSE 'or' END AS operator, count(item) AS n, coalesce(string_agg(item, ',' ORDER BY idx), '') AS members FROM t LEFT JOIN items ON head = o WHERE p IN {_in('owl:intersectionOf', 'owl:unionOf')} GROUP BY s, p
   UNION ALL SELECT s, 'not', 1, o FROM t WHERE p = {_q('owl:complementOf')})"""
 _BOOLEAN = ["owl:intersectionOf", "owl:unionOf", "owl:complementOf"]
-on_triples("h20_truth", lambda t: populate.truth_functions(t, closure.list_items(t)), ITEMS + _TRUTH_SQL + " SELECT * FROM truth", [*_BOOLEAN, *LISTS])
 on_triples("h25_value", populate.has_values, _ON_PROPERTY + f" SELECT s AS id, property, o AS v FROM t LEFT JOIN prop ON prop.id = s WHERE p = {_q('owl:hasValue')}", [*_RESTRICTIONS, "owl:hasValue"])
 _QUANT_SQL = f" SELECT s AS id, CASE p WHEN {_q('owl:someValuesFrom')} THEN 'some' ELSE 'only' END AS quantifier, property, o AS filler FROM t LEFT JOIN prop ON prop.id = s WHERE p IN {_in('owl:someValuesFrom', 'owl:allValuesFrom')}"
 on_triples("h26_quantifier", populate.quantifiers, _ON_PROPERTY + _QUANT_SQL, [*_RESTRICTIONS, "owl:someValuesFrom", "owl:allValuesFrom"])
@@ -223,13 +223,25 @@ on_triples("g9_descendants", lambda t: closure.closure(patterns.match(t, p="rdfs
 
 # ------------------------------------------------------------------ statements and provenance
 
+
+def _fates(t: DataFrame, found: DataFrame) -> DataFrame:
+    """p with the number of its triples that fill something in, of those that become statements, and of those that do both."""
+    found = closure.materialize(found)
+    own = t.where(F.col("p") != iri("rdf:type")).select(*statements.TRIPLE).distinct()
+    filling = values.scoped(t, statements.consumed(t, found), found).select(*statements.TRIPLE).distinct().withColumn("a", F.lit(1))
+    made = statements.statements(t, found).withColumn("b", F.lit(1))
+    both = own.join(filling, statements.TRIPLE, "left").join(made, statements.TRIPLE, "left")
+    return both.groupBy("p").agg(F.count("a").alias("n_values"), F.count("b").alias("n_statements"), F.count(F.col("a") + F.col("b")).alias("n_both"))
+
+
 _CONSUMED = f""",
 used AS (
   SELECT DISTINCT t.s, t.p, t.o, t.o_lang FROM t LEFT JOIN pr ON pr.p = t.p JOIN ent e ON e.id = t.s JOIN main m ON m.id = t.s
   WHERE CASE WHEN t.p LIKE '%#%' THEN regexp_extract(t.p, '^(.*#)', 1) ELSE regexp_extract(t.p, '^(.*/)', 1) END IN ({', '.join(repr(x) for x in R.namespaces('owl'))})
     AND (t.o IN (SELECT s FROM t WHERE p = {_q('rdf:first')}) OR (coalesce(pr.acts, false) AND pr.handler <> 'property_chain'))
     AND (pr.p IS NULL OR len(list_filter(pr.targets, lambda x: list_contains({PAIRS}, e.cls || '<' || x))) > 0)
-    AND (e.cls = m.main OR list_contains(coalesce(pr.targets, CAST([] AS VARCHAR[])), e.cls))),
+    AND (e.cls = m.main OR list_contains(coalesce(pr.targets, CAST([] AS VARCHAR[])), e.cls))
+  UNION SELECT s, p, o, o_lang FROM t WHERE starts_with(p, {_q('rdf:_')}) AND s IN (SELECT s FROM t WHERE p = {_q('rdf:type')} AND o IN {_in('rdf:Bag', 'rdf:Alt', 'rdf:Seq')})),
 structured AS (
   SELECT DISTINCT s FROM t WHERE s_kind = 'bnode' AND s NOT IN (SELECT id FROM ent) AND s NOT IN (SELECT s FROM t WHERE p = {_q('rdf:type')} AND o IN (SELECT o FROM tr)) AND s NOT IN (SELECT s FROM t WHERE p IN {_in('rdf:first', 'rdf:rest')})),
 stmts AS (
@@ -238,6 +250,13 @@ stmts AS (
   EXCEPT SELECT * FROM used)"""
 on_triples("s1_statements", lambda t: statements.statements(t, classify.entities(t)), ENTITIES + _CONSUMED + " SELECT s, p, o, o_lang FROM stmts")
 on_triples("s6_nested_statements", lambda t: statements.nested_statements(t, classify.entities(t)), ENTITIES + _CONSUMED + " SELECT s AS id, arg_min(p, (p, o)) AS predicate, arg_min(o, (p, o)) AS object, count(*) - 1 AS n_sides FROM t WHERE s IN (SELECT s FROM structured) AND p NOT IN " + _in(*STRUCTURAL_PREDICATES, "rdf:type", *FACETS) + f" AND NOT (p = {_q('owl:inverseOf')} AND s IN (SELECT o FROM t WHERE p = {_q('owl:onProperty')})) GROUP BY s")
+on_triples(
+    "tp5_value_or_statement", lambda t: _fates(t, classify.entities(t)),
+    ENTITIES + _CONSUMED + f""", sc AS (SELECT * FROM used UNION SELECT s, p, o, o_lang FROM t WHERE s IN (SELECT s FROM structured)),
+fate AS (SELECT DISTINCT s, p, o, o_lang, (s, p, o, o_lang) IN (SELECT (s, p, o, o_lang) FROM sc) AS a, (s, p, o, o_lang) IN (SELECT (s, p, o, o_lang) FROM stmts) AS b FROM t WHERE p <> {_q('rdf:type')})
+SELECT p, count(*) FILTER (a) AS n_values, count(*) FILTER (b) AS n_statements, count(*) FILTER (a AND b) AS n_both FROM fate GROUP BY p""",
+)
+on_triples("h29_statement_containers", lambda t: statements.list_objects(statements.statements(t, classify.entities(t)), closure.materialize(closure.list_items(t))), ENTITIES + ITEMS + _CONSUMED + " SELECT DISTINCT head AS id, idx, item FROM stmts JOIN items ON head = o")
 _BNODES = """, nodes AS (SELECT s AS root, o AS node FROM t WHERE s_kind = 'iri' AND o_kind = 'bnode' UNION SELECT n.root, t.o FROM nodes n JOIN t ON t.s = n.node AND t.o_kind = 'bnode'),
 inner_ AS (SELECT DISTINCT root, s, p, o FROM nodes JOIN t ON s = node)"""
 on_triples("s8_bnode_closure", statements.bnode_closure, _BNODES + " SELECT * FROM inner_", shared=True)
@@ -246,6 +265,43 @@ on_triples("s7_provenance", lambda t: statements.provenance(t, populate.list_val
   UNION SELECT item, y.s, y.p, y.o FROM t x JOIN items ON head = x.o JOIN t y ON y.s = x.s WHERE x.p IN {_in('owl:members', 'owl:distinctMembers')})
 SELECT root, count(*) AS n, min(s) AS first FROM parts GROUP BY root""")
 
+# ------------------------------------------------------------------ truth functions and what is taken back
+
+#: More rounds than restrictions, complements and lists are nested in the lifted data.
+_ROUNDS = 6
+_GONE_SQL = ENTITIES + ITEMS + f""",
+tf AS (
+  SELECT DISTINCT s AS owner, CASE p WHEN {_q('owl:intersectionOf')} THEN 'and' WHEN {_q('owl:unionOf')} THEN 'or' ELSE 'not' END AS operator, o AS head, own,
+    CASE WHEN own THEN s WHEN p = {_q('owl:complementOf')} THEN '_:n' || substr(sha256(s || chr(10) || o), 1, 32) ELSE o END AS node
+  FROM t JOIN (SELECT id, bool_or(cls = 'TruthFunction') AS own FROM ent WHERE cls IN ('TruthFunction', 'Concept') GROUP BY id) ON id = s
+  WHERE o_kind <> 'literal' AND p IN {_in(*retract.BOOLEAN, 'owl:complementOf')}),
+ops AS (SELECT node, idx, item FROM tf JOIN items USING (head) WHERE operator <> 'not' UNION SELECT node, 0, head FROM tf WHERE operator = 'not'),
+single AS (SELECT DISTINCT s AS node, o AS item FROM t WHERE o_kind = 'bnode' AND p IN {_in(*retract.NEEDED)} AND s IN (SELECT id FROM ent WHERE id_kind = 'bnode' AND cls IN ({', '.join(f"'{c}'" for c in R.below('Restriction'))}))),
+g0 AS (SELECT id FROM ent WHERE id_kind = 'bnode' AND cls IN ({', '.join(f"'{c}'" for c in R.below('PropertyConceptRestriction'))}) AND id NOT IN (SELECT s FROM t WHERE p = {_q('owl:onProperty')}))""" + "".join(f""",
+g{k} AS (SELECT id FROM g{k - 1} UNION SELECT node FROM single JOIN g{k - 1} ON item = id UNION SELECT node FROM ops LEFT JOIN g{k - 1} ON item = id GROUP BY node HAVING count(*) = count(id))""" for k in range(1, _ROUNDS + 1)) + f""",
+gone AS MATERIALIZED (SELECT id FROM g{_ROUNDS})"""
+_TRUTH_VALUES_SQL = """,
+stay AS (SELECT * FROM ops WHERE item NOT IN (SELECT id FROM gone)),
+live AS (
+  SELECT tf.*, lone, NOT own AND operator <> 'not' AND n = 1 AS alone FROM tf JOIN (SELECT node, count(*) AS n, min(item) AS lone FROM stay GROUP BY node) USING (node)
+  WHERE owner NOT IN (SELECT id FROM gone) AND node NOT IN (SELECT id FROM gone)),
+tv AS (
+  SELECT node AS id, 'has_logical_operator' AS attr, 0 AS ord, operator AS v FROM live WHERE NOT alone
+  UNION SELECT node, 'applies_on_concept', idx, item FROM stay WHERE node IN (SELECT node FROM live WHERE NOT alone)
+  UNION SELECT owner, 'is_equivalent_to', 0, lone FROM live WHERE alone
+  UNION SELECT owner, 'is_equivalent_to', 0, node FROM live WHERE NOT alone AND NOT own)"""
+
+
+def _with_entities(run: Callable[[DataFrame, DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    """``run`` gets the triples, their lists and their entities, both written once."""
+    return lambda t: run(t, closure.materialize(closure.list_items(t)), closure.materialize(classify.entities(t)))
+
+
+on_triples("h20_truth", _with_entities(lambda t, items, found: retract.truth_values(t, items, found, retract.retracted(t, items, found))), _GONE_SQL + _TRUTH_VALUES_SQL + " SELECT id, attr, ord, v FROM tv")
+on_triples("w04_retracted", _with_entities(lambda t, items, found: retract.retracted(t, items, found).select("id", (F.col("round") > 0).alias("follows"))), _GONE_SQL + " SELECT id, id NOT IN (SELECT id FROM g0) AS follows FROM gone")
+on_triples("w04_missing_on_property", _with_entities(lambda t, items, found: quality.missing_properties(t, found)), ENTITIES + f""", onp AS (SELECT s, bool_or(o_kind <> 'literal') AS resolved FROM t WHERE p = {_q('owl:onProperty')} GROUP BY s)
+SELECT DISTINCT 'missing_on_property' AS code, id AS subject, cls || ' has owl:onProperty but applies_on_property is None' AS message FROM ent LEFT JOIN onp ON s = id WHERE cls IN ({', '.join(f"'{c}'" for c in R.below('PropertyConceptRestriction'))}) AND NOT coalesce(resolved, false) AND (id_kind = 'iri' OR resolved IS NOT NULL)""")
+
 # ------------------------------------------------------------------ warnings
 
 _FILLERS = _in(*quality.FILLERS)
@@ -354,10 +410,17 @@ _SYMMETRIC = _values("sy", "p, attr", [(r.name, r.handler.split(":")[1]) for r i
 _LISTED = _values("li", "p, attr", [(iri(p), a) for p, a in values.LISTED.items()])
 _GROUPS = _values("gr", "type, p, attr", [(iri("owl:AllDisjointClasses"), iri("owl:members"), "is_disjoint_with"), (iri("owl:AllDifferent"), iri("owl:distinctMembers"), "is_different_from"), (iri("owl:AllDisjointProperties"), iri("owl:members"), "is_disjoint_with")])
 _KEPT_TYPE = f"p = {_q('rdf:type')} AND (NOT ({_STRUCTURAL}) OR o IN {_in('owl:Thing', 'owl:Nothing', 'rdfs:Literal')})"
+def _of_scope(sql: str) -> str:
+    """``sql`` over the triples that fill something in."""
+    sql = re.sub(r"\b(FROM|JOIN) t (?=(?:LEFT|JOIN|WHERE|USING|ON|GROUP)\b)", r"\1 sc t ", sql)
+    return re.sub(r"\b(FROM|JOIN) t (?=[a-z] )", r"\1 sc ", sql)
+
+
 on_triples(
     "e1_values",
-    lambda t: values.asserted(t, closure.materialize(closure.list_items(t))),
-    ITEMS + _CARD_SQL + _TRUTH_SQL + f""", {_LITERAL_ATTRS}, {_SETTERS}, {_SYMMETRIC}, {_LISTED}, {_GROUPS},
+    _with_entities(values.stated),
+    _GONE_SQL + _TRUTH_VALUES_SQL + _CONSUMED + """,
+sc AS MATERIALIZED (SELECT * FROM t WHERE p = 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type' OR s IN (SELECT s FROM structured) OR (s, p, o, o_lang) IN (SELECT (s, p, o, o_lang) FROM used))""" + _of_scope(_CARD_SQL + f""", {_LITERAL_ATTRS}, {_SETTERS}, {_SYMMETRIC}, {_LISTED}, {_GROUPS},
 sym AS (SELECT s AS a, o AS b, attr FROM t JOIN sy USING (p) WHERE o_kind <> 'literal' AND s <> o),
 du AS (SELECT DISTINCT s AS owner, '_:u' || substr(sha256(s || chr(10) || o), 1, 32) AS node, idx, item FROM t JOIN items ON head = o WHERE p = {_q('owl:disjointUnionOf')}),
 grp AS (SELECT s AS owner, attr, idx, item FROM t JOIN items ON head = o JOIN gr ON gr.p = t.p WHERE (s, type) IN (SELECT (s, o) FROM t WHERE p = {_q('rdf:type')}) UNION ALL SELECT node, 'is_disjoint_with', idx, item FROM du),
@@ -376,7 +439,7 @@ everything AS (
   UNION ALL SELECT restriction, 'applies_on_property', 0, property, '' FROM onp UNION ALL SELECT restriction, 'is_inverse', 0, 'True', '' FROM onp WHERE is_inverse
   UNION ALL SELECT id, 'has_cardinality_type', 0, kind, '' FROM card UNION ALL SELECT id, 'has_cardinality', 0, CAST(n AS VARCHAR), '' FROM card
   UNION ALL SELECT id, 'applies_on_concept', 0, filler, '' FROM card UNION ALL SELECT s, 'applies_on_resource', 0, o, '' FROM t WHERE p = {_q('owl:hasValue')}
-  UNION ALL SELECT id, 'has_logical_operator', 0, operator, '' FROM truth UNION ALL SELECT id, 'applies_on_concept', 0, members, '' FROM truth WHERE operator = 'not'
+  UNION ALL SELECT id, attr, ord, v, '' FROM tv
   UNION ALL SELECT id, 'has_facet', idx, comparator, '' FROM fa UNION ALL SELECT id, 'has_restriction_value', idx, v, '' FROM fa
   UNION ALL SELECT fa.id, 'applies_on_concept', 0, (SELECT min(o) FROM t WHERE s = fa.id AND p = {_q('owl:onDatatype')}), '' FROM fa
   UNION ALL SELECT owner, 'is_equivalent_to', 0, node, '' FROM du UNION ALL SELECT node, 'has_logical_operator', 0, 'or', '' FROM du UNION ALL SELECT node, 'applies_on_concept', idx, item, '' FROM du
@@ -384,6 +447,5 @@ everything AS (
   UNION ALL SELECT rule, CASE p WHEN {_q('swrl:body')} THEN 'has_antecedent' ELSE 'has_consequent' END, idx, item, '' FROM atoms
   UNION ALL SELECT item, 'has_predicate', 0, (SELECT min(o) FROM t WHERE s = item AND p IN {_in('swrl:classPredicate', 'swrl:propertyPredicate', 'swrl:builtin', 'swrl:dataRange')}), '' FROM atoms
   UNION ALL SELECT s, 'has_arguments', CASE p WHEN {_q('swrl:argument1')} THEN 1 ELSE 2 END, o, '' FROM t WHERE p IN {_in('swrl:argument1', 'swrl:argument2')})
-SELECT DISTINCT id, attr, CAST(ord AS BIGINT) AS ord, v, lang FROM everything WHERE v IS NOT NULL""",
-    shared=True,
+SELECT DISTINCT id, attr, CAST(ord AS BIGINT) AS ord, v, lang FROM everything WHERE v IS NOT NULL AND id NOT IN (SELECT id FROM gone) AND v NOT IN (SELECT id FROM gone)"""),
 )

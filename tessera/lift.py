@@ -132,6 +132,8 @@ def _specification() -> list[Line]:
     add("part", f"{k} % 16 = 10", r, const("owl:onDataRange"), const("xsd:decimal"))
     add("part", f"{k} % 16 = 12", r, const("owl:cardinality"), "'1'", "literal")
     add("part", f"{k} % 16 = 14", r, const("owl:hasSelf"), "'true'", "literal")
+    add("part", f"{k} % 52 = 25", _node("q"), const("owl:someValuesFrom"), _class(f"{k} + 1"))
+    add("part", f"{k} % 52 = 25", _node("q"), const("owl:onProperty"), "'none'", "literal")
     # Boolean classes with 0 to 3 members, complements, enumerations.
     for of, rest in (("owl:intersectionOf", 0), ("owl:unionOf", 1)):
         for n in range(4):
@@ -142,6 +144,19 @@ def _specification() -> list[Line]:
             add("part", where, _node("t"), type_, const("owl:Class"))
             add("part", where, _node("t"), const(of), f"{_node('t')} || '_1'" if n else const("rdf:nil"), "bnode" if n else "iri")
             out.extend(_list("part", where, _node("t"), [(_class(f"{k} + {j}"), "iri") for j in range(1, n + 1)]))
+    # Named classes that are truth functions themselves: of 0 to 3 members, the first one a restriction without a property
+    # or, further on, a sound one; one complement; nested ones that a restriction takes with it, or doesn't.
+    for rest, shift, of in ((0, 0, "owl:unionOf"), (13, 1, "owl:intersectionOf")):
+        for n in range(4):
+            where = f"{k} % 26 = {rest} AND floor({k} / 26) % 4 = {n}"
+            add("part", where, _class(), const(of), f"{_node('y')} || '_1'" if n else const("rdf:nil"), "bnode" if n else "iri")
+            out.extend(_list("part", where, _node("y"), [(_node("r", f"{k} + {shift}"), "bnode"), (_class(f"{k} + 1"), "iri"), (_class(f"{k} + 2"), "iri")][:n]))
+    add("part", f"{k} % 26 = 14", _class(), const("owl:complementOf"), _class(f"{k} + 1"))
+    add("part", f"{k} % 26 = 0", _class(), const("rdfs:subClassOf"), _node("z"), "bnode")
+    add("part", f"{k} % 26 = 0", _node("z"), const("owl:intersectionOf"), f"{_node('z')} || '_1'", "bnode")
+    out.extend(_list("part", f"{k} % 52 = 0", _node("z"), [(_node("zz"), "bnode")]))
+    out.extend(_list("part", f"{k} % 52 = 26", _node("z"), [(_node("zz"), "bnode"), (_class(f"{k} + 1"), "iri")]))
+    add("part", f"{k} % 26 = 0", _node("zz"), const("owl:complementOf"), r, "bnode")
     add("part", f"{k} % 9 = 3", _class(), const("owl:equivalentClass"), _node("c"), "bnode")
     add("part", f"{k} % 9 = 3", _node("c"), const("owl:complementOf"), _class(f"{k} + 1"))
     add("part", f"{k} % 9 = 6", _class(), const("owl:equivalentClass"), _node("e"), "bnode")

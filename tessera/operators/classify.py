@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..rules import PARENTS, PUNNING_PRIORITY, below, lattice, predicate_frame, predicate_rules, type_frame
+from ..rules import OWN, PUNNING_PRIORITY, RANGE, below, lattice, predicate_frame, request_frame, type_frame
 from ..vocab import BUILTIN_DATATYPES, PREFIXES, iri
 from .closure import closure, nearest
 from .patterns import match, not_structural
@@ -92,54 +92,21 @@ def entities(triples: DataFrame, dialect: str = "owl", more: DataFrame | None =
 def population_requests(triples: DataFrame, found: DataFrame, items: DataFrame, dialect: str = "owl") -> DataFrame:
     """id, id_kind, phase, ord, cls that filling in the entities ``found`` asks for: the classes of their values.
 
-    Literals ask for nothing. Properties that are only referred to (by restrictions, chains, keys, or as
-    equivalent or disjoint ones) are asked for where they have no class yet.
+    ``triples``: those that fill entities in. Literals ask for nothing. Properties that are only referred to (by
+    restrictions, chains, keys, or as equivalent or disjoint ones) are asked for where they have no class yet. Values and
+    list items meet the rules in one join each.
     """
-    from .populate import list_values
-
-    subjects = found.select(F.col("id").alias("s")).distinct()
-    values = triples.where(F.col("o_kind").isin("iri", "bnode")).join(subjects, "s", "left_semi").select("s", "p", F.col("o").alias("id"), F.col("o_kind").alias("id_kind"))
-    known = found.select("id").distinct()
-    attributes = found.where("cls = 'Attribute'").select(F.col("id").alias("s")).distinct().withColumn("is_attribute", F.lit(True))
-    owners = found.groupBy(F.col("id").alias("s")).agg(F.min("cls").alias("own"))
-    out = None
-
-    def ask(rule, rows: DataFrame, cls, new_only: bool = False) -> None:
-        nonlocal out
-        rows = rows.join(known, "id", "left_anti") if new_only else rows
-        rows = rows.where(F.col("id") != iri("rdf:nil")).select("id", "id_kind", F.lit(3).alias("phase"), F.lit(rule.ord).alias("ord"), (F.lit(cls) if isinstance(cls, str) else cls).alias("cls"))
-        out = rows if out is None else out.unionByName(rows)
-
-    for rule in predicate_rules(dialect):
-        direct = values.where(F.col("p") == rule.name)
-        handler, _, detail = (rule.handler or "").partition(":")
-        if not handler:
-            for kind in rule.setters.values():
-                if kind in PARENTS and kind != "Literal":
-                    ask(rule, direct, kind)
-            continue
-        listed = list_values(triples.join(subjects, "s", "left_semi"), items, rule.name).select(F.col("item").alias("id"), F.col("item_kind").alias("id_kind")).where("id_kind <> 'literal'") if handler in ("has_key", "property_chain", "truth", "one_of", "disjoint_union") and detail != "not" else None
-        if handler == "rdf_type":
-            ask(rule, direct.where(not_structural("id")), "Concept")
-        elif handler == "domain":
-            ask(rule, direct, "Concept")
-        elif handler == "range":
-            ask(rule, direct.join(attributes, "s", "left"), F.when(F.col("is_attribute"), "Datatype").otherwise("Concept"))
-        elif detail in ("is_same_as", "is_different_from"):
-            ask(rule, direct, "Individual")
-        elif detail == "is_inverse_of":
-            ask(rule, direct.where("id_kind = 'iri'"), "Relation")
-        elif handler == "symmetric" and rule.targets == ["Property"]:
-            ask(rule, direct.join(owners, "s"), F.col("own"), new_only=True)
-        elif handler in ("symmetric", "narrower") or detail == "not":
-            ask(rule, direct, "Concept")
-        elif handler == "on_property":
-            ask(rule, direct.where("id_kind = 'iri'"), "Relation", new_only=True)
-        elif handler == "has_value":
-            ask(rule, direct, "Individual")
-        elif listed is not None:
-            ask(rule, listed, {"has_key": "Property", "property_chain": "Relation", "one_of": "Individual"}.get(handler, "Concept"), new_only=handler in ("has_key", "property_chain"))
-    return out.distinct()
+    table = F.broadcast(request_frame(triples.sparkSession, dialect))
+    subjects = found.groupBy(F.col("id").alias("s")).agg(F.min("cls").alias("own"), F.max(F.col("cls") == "Attribute").alias("is_attribute"))
+    ruled = triples.where("o_kind <> 'literal'").join(table, "p").join(subjects, "s")
+    columns = ["ord", "asks", "iri_only", "new_only", "free", "own", "is_attribute"]
+    direct = ruled.where(~F.col("listed")).select(F.col("o").alias("id"), F.col("o_kind").alias("id_kind"), *columns)
+    listed = ruled.where("listed").join(items.withColumnRenamed("head", "o"), "o").where("item_kind <> 'literal'").select(F.col("item").alias("id"), F.col("item_kind").alias("id_kind"), *columns)
+    known = found.select("id", F.lit(True).alias("is_known")).distinct()
+    rows = direct.unionByName(listed).where((F.col("id") != iri("rdf:nil")) & (~F.col("iri_only") | (F.col("id_kind") == "iri")) & (~F.col("free") | not_structural("id")))
+    rows = rows.join(known, "id", "left").where("not new_only or is_known is null")
+    cls = F.when(F.col("asks") == RANGE, F.when(F.col("is_attribute"), "Datatype").otherwise("Concept")).when(F.col("asks") == OWN, F.col("own")).otherwise(F.col("asks"))
+    return rows.select("id", "id_kind", F.lit(3).alias("phase"), "ord", cls.alias("cls")).distinct()
 
 
 def count_by_class(found: DataFrame) -> DataFrame:

@@ -91,12 +91,23 @@ def truth_functions(triples: DataFrame, items: DataFrame) -> DataFrame:
     return listed.unionByName(negated)
 
 
+def memberships(triples: DataFrame) -> DataFrame:
+    """The triples that give an rdf:Bag, rdf:Alt or rdf:Seq its members."""
+    kinds = match(triples, p="rdf:type").where(F.col("o").isin([iri("rdf:Bag"), iri("rdf:Alt"), iri("rdf:Seq")])).select("s").distinct()
+    return triples.where(F.col("p").startswith(iri("rdf:_")) & (F.regexp_extract("p", "_(\\d+)$", 1) != "")).join(kinds, "s", "left_semi").select(*triples.columns)
+
+
 def containers(triples: DataFrame) -> DataFrame:
     """container, pos, member of rdf:Bag, rdf:Alt and rdf:Seq; positions are numbers, so 10 comes after 2."""
-    number = F.regexp_extract("p", "_(\\d+)$", 1)
-    members = triples.where(F.col("p").startswith(iri("rdf:_")) & (number != "")).select(F.col("s").alias("container"), number.cast("long").alias("pos"), F.col("o").alias("member"))
-    kinds = match(triples, p="rdf:type").where(F.col("o").isin([iri("rdf:Bag"), iri("rdf:Alt"), iri("rdf:Seq")])).select(F.col("s").alias("container")).distinct()
-    return members.join(kinds, "container", "left_semi")
+    return memberships(triples).select(F.col("s").alias("container"), F.regexp_extract("p", "_(\\d+)$", 1).cast("long").alias("pos"), F.col("o").alias("member"))
+
+
+def collections(triples: DataFrame, items: DataFrame, dialect: str = "owl") -> DataFrame:
+    """owner, p, idx, item of the lists behind predicates that no rule knows, whatever they are: an object is a list if it
+    is the first node of one."""
+    known = [r.name for r in predicate_rules(dialect)]
+    heads = triples.where(~F.col("p").isin([*known, iri("rdf:rest"), iri("rdf:first")]) & (F.col("o_kind") != "literal")).select(F.col("s").alias("owner"), "p", F.col("o").alias("head"))
+    return heads.join(items, "head").select("owner", "p", "idx", "item")
 
 
 def swrl_rules(triples: DataFrame, items: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from ..rules import lattice_frame, predicate_rules, below
 from ..vocab import iri
 from .patterns import match, with_predicates
 from .populate import CARDINALITIES, truth_functions
+from .retract import unresolved
 
 FILLERS = ["owl:someValuesFrom", "owl:allValuesFrom", *CARDINALITIES]
 
@@ -49,6 +50,11 @@ def orphan_restrictions(triples: DataFrame) -> DataFrame:
     return _row(orphans, "orphan_restriction", F.col("s"), F.concat(F.lit("Orphan "), "kind", F.lit(": no owl:onProperty in graph, removed")))
 
 
+def missing_properties(triples: DataFrame, found: DataFrame) -> DataFrame:
+    """Quantifiers and cardinalities that stay, though no property could be made of their owl:onProperty."""
+    return _row(unresolved(triples, found), "missing_on_property", F.col("id"), F.concat("cls", F.lit(" has owl:onProperty but applies_on_property is None")))
+
+
 def multiple_inverses(triples: DataFrame) -> DataFrame:
     pairs = match(triples, p="owl:inverseOf").where("s_kind = 'iri' and o_kind = 'iri'").select(F.col("s").alias("a"), F.col("o").alias("b"))
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -96,7 +102,7 @@ def config_mismatches(triples: DataFrame, found: DataFrame, dialect: str = "owl"
 
 
 def all_warnings(triples: DataFrame, items: DataFrame, found: DataFrame, dialect: str = "owl") -> DataFrame:
-    parts = [malformed_restrictions(triples), small_truth_functions(triples, items, 0), small_truth_functions(triples, items, 1), orphan_restrictions(triples), multiple_inverses(triples), empty_restrictions(triples, items), property_hierarchy(triples, found), class_hierarchy(triples, found), punning_conflicts(found), config_mismatches(triples, found, dialect)]
+    parts = [malformed_restrictions(triples), small_truth_functions(triples, items, 0), small_truth_functions(triples, items, 1), orphan_restrictions(triples), missing_properties(triples, found), multiple_inverses(triples), empty_restrictions(triples, items), property_hierarchy(triples, found), class_hierarchy(triples, found), punning_conflicts(found), config_mismatches(triples, found, dialect)]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

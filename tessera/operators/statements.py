@@ -11,6 +11,7 @@ from ..vocab import FACETS, STRUCTURAL_PREDICATES, iri
 from .classify import dominant
 from .closure import closure
 from .patterns import match
+from .populate import memberships
 
 TRIPLE = ["s", "p", "o", "o_lang"]
 
@@ -21,6 +22,7 @@ def consumed(triples: DataFrame, found: DataFrame, dialect: str = "owl") -> Data
     The predicate's namespace is the dialect's, the subject has a class below one of the rule's targets, and
     that class is its dominant one or a target itself. A rule without handler or setter consumes only
     lists, as does an unmapped predicate of those namespaces; a property chain that is no list is left.
+    The members of containers fill them in, too.
     """
     spark = triples.sparkSession
     scope = triples.where(namespace_of(F.col("p")).isin(namespaces(dialect)))
@@ -33,7 +35,7 @@ def consumed(triples: DataFrame, found: DataFrame, dialect: str = "owl") -> Data
     joined = ruled.join(classes, ruled["s"] == classes["id"])
     fits = (F.col("cls") == F.col("main")) | F.array_contains(F.coalesce("targets", F.array().cast("array<string>")), F.col("cls"))
     allowed = F.col("targets").isNull() | F.arrays_overlap("targets", "up")
-    return joined.where(allowed & fits).select(*TRIPLE).distinct()
+    return joined.where(allowed & fits).select(*TRIPLE).unionByName(memberships(triples).select(*TRIPLE)).distinct()
 
 
 def structured_nodes(triples: DataFrame, found: DataFrame, dialect: str = "owl") -> DataFrame:
@@ -69,6 +71,11 @@ def nested_statements(triples: DataFrame, found: DataFrame, dialect: str = "owl"
     return own.groupBy(F.col("s").alias("id")).agg(F.min(F.struct("p", "o")).alias("m"), (F.count("*") - 1).alias("n_sides")).select("id", F.col("m.p").alias("predicate"), F.col("m.o").alias("object"), "n_sides")
 
 
+def list_objects(made: DataFrame, items: DataFrame) -> DataFrame:
+    """id, idx, item: the lists that statements have as objects. Each is a Container of its own with these members."""
+    return made.select(F.col("o").alias("head")).distinct().join(items, "head").select(F.col("head").alias("id"), "idx", "item")
+
+
 def bnode_closure(triples: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """root, s, p, o: triples of all blank nodes that an IRI reaches through blank nodes."""
     links = triples.where("o_kind = 'bnode'").select(F.col("s").alias("a"), F.col("o").alias("b"), "s_kind")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.text import clean_name, local_name
-from ..operators import axioms, classify, populate, quality, statements
+from ..operators import axioms, classify, populate, quality, retract, statements
 from ..operators.closure import list_items, materialize
 from ..operators.patterns import of_class
 from ..sinks.serialize import serialized
@@ -57,11 +57,12 @@ class Ontology:
         return materialize(list_items(self.triples))
 
     @cached_property
-    def entities(self) -> DataFrame:
+    def classified(self) -> DataFrame:
         """id, id_kind, cls: nodes classified by predicates and types, then the values they refer to, with generic
         properties replaced by what they turn out to be."""
         first = materialize(classify.entities(self.triples, self.dialect))
-        asked = materialize(classify.population_requests(self.triples, first, self.lists, self.dialect))
+        filling = values.scoped(self.triples, statements.consumed(self.triples, first, self.dialect), first, self.dialect)
+        asked = materialize(classify.population_requests(filling, first, self.lists, self.dialect))
         found = materialize(classify.entities(self.triples, self.dialect, asked))
         if self.dialect != "owl":
             return found
@@ -72,24 +73,41 @@ class Ontology:
         again = typed.select(F.col("prop").alias("id"), F.lit("iri").alias("id_kind"), "cls").join(concrete, "id", "left_anti")
         return materialize(rest.unionByName(again).distinct())
 
+    @cached_property
+    def retracted(self) -> DataFrame:
+        """id, round: restrictions without a property, and what can't be stated without them."""
+        return materialize(retract.retracted(self.triples, self.lists, self.classified))
+
+    @cached_property
+    def entities(self) -> DataFrame:
+        """id, id_kind, cls of ``classified`` without what is taken back, with the nodes of truth functions and of lists that
+        statements have as objects."""
+        lists = statements.list_objects(self.statements, self.lists).select("id").distinct().join(self.classified.select("id"), "id", "left_anti")
+        found = self.classified.unionByName(lists.select("id", F.lit("bnode").alias("id_kind"), F.lit("Container").alias("cls")))
+        if self.dialect != "owl":
+            return found
+        truths = retract.truth_values(self.triples, self.lists, self.classified, self.retracted)
+        return materialize(found.join(self.retracted.select("id"), "id", "left_anti").unionByName(retract.truth_nodes(truths, self.classified)))
+
     @cached_property
     def values(self) -> DataFrame:
         """id, attr, ord, v, lang in long form: literals, setters, lists, restrictions, axioms, rules, domains and ranges."""
-        found = values.asserted(self.triples, self.lists, self.dialect)
+        found = values.stated(self.triples, self.lists, self.classified, self.dialect, self.retracted if self.dialect == "owl" else None)
+        found = found.unionByName(values.of_lists(self.statements, self.lists))
         return found.unionByName(values.of_entities(self.triples, self.entities, self.dialect)).distinct()
 
     @cached_property
     def statements(self) -> DataFrame:
-        return statements.statements(self.triples, self.entities, self.dialect)
+        return statements.statements(self.triples, self.classified, self.dialect)
 
     @cached_property
     def nested(self) -> DataFrame:
-        return statements.nested_statements(self.triples, self.entities, self.dialect)
+        return statements.nested_statements(self.triples, self.classified, self.dialect)
 
     @cached_property
     def warnings(self) -> DataFrame:
         """code, subject, message; empty unless they were asked for."""
-        found = quality.all_warnings(self.triples, self.lists, self.entities, self.dialect)
+        found = quality.all_warnings(self.triples, self.lists, self.classified, self.dialect)
         return found if self.with_warnings else found.limit(0)
 
     @cached_property

@@ -9,12 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
-from ..operators import axioms, classify, populate
+from ..operators import axioms, classify, populate, retract, statements
+from ..operators.closure import materialize
 from ..operators.patterns import match
 from ..vocab import iri
 
 #: Lists whose items are values of the list's owner.
-LISTED = {"owl:hasKey": "has_key", "owl:propertyChainAxiom": "has_property_chain", "owl:oneOf": "applies_on_resource", "owl:intersectionOf": "applies_on_concept", "owl:unionOf": "applies_on_concept"}
+LISTED = {"owl:hasKey": "has_key", "owl:propertyChainAxiom": "has_property_chain", "owl:oneOf": "applies_on_resource"}
 
 
 def _rows(df: DataFrame, attr: str | Column, id: str = "id", v: str | Column = "v", ord: str | int = 0, lang: str | None = None) -> DataFrame:
@@ -40,8 +41,16 @@ def setters(triples: DataFrame, dialect: str) -> DataFrame:
     return _rows(keyed.join(F.broadcast(table), ["is_type", "name"]), F.col("attr"), "s", F.coalesce("constant", "o"))
 
 
+def scoped(triples: DataFrame, used: DataFrame, found: DataFrame, dialect: str = "owl") -> DataFrame:
+    """The triples that values come from: those that fill in an entity (``used``), types, and the inner nodes of lists,
+    facets and inline inverses, which are no entities. What is left of an entity's triples are its statements."""
+    own = triples.where(F.col("p") != iri("rdf:type"))
+    inner = own.where("s_kind = 'bnode'").join(statements.structured_nodes(triples, found, dialect).select(F.col("id").alias("s")), "s", "left_semi")
+    return triples.where(F.col("p") == iri("rdf:type")).unionByName(own.join(used, statements.TRIPLE, "left_semi").select(*triples.columns)).unionByName(inner.select(*triples.columns))
+
+
 def asserted(triples: DataFrame, items: DataFrame, dialect: str = "owl") -> DataFrame:
-    """Values that follow from the triples and lists alone; group axioms give every two of their members."""
+    """Values that follow from ``scoped`` triples and lists alone; group axioms give every two of their members."""
     types = populate.types(triples)
     parts = [
         _rows(populate.literals(triples, dialect), F.col("attr"), lang="lang"),
@@ -62,7 +71,7 @@ def _axioms(triples: DataFrame, items: DataFrame) -> list[DataFrame]:
     listed = populate.list_values(triples, items, *LISTED)
     attr = F.create_map(*[F.lit(x) for p, a in LISTED.items() for x in (iri(p), a)])[F.col("p")]
     on_property = populate.on_property(triples)
-    counted, valued, truth = populate.cardinalities(triples), populate.has_values(triples), populate.truth_functions(triples, items)
+    counted, valued = populate.cardinalities(triples), populate.has_values(triples)
     facets, unions = populate.facets(triples, items), axioms.disjoint_unions(triples, items)
     atoms = populate.swrl_rules(triples, items)
     side = F.when(F.col("side") == "body", "has_antecedent").otherwise("has_consequent")
@@ -74,8 +83,6 @@ def _axioms(triples: DataFrame, items: DataFrame) -> list[DataFrame]:
         _rows(counted, "has_cardinality", v="n"),
         _rows(counted, "applies_on_concept", v="filler"),
         _rows(valued, "applies_on_resource"),
-        _rows(truth, "has_logical_operator", v="operator"),
-        _rows(truth.where("operator = 'not'"), "applies_on_concept", v="members"),
         _rows(facets, "has_facet", v="comparator", ord="idx"),
         _rows(facets, "has_restriction_value", ord="idx"),
         _rows(facets, "applies_on_concept", v="datatype"),
@@ -94,6 +101,21 @@ def _axioms(triples: DataFrame, items: DataFrame) -> list[DataFrame]:
     return out
 
 
+def of_lists(made: DataFrame, items: DataFrame) -> DataFrame:
+    """The members of lists that statements have as objects."""
+    return _rows(statements.list_objects(made, items), "has_member", ord="idx", v="item")
+
+
+def stated(triples: DataFrame, items: DataFrame, found: DataFrame, dialect: str = "owl", gone: DataFrame | None = None) -> DataFrame:
+    """What the triples state about the entities ``found``, truth functions included, without what is taken back."""
+    out = asserted(materialize(scoped(triples, statements.consumed(triples, found, dialect), found, dialect)), items, dialect)
+    if dialect != "owl":
+        return out
+    gone = retract.retracted(triples, items, found) if gone is None else gone
+    truths = retract.truth_values(triples, items, found, gone).withColumn("lang", F.lit(""))
+    return retract.kept(out.unionByName(truths).distinct(), gone)
+
+
 def of_entities(triples: DataFrame, entities: DataFrame, dialect: str = "owl") -> DataFrame:
     """Values that also depend on the classes of nodes: domains and ranges, default types, several classes of one node."""
     parts = []

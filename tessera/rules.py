@@ -269,6 +269,40 @@ def setter_frame(spark: SparkSession, dialect: str = "owl") -> DataFrame:
     return spark.createDataFrame(setter_rows(dialect), "is_type boolean, name string, attr string, constant string")
 
 
+#: What a rule can ask for besides a class: a datatype of attributes and else a concept, or the class of the subject.
+RANGE, OWN = "range", "own"
+#: Handlers whose list items are asked for: class, and whether only nodes without a class are.
+LIST_REQUESTS = {"has_key": ("Property", True), "property_chain": ("Relation", True), "one_of": ("Individual", False), "disjoint_union": ("Concept", False), "truth": ("Concept", False)}
+
+
+def request_rows(dialect: str = "owl") -> list[tuple[str, int, str, bool, bool, bool, bool]]:
+    """p, ord, asks, listed, iri_only, new_only, free: the classes that rules ask their values, or list items, to have.
+    ``free``: terms of the vocabularies themselves aren't asked for."""
+    out = []
+    for r in predicate_rules(dialect):
+        handler, _, detail = (r.handler or "").partition(":")
+        if not handler:
+            out += [(r.name, r.ord, kind, False, False, False, False) for kind in r.setters.values() if kind in PARENTS and kind != "Literal"]
+        elif handler in LIST_REQUESTS and detail != "not":
+            asks, new_only = LIST_REQUESTS[handler]
+            out.append((r.name, r.ord, asks, True, False, new_only, False))
+        elif handler == "symmetric" and detail in ("is_same_as", "is_different_from") or handler == "has_value":
+            out.append((r.name, r.ord, "Individual", False, False, False, False))
+        elif handler == "symmetric" and detail == "is_inverse_of" or handler == "on_property":
+            out.append((r.name, r.ord, "Relation", False, True, handler == "on_property", False))
+        elif handler == "symmetric" and r.targets == ["Property"]:
+            out.append((r.name, r.ord, OWN, False, False, True, False))
+        elif handler == "range":
+            out.append((r.name, r.ord, RANGE, False, False, False, False))
+        elif handler in ("domain", "rdf_type", "symmetric", "narrower", "truth"):
+            out.append((r.name, r.ord, "Concept", False, False, False, handler == "rdf_type"))
+    return out
+
+
+def request_frame(spark: SparkSession, dialect: str = "owl") -> DataFrame:
+    return spark.createDataFrame(request_rows(dialect), "p string, ord int, asks string, listed boolean, iri_only boolean, new_only boolean, free boolean")
+
+
 def lattice_frame(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(a, b, d) for a, up in lattice().items() for b, d in up.items()], "sub string, sup string, depth int")
 
