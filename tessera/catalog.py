@@ -219,6 +219,33 @@ SELECT d.id AS prop, side, value, 'declared' AS source FROM decl d JOIN gp ON gp
 UNION ALL SELECT n.id, n.side, coalesce(value, CASE n.side WHEN 'domain' THEN {_q('rdfs:Resource')} ELSE {_q('rdfs:Class')} END), CASE WHEN value IS NULL THEN 'default' ELSE 'ancestor' END FROM need n LEFT JOIN upa a ON (a.id, a.side) = (n.id, n.side)""", _SIDE_PREDICATES, shared=True)
 on_triples("g5_default_types", lambda t: axioms.default_types(t, patterns.match(t, p="rdf:type", o="owl:NamedIndividual").select(F.col("s").alias("id"))), f" SELECT DISTINCT s AS id, {_q('owl:Thing')} AS type FROM t WHERE p = {_q('rdf:type')} AND o = {_q('owl:NamedIndividual')} AND s NOT IN (SELECT s FROM t WHERE p = {_q('rdf:type')} AND NOT ({_STRUCTURAL}))", ["rdf:type"])
 on_triples("g9_ancestors", lambda t: closure.closure(patterns.match(t, p="rdfs:subClassOf").where("o_kind = 'iri'").select(F.col("s").alias("a"), F.col("o").alias("b"))).select(F.col("a").alias("node"), F.col("b").alias("ancestor"), "depth"), _reach("rdfs:subClassOf").replace("AND s <> o", "AND s <> o AND o_kind = 'iri'") + " SELECT a AS node, b AS ancestor, depth FROM reach", ["rdfs:subClassOf"])
+_TREE = ["rdfs:subClassOf", "rdf:type"]
+
+
+def _typed(t: DataFrame, *types: str) -> DataFrame:
+    return patterns.match(t, p="rdf:type").where(F.col("o").isin([iri(x) for x in types])).select(F.col("s").alias("id")).distinct()
+
+
+def _class_links(t: DataFrame) -> DataFrame:
+    return patterns.match(t, p="rdfs:subClassOf").where("o_kind = 'iri'").select(F.col("s").alias("a"), F.col("o").alias("b"))
+
+
+def _nearest_sql(start: str, mark: str, steps: str) -> str:
+    """The nearest marked node of each start, the smallest of several; a search from the starts alone."""
+    typed = lambda x: f"SELECT s FROM t WHERE p = {_q('rdf:type')} AND o = {_q(x)}"
+    return f""", up AS (SELECT DISTINCT s AS a, o AS b FROM t WHERE p = {_q('rdfs:subClassOf')} AND o_kind = 'iri' AND s <> o), steps AS MATERIALIZED ({steps}),
+ways AS (SELECT DISTINCT s AS id, s AS node, 0 AS depth FROM t WHERE s IN ({typed(start)}) UNION SELECT id, b, depth + 1 FROM ways JOIN steps ON a = node WHERE depth < 40),
+hits AS (SELECT id, node, min(depth) AS depth FROM ways WHERE node <> id AND node IN ({typed(mark)}) GROUP BY id, node)
+SELECT id, arg_min(node, (depth, node)) AS nearest, CAST(min(depth) AS BIGINT) AS depth FROM hits GROUP BY id"""
+
+
+def _nearest(t: DataFrame, start: str, mark: str, direction: str) -> DataFrame:
+    return closure.search(_class_links(t), _typed(t, start), _typed(t, mark).withColumn("nearest", F.col("id")), "nearest", direction)
+
+
+on_triples("g9_nearest_above", lambda t: _nearest(t, "rdfs:Datatype", "owl:DeprecatedClass", "up"), _nearest_sql("rdfs:Datatype", "owl:DeprecatedClass", "SELECT a, b FROM up"), _TREE, shared=True)
+on_triples("g9_nearest_below", lambda t: _nearest(t, "owl:DeprecatedClass", "owl:DeprecatedClass", "down"), _nearest_sql("owl:DeprecatedClass", "owl:DeprecatedClass", "SELECT b AS a, a AS b FROM up"), _TREE, shared=True)
+on_triples("g9_nearest_around", lambda t: _nearest(t, "owl:DeprecatedClass", "rdfs:Datatype", "both"), _nearest_sql("owl:DeprecatedClass", "rdfs:Datatype", "SELECT a, b FROM up UNION SELECT b, a FROM up"), _TREE, shared=True)
 on_triples("g9_descendants", lambda t: closure.closure(patterns.match(t, p="rdfs:subPropertyOf").select(F.col("s").alias("a"), F.col("o").alias("b"))).groupBy(F.col("b").alias("node")).agg(F.count("*").alias("n"), F.max("depth").alias("height")), _reach("rdfs:subPropertyOf") + " SELECT b AS node, count(*) AS n, max(depth) AS height FROM reach GROUP BY b", ["rdfs:subPropertyOf"])
 
 # ------------------------------------------------------------------ statements and provenance
@@ -396,6 +423,10 @@ SELECT page_id, CASE WHEN sub IS NULL THEN 'ok' WHEN length(sub) > 51200 THEN 's
 register("val7_entityref", lambda s, d: _pages(s, d).select("page_id", validate.has_entity_reference(F.col("html")).alias("found")), r"SELECT page_id, regexp_matches(html, '&[\pL_][\pL\pN_.\-]{0,63};') AS found FROM pages")
 on_triples("src9_import_closure", imports.import_closure, _reach("owl:imports") + " SELECT a AS model, b AS imported, depth FROM reach", ["owl:imports"])
 on_triples("src10_imports_of_a_root", lambda t: imports.import_closure(t, imports.direct_imports(t).groupBy().agg(F.min("model").alias("model"))), _reach("owl:imports") + f" SELECT a AS model, b AS imported, depth FROM reach WHERE a = (SELECT min(s) FROM t WHERE p = {_q('owl:imports')})", ["owl:imports"])
+_COMPONENTS_SQL = _reach("owl:imports") + """, ends AS (SELECT a AS id FROM steps UNION SELECT b FROM steps),
+part AS (SELECT id AS model, coalesce(least(id, (SELECT min(x.b) FROM reach x JOIN reach y ON y.a = x.b AND y.b = x.a WHERE x.a = id)), id) AS component FROM ends)"""
+on_triples("src9_import_components", imports.import_components, _COMPONENTS_SQL + " SELECT model, component, count(*) OVER (PARTITION BY component) AS size FROM part", ["owl:imports"], shared=True)
+on_triples("src9_component_links", imports.component_links, _COMPONENTS_SQL + " SELECT x.component, y.component AS imported, count(*) AS n FROM steps JOIN part x ON x.model = a JOIN part y ON y.model = b WHERE x.component <> y.component GROUP BY 1, 2", ["owl:imports"], shared=True)
 on_triples("src8_direct_imports", imports.direct_imports, f" SELECT s AS model, o AS imported FROM t WHERE p = {_q('owl:imports')} GROUP BY ALL".replace("GROUP BY ALL", "GROUP BY s, o"), ["owl:imports"])
 register("src12_token", lambda s, d: _pages(s, d).select("page_id", X.url_token(F.col("url"), "owl", False, True).alias("token")), "SELECT page_id, 'url_' || substr(sha256(url || '|owl|False|True'), 1, 32) AS token FROM pages")
 register("src14_spool_eviction", lambda s, d: spool.kept(s.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("spool"), F.col("event_id").alias("name"), F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").alias("mtime"), (F.col("user_id") + 1).alias("size")), now=1735689600, ttl=10**9, budget=20_000, by="spool").select("spool", "name"), "WITH f AS (SELECT event_type AS spool, event_id AS name, user_id + 1 AS size, CAST(floor(epoch(ts)) AS BIGINT) AS mtime FROM events), r AS (SELECT spool, name, sum(size) OVER (PARTITION BY spool ORDER BY mtime DESC, name DESC ROWS UNBOUNDED PRECEDING) AS total FROM f WHERE mtime >= 1735689600 - 1000000000) SELECT spool, name FROM r WHERE total <= 20000")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..rules import below
 from ..vocab import iri
-from .closure import closure
+from .closure import search
 from .patterns import match
 from .populate import list_values, symmetric
 
@@ -54,17 +54,22 @@ def domains_and_ranges(triples: DataFrame, properties: DataFrame, dialect: str =
     inverse = symmetric(triples, "owl:inverseOf").select(F.col("a").alias("id"), F.col("b"))
     swapped = declared.select(F.col("id").alias("b"), opposite.alias("side"), "value").where(F.col("value") != iri("owl:Thing"))
     by_inverse = inverse.join(swapped, "b").groupBy("id", "side").agg(F.min("value").alias("value")).withColumn("source", F.lit("inverse"))
-    reach = closure(match(triples, p="rdfs:subPropertyOf").select(F.col("s").alias("a"), F.col("o").alias("b")))
+    above_of = match(triples, p="rdfs:subPropertyOf").select(F.col("s").alias("a"), F.col("o").alias("b"))
     own = declared.groupBy("id", "side").agg(F.min("value").alias("value"))
     above = own.unionByName(by_inverse.drop("source").join(own.select("id", "side"), ["id", "side"], "left_anti"))
-    def up(marked: DataFrame) -> DataFrame:
-        found = reach.join(marked, reach["b"] == marked["id"]).groupBy(F.col("a").alias("id"), "side").agg(F.min(F.struct("depth", "value")).alias("m"))
-        return found.select("id", "side", F.col("m.value").alias("value"), F.lit("ancestor").alias("source"))
-
-    for_attributes = up(own)
-    for_relations = by_inverse.unionByName(up(above)) if dialect == "owl" else for_attributes
-    relation = properties.where("cls <> 'Attribute'").select("id")
-    attribute = properties.where("cls = 'Attribute'").select("id")
+    relation = properties.where("cls <> 'Attribute'").select("id").distinct()
+    attribute = properties.where("cls = 'Attribute'").select("id").distinct()
+    undeclared = sides.select("id", "side").distinct().join(declared.select("id", "side"), ["id", "side"], "left_anti")
+
+    def up(of: DataFrame, marked: DataFrame) -> DataFrame:
+        found = search(above_of, of, marked, "value", key=["side"])
+        return found.select("id", "side", "value", F.lit("ancestor").alias("source"))
+
+    if dialect == "owl":
+        for_attributes = up(undeclared.join(attribute, "id", "left_semi"), own)
+        for_relations = by_inverse.unionByName(up(undeclared.join(relation, "id", "left_semi").join(by_inverse, ["id", "side"], "left_anti"), above))
+    else:
+        for_attributes = for_relations = up(undeclared, own)
     found = for_relations.join(relation, "id", "left_semi").unionByName(for_attributes.join(attribute, "id", "left_semi"))
     best = found.groupBy("id", "side").agg(F.min(F.struct(F.when(F.col("source") == "inverse", 0).otherwise(1).alias("k"), "value", "source")).alias("m"))
     if classes is not None:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..rules import OWN, PUNNING_PRIORITY, RANGE, below, lattice, predicate_frame, request_frame, type_frame
 from ..vocab import BUILTIN_DATATYPES, PREFIXES, iri
-from .closure import closure, nearest
+from .closure import search
 from .patterns import match, not_structural
 
 
@@ -138,9 +138,10 @@ def property_types(triples: DataFrame, found: DataFrame) -> DataFrame:
     generic = found.where("cls = 'Property' and id_kind = 'iri'").select("id").distinct().join(concrete, "id", "left_anti")
     inverse = match(triples, p="owl:inverseOf")
     tier1 = inverse.select(F.col("s").alias("id")).unionByName(inverse.select(F.col("o").alias("id"))).distinct().select("id", F.lit("Relation").alias("cls"), F.lit(1).alias("tier"))
-    reach = closure(match(triples, p="rdfs:subPropertyOf").select(F.col("s").alias("a"), F.col("o").alias("b")))
-    tier2 = nearest(reach, concrete, "cls").select("id", "cls", F.lit(2).alias("tier"))
-    tier3 = nearest(reach, concrete, "cls", "b", "a").select("id", "cls", F.lit(3).alias("tier"))
+    above = match(triples, p="rdfs:subPropertyOf").select(F.col("s").alias("a"), F.col("o").alias("b"))
+    open_ = generic.join(tier1.select("id"), "id", "left_anti")
+    tier2 = search(above, open_, concrete, "cls").select("id", "cls", F.lit(2).alias("tier"))
+    tier3 = search(above, open_.join(tier2.select("id"), "id", "left_anti"), concrete, "cls", "down").select("id", "cls", F.lit(3).alias("tier"))
     literal = F.col("o").startswith(PREFIXES["xsd"]) | (F.col("o") == iri("rdfs:Literal"))
     tier4 = match(triples, p="rdfs:range").where("o_kind = 'iri'").groupBy(F.col("s").alias("id")).agg(F.max(literal).alias("l")).select("id", F.when(F.col("l"), "Attribute").otherwise("Relation").alias("cls"), F.lit(4).alias("tier"))
     use = triples.join(generic.select(F.col("id").alias("p")), "p", "left_semi")

@@ -1,4 +1,4 @@
-"""Fixpoints: materialisation, transitive closure, nearest picks and linked lists."""
+"""Fixpoints: transitive closure, searches that stop, linked lists, trees of blank nodes, strongly connected components."""
 
 from __future__ import annotations
 
@@ -56,11 +56,6 @@ def _rows_made(last: DataFrame, known: DataFrame) -> int:
     return ends.join(starts, ends["b"] == starts["a"]).agg(F.sum(F.expr("n * k"))).first()[0] or 0
 
 
-def nearest(reach: DataFrame, marked: DataFrame, pick: str, start: str = "a", end: str = "b") -> DataFrame:
-    """For each start the smallest ``pick`` among the ``marked`` (id, pick) ends at the least depth."""
-    return reach.join(marked, reach[end] == marked["id"]).groupBy(F.col(start).alias("id")).agg(F.min(F.struct("depth", pick)).alias("best")).select("id", f"best.{pick}", "best.depth")
-
-
 def list_items(triples: DataFrame) -> DataFrame:
     """All linked lists of the graph: head, idx (from 1), item, item_kind. Cyclic lists have no head and no rows.
 
@@ -76,3 +71,122 @@ def list_items(triples: DataFrame) -> DataFrame:
         before, open_ = open_, jumps.join(steps.select(F.col("node").alias("up")), "up", "left_semi").count()
     placed = firsts.join(jumps, "node", "left").select(F.coalesce("up", "node").alias("head"), (F.coalesce("dist", F.lit(0)) + 1).alias("idx"), "item", "item_kind")
     return placed if not open_ else placed.join(steps.select(F.col("node").alias("head")), "head", "left_anti")
+
+# ------------------------------------------------------------------ searches that stop, trees, components
+
+
+def _directed(edges: DataFrame, direction: str) -> DataFrame:
+    """a, b of steps ``up`` (from a to b), ``down`` or ``both``."""
+    up = edges.select("a", "b").where("a <> b").distinct()
+    down = up.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    return {"up": up, "down": down, "both": up.unionByName(down).distinct()}[direction]
+
+
+def search(edges: DataFrame, starts: DataFrame, marked: DataFrame, pick: str, direction: str = "up", key: list[str] | None = None) -> DataFrame:
+    """id, ``pick``, depth: for each start (id) the smallest ``pick`` among the ``marked`` (id, pick) nodes at the least depth.
+
+    All starts go on side by side, a step a round; a start leaves at its first hit, so no round has rows of starts that
+    are done, and none of a tree has more than one row a start on the way up. A start isn't its own hit. With ``key``
+    columns, in starts and marked, only nodes marked under a start's key count.
+    """
+    key = key or []
+    steps = materialize(_directed(edges, direction))
+    marks = materialize(marked.groupBy("id", *key).agg(F.min(pick).alias(pick)))
+    frontier = materialize(starts.select("id", *key).distinct().withColumn("node", F.col("id")))
+    seen, found, depth = frontier, [], 0
+    while not frontier.isEmpty():
+        depth += 1
+        ahead = frontier.join(steps, frontier["node"] == steps["a"]).select("id", *key, F.col("b").alias("node")).distinct()
+        ahead = materialize(ahead.join(seen, ["id", *key, "node"], "left_anti"))
+        hits = materialize(ahead.join(marks.withColumnRenamed("id", "node"), ["node", *key]).groupBy("id", *key).agg(F.min(pick).alias(pick)).withColumn("depth", F.lit(depth)))
+        found.append(hits)
+        frontier = materialize(ahead.join(hits.select("id", *key), ["id", *key], "left_anti"))
+        seen = seen.join(frontier.select("id", *key).distinct(), ["id", *key], "left_semi").unionByName(frontier)
+        if depth % 8 == 0:
+            seen = materialize(seen)
+    return _all(found, f"id {dict(starts.dtypes)['id']}, {''.join(f'{k} {dict(starts.dtypes)[k]}, ' for k in key)}{pick} {dict(marked.dtypes)[pick]}, depth int", starts)
+
+
+def _all(frames: list[DataFrame], schema: str, like: DataFrame) -> DataFrame:
+    out = frames[0] if frames else like.sparkSession.createDataFrame([], schema)
+    for frame in frames[1:]:
+        out = out.unionByName(frame)
+    return out
+
+
+def tops(links: DataFrame, within: DataFrame) -> DataFrame:
+    """node, top for the nodes ``within`` (node): a node that one link (a, b) leads to, from another node ``within``, is
+    reached exactly if that one is, so it shares its top; all others are their own. Nodes of cycles that nothing leads
+    into have none. Jumps double, so a chain of n nodes takes log n rounds."""
+    known = within.select("node").distinct()
+    one = links.groupBy("b").agg(F.count_distinct("a").alias("n"), F.min("a").alias("up")).where("n = 1 and up <> b").select(F.col("b").alias("node"), "up")
+    steps = materialize(one.join(known, "node", "left_semi").join(known.withColumnRenamed("node", "up"), "up", "left_semi").select("node", "up"))
+    jumps, below, before = steps, steps.select(F.col("node").alias("up")), -1
+    open_ = jumps.join(below, "up", "left_semi").count()
+    while open_ not in (0, before):
+        further = jumps.select(F.col("node").alias("up"), F.col("up").alias("over"))
+        jumps = materialize(jumps.join(further, "up", "left").select("node", F.coalesce("over", "up").alias("up")))
+        before, open_ = open_, jumps.join(below, "up", "left_semi").count()
+    if open_:
+        jumps = jumps.join(below, "up", "left_anti")
+    own = known.join(steps.select("node"), "node", "left_anti").select("node", F.col("node").alias("top"))
+    return own.unionByName(jumps.select("node", F.col("up").alias("top")))
+
+
+def spread(links: DataFrame, within: DataFrame, first: DataFrame) -> DataFrame:
+    """root, node: the nodes ``within`` that each root reaches from its ``first`` ones (root, node) over ``links`` (a, b).
+
+    Trees are gone through at their tops, so that a list of n nodes costs n rows and not n squared; rounds go on only
+    where nodes are shared.
+    """
+    top = materialize(tops(links.unionByName(first.select(F.col("root").alias("a"), F.col("node").alias("b"))), within))
+    named = lambda column: top.select(F.col("node").alias(column), F.col("top").alias(f"{column}_top"))
+    between = materialize(links.join(named("a"), "a").join(named("b"), "b").select(F.col("a_top").alias("a"), F.col("b_top").alias("b")).where("a <> b").distinct())
+    frontier = materialize(first.join(top, "node").select("root", "top").distinct())
+    seen = frontier
+    while not frontier.isEmpty():
+        ahead = frontier.join(between, frontier["top"] == between["a"]).select("root", F.col("b").alias("top")).distinct()
+        frontier = materialize(ahead.join(seen, ["root", "top"], "left_anti"))
+        seen = seen.unionByName(frontier)
+    return seen.join(top, "top").select("root", "node")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, component (its smallest node): strongly connected components of the nodes of ``edges`` (a, b).
+
+    Nodes that nothing leads to, or that lead nowhere, are components alone and are trimmed. Among the others each takes
+    the smallest node that reaches it; those that also reach that node are its component. Then what is left goes on.
+    Every round starts from what changed in the last.
+    """
+    whole = materialize(edges.select("a", "b").where("a <> b").distinct())
+    nodes = materialize(edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct())
+    left, settled = whole, []
+    while not left.isEmpty():
+        core = left.join(left.select(F.col("b").alias("a")).distinct(), "a", "left_semi")
+        core = materialize(core.join(core.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"))
+        rest, before = core.count(), left.count()
+        if rest <= 0.9 * before:  # else a long chain would be taken off link by link
+            left = core
+            continue
+        left = core
+        if not rest:
+            break
+        colour = materialize(left.select(F.col("a").alias("node"), F.col("a").alias("colour")).distinct())
+        changed = colour
+        while not changed.isEmpty():
+            offered = changed.join(left, changed["node"] == left["a"]).groupBy(F.col("b").alias("node")).agg(F.min("colour").alias("offer"))
+            merged = materialize(colour.join(offered, "node", "left").select("node", F.least("colour", F.coalesce("offer", "colour")).alias("colour"), (F.col("offer") < F.col("colour")).alias("is_new")))
+            colour, changed = merged.select("node", "colour"), merged.where("is_new").select("node", "colour")
+        of = lambda side: colour.select(F.col("node").alias(side), F.col("colour").alias(f"{side}_colour"))
+        inside = materialize(left.join(of("a"), "a").join(of("b"), "b").where("a_colour = b_colour").select("a", "b"))
+        frontier = materialize(colour.where("node = colour"))
+        member = frontier
+        while not frontier.isEmpty():
+            back = frontier.join(inside, frontier["node"] == inside["b"]).select(F.col("a").alias("node"), "colour").distinct()
+            frontier = materialize(back.join(member, ["node", "colour"], "left_anti"))
+            member = member.unionByName(frontier)
+        settled.append(materialize(member))
+        done = settled[-1].select("node")
+        left = materialize(left.join(done.withColumnRenamed("node", "a"), "a", "left_anti").join(done.withColumnRenamed("node", "b"), "b", "left_anti").select("a", "b"))
+    several = _all(settled, "node string, colour string", nodes)
+    return nodes.join(several, "node", "left").select("node", F.coalesce("colour", "node").alias("component"))

@@ -9,7 +9,7 @@ from ..functions.text import namespace_of
 from ..rules import lattice_frame, namespaces, predicate_frame, type_frame
 from ..vocab import FACETS, STRUCTURAL_PREDICATES, iri
 from .classify import dominant
-from .closure import closure
+from .closure import spread
 from .patterns import match
 from .populate import memberships
 
@@ -80,11 +80,10 @@ def bnode_closure(triples: DataFrame, roots: DataFrame | None = None) -> DataFra
     """root, s, p, o: triples of all blank nodes that an IRI reaches through blank nodes."""
     links = triples.where("o_kind = 'bnode'").select(F.col("s").alias("a"), F.col("o").alias("b"), "s_kind")
     first = links.where("s_kind = 'iri'").select(F.col("a").alias("root"), F.col("b").alias("node")).distinct()
+    within = links.select(F.col("b").alias("node")).unionByName(links.where("s_kind = 'bnode'").select(F.col("a").alias("node"))).distinct()
     if roots is not None:
         first = first.join(roots.select("root"), "root", "left_semi")
-    reach = closure(links.where("s_kind = 'bnode'").select("a", "b"))
-    further = first.join(reach, first["node"] == reach["a"]).select("root", F.col("b").alias("node"))
-    nodes = first.unionByName(further).distinct()
+    nodes = spread(links.where("s_kind = 'bnode'").select("a", "b"), within, first)
     return nodes.join(triples, nodes["node"] == triples["s"]).select("root", "s", "p", "o").distinct()
 
 

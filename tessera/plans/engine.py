@@ -48,8 +48,7 @@ class Ontology:
         if catalogue is not None:
             for wanted, closed in ((closure, True), (imported, False)):
                 if wanted:
-                    for root in [r["model"] for r in modules.direct_imports(triples).select("model").distinct().collect()]:
-                        triples = modules.with_imports(triples, catalogue, root, closed)
+                    triples = modules.with_imports(triples, catalogue, closed=closed)
         return cls(triples, dialect, warnings)
 
     @cached_property

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.closure import closure
+from ..operators.closure import closure, components, materialize
 from ..operators.patterns import match
 
 
@@ -23,17 +23,40 @@ def import_closure(triples: DataFrame, roots: DataFrame | None = None) -> DataFr
     return closure(direct_imports(triples), "model", "imported", start).select(F.col("a").alias("model"), F.col("b").alias("imported"), "depth")
 
 
-def with_imports(triples: DataFrame, catalogue: DataFrame, root: str, closed: bool = False) -> DataFrame:
-    """``triples`` of the model ``root`` with those of the models it imports.
+def import_components(triples: DataFrame) -> DataFrame:
+    """model, component, size: models that import each other, directly or not, are one component, named by its smallest."""
+    found = materialize(components(direct_imports(triples).select(F.col("model").alias("a"), F.col("imported").alias("b"))))
+    return found.join(found.groupBy("component").agg(F.count("*").alias("size")), "component").select(F.col("node").alias("model"), "component", "size")
+
+
+def component_links(triples: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+    """component, imported, n: imports between different components; without circles, so whatever is asked of a component
+    holds for all of its models."""
+    parts = import_components(triples) if parts is None else parts
+    side = lambda model, name: parts.select(F.col("model").alias(model), F.col("component").alias(name))
+    links = direct_imports(triples).join(side("model", "c"), "model").join(side("imported", "d"), "imported").where("c <> d")
+    return links.groupBy(F.col("c").alias("component"), F.col("d").alias("imported")).agg(F.count("*").alias("n"))
+
+
+def reached(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """model: what any of the ``roots`` (model) imports, directly or not, over ``edges`` (model, imported). The roots count as
+    one start, so the work is a row for each model and not for each pair."""
+    start = F.lit("")
+    steps = edges.select("model", "imported").unionByName(roots.select(start.alias("model"), F.col("model").alias("imported")))
+    met = closure(steps, "model", "imported", roots.select(start.alias("a")).distinct()).select(F.col("b").alias("model"))
+    return edges.join(met, "model", "left_semi").select(F.col("imported").alias("model")).distinct()
+
+
+def with_imports(triples: DataFrame, catalogue: DataFrame, root: str | None = None, closed: bool = False) -> DataFrame:
+    """``triples`` of the model ``root``, or of all models in them, with those of the models they import.
 
     ``catalogue``: model and its triples. Imports that the catalogue lacks are left out. With ``closed``
     everything reachable through the catalogue comes in, else one level.
     """
-    columns = triples.columns
+    columns, own = triples.columns, direct_imports(triples)
+    roots = own.select("model").distinct() if root is None else triples.sparkSession.createDataFrame([(root,)], "model string")
     if closed:
-        edges = match(catalogue, p="owl:imports").select("s", "p", "o", "o_kind").unionByName(match(triples, p="owl:imports").select("s", "p", "o", "o_kind"))
-        start = triples.sparkSession.createDataFrame([(root,)], "model string")
-        wanted = import_closure(edges, start).select(F.col("imported").alias("model"))
+        wanted = reached(direct_imports(catalogue).unionByName(own).distinct(), roots)
     else:
-        wanted = direct_imports(triples).where(F.col("model") == root).select(F.col("imported").alias("model"))
+        wanted = own.join(roots, "model", "left_semi").select(F.col("imported").alias("model"))
     return triples.unionByName(catalogue.join(wanted, "model", "left_semi").select(*columns)).dropDuplicates(columns)
