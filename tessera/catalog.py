@@ -251,6 +251,11 @@ on_triples("g9_descendants", lambda t: closure.closure(patterns.match(t, p="rdfs
 # ------------------------------------------------------------------ statements and provenance
 
 
+def _with_entities(run: Callable[[DataFrame, DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    """``run`` gets the triples, their lists and their entities, both written once."""
+    return lambda t: run(t, closure.materialize(closure.list_items(t)), closure.materialize(classify.entities(t)))
+
+
 def _fates(t: DataFrame, found: DataFrame) -> DataFrame:
     """p with the number of its triples that fill something in, of those that become statements, and of those that do both."""
     found = closure.materialize(found)
@@ -284,6 +289,40 @@ fate AS (SELECT DISTINCT s, p, o, o_lang, (s, p, o, o_lang) IN (SELECT (s, p, o,
 SELECT p, count(*) FILTER (a) AS n_values, count(*) FILTER (b) AS n_statements, count(*) FILTER (a AND b) AS n_both FROM fate GROUP BY p""",
 )
 on_triples("h29_statement_containers", lambda t: statements.list_objects(statements.statements(t, classify.entities(t)), closure.materialize(closure.list_items(t))), ENTITIES + ITEMS + _CONSUMED + " SELECT DISTINCT head AS id, idx, item FROM stmts JOIN items ON head = o")
+_LOCAL = "regexp_extract({0}, '([^/#]*)$', 1)"
+_NESTED_SQL = f""",
+own AS (SELECT DISTINCT s AS id, p, o, o_lang, o_kind FROM t WHERE s IN (SELECT s FROM structured) AND p NOT IN {_in(*STRUCTURAL_PREDICATES, 'rdf:type', *FACETS)} AND NOT (p = {_q('owl:inverseOf')} AND s IN (SELECT o FROM t WHERE p = {_q('owl:onProperty')}))),
+slots AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p, o, o_lang) = 1 AS is_main FROM own),
+parts AS MATERIALIZED (
+  SELECT id, CASE WHEN is_main THEN 'has_object' ELSE {_LOCAL.format('p')} END AS attr,
+    CASE WHEN is_main THEN 0 ELSE row_number() OVER (PARTITION BY id, is_main, {_LOCAL.format('p')} ORDER BY p, o, o_lang) END AS pos, p, o,
+    CASE WHEN o_kind = 'literal' THEN 'literal' WHEN o IN (SELECT head FROM items) THEN 'container' WHEN o IN (SELECT s FROM structured) THEN 'statement' ELSE 'entity' END AS kind
+  FROM slots)"""
+on_triples("s6_nested_parts", _with_entities(lambda t, items, found: statements.nested_parts(t, found, items)), ENTITIES + ITEMS + _CONSUMED + _NESTED_SQL + " SELECT id, attr, pos, p, o, kind FROM parts")
+on_triples("s6_nested_values", _with_entities(lambda t, items, found: statements.nested_values(statements.nested_parts(t, found, items))), ENTITIES + ITEMS + _CONSUMED + _NESTED_SQL + """,
+ways AS (
+  SELECT id, o AS node, attr || pos AS path, kind, 1 AS depth FROM parts
+  UNION ALL SELECT w.id, x.o, w.path || '/' || x.attr || x.pos, x.kind, depth + 1 FROM ways w JOIN parts x ON x.id = w.node WHERE w.kind = 'statement' AND depth < 20)
+SELECT id, path, node AS v, kind FROM ways WHERE kind <> 'statement'""")
+_VOCABULARY = " OR ".join("starts_with({0}, '" + PREFIXES[x] + "')" for x in ("rdf", "rdfs", "owl", "skos", "xsd"))
+on_triples("s2_made_entities", _with_entities(lambda t, items, found: statements.made_entities(t, found, closure.materialize(statements.statements(t, found)), closure.materialize(statements.nested_parts(t, found, items)))), ENTITIES + ITEMS + _CONSUMED + _NESTED_SQL + f""",
+st AS MATERIALIZED (SELECT DISTINCT s, s_kind, p, o, o_kind FROM t WHERE (s, p, o, o_lang) IN (SELECT (s, p, o, o_lang) FROM stmts)),
+heads AS (SELECT DISTINCT s AS id FROM t WHERE p = {_q('rdf:first')}),
+preds AS (SELECT p AS id FROM st UNION SELECT p FROM parts EXCEPT SELECT id FROM ent WHERE cls IN ({', '.join(f"'{c}'" for c in R.below('Property'))})),
+ends AS (
+  SELECT s AS id, s_kind AS id_kind, CASE WHEN {_VOCABULARY.format('s')} THEN 'Resource' ELSE 'Individual' END AS cls FROM st
+  UNION SELECT o, o_kind, 'Resource' FROM st WHERE o_kind <> 'literal' AND NOT ({_VOCABULARY.format('o')})
+  UNION SELECT o, CASE WHEN starts_with(o, '_:') THEN 'bnode' ELSE 'iri' END, 'Individual' FROM parts WHERE kind = 'entity' AND NOT ({_VOCABULARY.format('o')}))
+SELECT id, 'iri' AS id_kind, 'Annotation' AS cls FROM preds
+UNION ALL SELECT id, id_kind, min(cls) FROM ends WHERE id NOT IN (SELECT id FROM ent) AND id NOT IN (SELECT id FROM heads) AND id NOT IN (SELECT id FROM parts) AND id NOT IN (SELECT id FROM preds) GROUP BY id, id_kind
+UNION ALL SELECT DISTINCT id, 'bnode', 'Statement' FROM parts
+UNION ALL SELECT DISTINCT o, 'bnode', 'Container' FROM (SELECT o FROM st WHERE o_kind = 'bnode' UNION SELECT o FROM parts WHERE kind = 'container') WHERE o IN (SELECT id FROM heads) AND o NOT IN (SELECT id FROM ent)""")
+_REIFIED_SQL = ", " + _values("rk", "o, kind", [(iri(k), k) for k in statements.REIFIED]) + ", " + _values("rl", "kind, p, slot", [(k, iri(p), slot) for k, (s_, p_, os_) in statements.REIFIED.items() for slot, ps in (("s", [s_]), ("p", [p_]), ("o", os_)) for p in ps]) + f""",
+about AS (
+  SELECT t.s AS id, kind, min(t.o) FILTER (slot = 's') AS s, min(t.o) FILTER (slot = 'p') AS p, min((t.o, t.o_lang)) FILTER (slot = 'o') AS m, kind <> 'owl:NegativePropertyAssertion' AS is_positive
+  FROM t JOIN rl USING (p) WHERE (t.s, kind) IN (SELECT (t.s, kind) FROM t JOIN rk USING (o) WHERE p = {_q('rdf:type')}) GROUP BY t.s, kind)"""
+on_triples("s10_reified", statements.reified, _REIFIED_SQL + " SELECT id, kind, s, p, m[1] AS o, m[2] AS o_lang, is_positive, (s, p, m[1]) IN (SELECT (s, p, o) FROM t) AS is_asserted FROM about WHERE s IS NOT NULL AND p IS NOT NULL AND m IS NOT NULL", shared=True)
+on_triples("s10_triple_annotations", statements.triple_annotations, _REIFIED_SQL + f" SELECT DISTINCT a.s, a.p, m[1] AS o, t.p AS attr, t.o AS v, t.o_lang AS v_lang, is_positive FROM about a JOIN t ON t.s = a.id WHERE a.s IS NOT NULL AND a.p IS NOT NULL AND m IS NOT NULL AND t.p <> {_q('rdf:type')} AND t.p NOT IN (SELECT p FROM rl)", shared=True)
 _BNODES = """, nodes AS (SELECT s AS root, o AS node FROM t WHERE s_kind = 'iri' AND o_kind = 'bnode' UNION SELECT n.root, t.o FROM nodes n JOIN t ON t.s = n.node AND t.o_kind = 'bnode'),
 inner_ AS (SELECT DISTINCT root, s, p, o FROM nodes JOIN t ON s = node)"""
 on_triples("s8_bnode_closure", statements.bnode_closure, _BNODES + " SELECT * FROM inner_", shared=True)
@@ -319,11 +358,6 @@ tv AS (
   UNION SELECT owner, 'is_equivalent_to', 0, node FROM live WHERE NOT alone AND NOT own)"""
 
 
-def _with_entities(run: Callable[[DataFrame, DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
-    """``run`` gets the triples, their lists and their entities, both written once."""
-    return lambda t: run(t, closure.materialize(closure.list_items(t)), closure.materialize(classify.entities(t)))
-
-
 on_triples("h20_truth", _with_entities(lambda t, items, found: retract.truth_values(t, items, found, retract.retracted(t, items, found))), _GONE_SQL + _TRUTH_VALUES_SQL + " SELECT id, attr, ord, v FROM tv")
 on_triples("w04_retracted", _with_entities(lambda t, items, found: retract.retracted(t, items, found).select("id", (F.col("round") > 0).alias("follows"))), _GONE_SQL + " SELECT id, id NOT IN (SELECT id FROM g0) AS follows FROM gone")
 on_triples("w04_missing_on_property", _with_entities(lambda t, items, found: quality.missing_properties(t, found)), ENTITIES + f""", onp AS (SELECT s, bool_or(o_kind <> 'literal') AS resolved FROM t WHERE p = {_q('owl:onProperty')} GROUP BY s)
@@ -376,15 +410,17 @@ on_triples("v9_restriction_text", lambda t: views.restriction_texts(t, closure.l
 nm AS (SELECT id, CASE WHEN m[2] THEN 'inverse of ' ELSE '' END || {_SHORT.format('m[1]')} AS name FROM pn),
 qt AS ({_QUANT_SQL}),
 lst AS (SELECT s AS id, p, idx, item, max(idx) OVER (PARTITION BY s) AS last FROM t JOIN items ON head = o WHERE p IN {_in('owl:intersectionOf', 'owl:unionOf', 'owl:oneOf')}),
-fc AS (SELECT n.s AS id, idx, {_FACETS.replace('CASE p', 'CASE f.p')} AS comparator, f.o AS v, (SELECT min(o) FROM t WHERE s = n.s AND p = {_q('owl:onDatatype')}) AS datatype FROM t n JOIN items ON head = n.o JOIN t f ON f.s = item AND f.p IN {_in(*FACETS)} WHERE n.p = {_q('owl:withRestrictions')})
-SELECT id, string_agg(txt, '' ORDER BY n, txt) AS text FROM (
-  SELECT id, 0 AS n, coalesce(name, '') || ' ' || quantifier || ' ' || {_SHORT.format('filler')} AS txt FROM qt LEFT JOIN nm USING (id)
-  UNION ALL SELECT id, 0, coalesce(name, '') || ' ' || kind || ' ' || coalesce(CAST(n AS VARCHAR), '') || {_SHORT.format('filler')} FROM card LEFT JOIN nm USING (id) WHERE id NOT IN (SELECT id FROM qt)
-  UNION ALL SELECT s, 0, coalesce(name, '') || ' value ' || {_SHORT.format('o')} FROM t LEFT JOIN nm ON nm.id = s WHERE p = {_q('owl:hasValue')}
-  UNION ALL SELECT id, idx, CASE WHEN idx = 1 THEN CASE WHEN p = {_q('owl:oneOf')} THEN 'one of {{ ' ELSE '(' END WHEN p = {_q('owl:intersectionOf')} THEN ' and ' WHEN p = {_q('owl:unionOf')} THEN ' or ' ELSE ', ' END || {_SHORT.format('item')} || CASE WHEN idx = last THEN CASE WHEN p = {_q('owl:oneOf')} THEN ' }}' ELSE ')' END ELSE '' END FROM lst
-  UNION ALL SELECT id, 0, '(' || {_SHORT.format('members')} || ')' FROM truth WHERE operator = 'not'
-  UNION ALL SELECT id, idx, CASE WHEN idx = 1 THEN {_SHORT.format('datatype')} || ' restricted by ' ELSE ', ' END || comparator || ' ' || {_SHORT.format('v')} FROM fc)
-WHERE starts_with(id, '_:') GROUP BY id""".replace("{{", "{").replace("}}", "}"))
+fc AS (SELECT n.s AS id, idx, {_FACETS.replace('CASE p', 'CASE f.p')} AS comparator, f.o AS v, (SELECT min(o) FROM t WHERE s = n.s AND p = {_q('owl:onDatatype')}) AS datatype FROM t n JOIN items ON head = n.o JOIN t f ON f.s = item AND f.p IN {_in(*FACETS)} WHERE n.p = {_q('owl:withRestrictions')}),
+pt AS MATERIALIZED (SELECT * FROM (
+  SELECT id, 0 AS n, coalesce(name, '') || ' ' || quantifier || ' ' AS before, filler AS part, '' AS after FROM qt LEFT JOIN nm USING (id)
+  UNION ALL SELECT id, 0, coalesce(name, '') || ' ' || kind || ' ' || coalesce(CAST(n AS VARCHAR), ''), filler, '' FROM card LEFT JOIN nm USING (id) WHERE id NOT IN (SELECT id FROM qt)
+  UNION ALL SELECT s, 0, coalesce(name, '') || ' value ', o, '' FROM t LEFT JOIN nm ON nm.id = s WHERE p = {_q('owl:hasValue')}
+  UNION ALL SELECT id, idx, CASE WHEN idx = 1 THEN CASE WHEN p = {_q('owl:oneOf')} THEN 'one of {{ ' ELSE '(' END WHEN p = {_q('owl:intersectionOf')} THEN ' and ' WHEN p = {_q('owl:unionOf')} THEN ' or ' ELSE ', ' END, item, CASE WHEN idx = last THEN CASE WHEN p = {_q('owl:oneOf')} THEN ' }}' ELSE ')' END ELSE '' END FROM lst
+  UNION ALL SELECT id, 0, '(', members, ')' FROM truth WHERE operator = 'not'
+  UNION ALL SELECT id, idx, CASE WHEN idx = 1 THEN {_SHORT.format('datatype')} || ' restricted by ' ELSE ', ' END || comparator || ' ', v, '' FROM fc)
+  WHERE starts_with(id, '_:')),
+tx0 AS (SELECT CAST(NULL AS VARCHAR) AS id, CAST(NULL AS VARCHAR) AS text WHERE false)""".replace("{{", "{").replace("}}", "}") + "".join(f""",
+tx{k} AS (SELECT id, string_agg(txt, '' ORDER BY n, txt) AS text FROM (SELECT pt.id, n, before || coalesce(text, {_SHORT.format('part')}) || after AS txt FROM pt LEFT JOIN tx{k - 1} x ON x.id = part) GROUP BY id)""" for k in range(1, _ROUNDS + 1)) + f" SELECT id, text FROM tx{_ROUNDS}")
 on_triples("v10_chains", lambda t: views.chain_texts(populate.list_values(t, closure.list_items(t), "owl:propertyChainAxiom")), ITEMS + f" SELECT s AS owner, string_agg({_SHORT.format('item')}, ' o ' ORDER BY idx) AS text FROM t JOIN items ON head = o WHERE p = {_q('owl:propertyChainAxiom')} GROUP BY s", ["owl:propertyChainAxiom", *LISTS])
 on_triples("v11_statement_groups", lambda t: statements.statements(t, classify.entities(t)).groupBy("s", X.clean_name(X.local_name(F.col("p"))).alias("label")).agg(F.array_join(F.array_sort(F.collect_set("o")), "|").alias("vals")), ENTITIES + _CONSUMED + f" SELECT s, {_CLEAN.format('p')} AS label, array_to_string(list_sort(list(DISTINCT o)), '|') AS vals FROM stmts GROUP BY 1, 2")
 on_triples("v12_hierarchy", lambda t: views.hierarchy(t, "rdfs:subClassOf", patterns.match(t, p="rdf:type", o="owl:Class").where("s_kind = 'iri'").select(F.col("s").alias("id"))), f""", n AS (SELECT DISTINCT s AS id FROM t WHERE p = {_q('rdf:type')} AND o = {_q('owl:Class')} AND s_kind = 'iri'),

@@ -208,6 +208,29 @@ def _specification() -> list[Line]:
     add("part", f"{k} % 17 = 0", _node("x"), const("owl:annotatedSource"), _class())
     add("part", f"{k} % 17 = 0", _node("x"), const("owl:annotatedProperty"), label)
     add("part", f"{k} % 17 = 0", _node("x"), const("owl:annotatedTarget"), "p_name", "literal")
+    add("part", f"{k} % 26 = 0", _node("m"), term("note"), "p_type", "literal")
+    add("part", f"{k} % 26 = 0", _node("m"), term("note"), _node("o"), "bnode")
+    add("part", f"{k} % 26 = 0", _node("o"), term("by"), named("nation", f"{k} % 25"))
+    add("part", f"{k} % 26 = 0", _node("o"), term("steps"), f"{_node('o')} || '_1'", "bnode")
+    out.extend(_list("part", f"{k} % 26 = 0", _node("o"), [(_class(), "iri"), (_class(f"{k} + 1"), "iri")]))
+    add("part", f"{k} % 51 = 0", _node("x"), const("rdfs:comment"), "p_type", "literal", "'en'")
+    add("part", f"{k} % 34 = 0", _node("xa"), type_, const("owl:Annotation"))
+    add("part", f"{k} % 34 = 0", _node("xa"), const("owl:annotatedSource"), _node("x"), "bnode")
+    add("part", f"{k} % 34 = 0", _node("xa"), const("owl:annotatedProperty"), const("rdfs:comment"))
+    add("part", f"{k} % 34 = 0", _node("xa"), const("owl:annotatedTarget"), "p_type", "literal", "'en'")
+    add("part", f"{k} % 34 = 0", _node("xa"), term("who"), "p_brand", "literal")
+    for rest, target, value, kind in ((0, "owl:targetIndividual", named("nation", f"({k} + 1) % 25"), "iri"), (1, "owl:targetValue", "p_brand", "literal")):
+        where = f"{k} % 19 = 0 AND {k} % 2 = {rest}"
+        add("part", where, _node("v"), type_, const("owl:NegativePropertyAssertion"))
+        add("part", where, _node("v"), const("owl:sourceIndividual"), named("nation", f"{k} % 25"))
+        add("part", where, _node("v"), const("owl:assertionProperty"), const("owl:sameAs"))
+        add("part", where, _node("v"), const(target), value, kind)
+        add("part", where, _node("v"), const("rdfs:label"), "p_name", "literal")
+    add("part", f"{k} % 23 = 0", _node("s"), type_, const("rdf:Statement"))
+    add("part", f"{k} % 23 = 0", _node("s"), const("rdf:subject"), _class())
+    add("part", f"{k} % 23 = 0", _node("s"), const("rdf:predicate"), const("rdfs:subClassOf"))
+    add("part", f"{k} % 46 = 0", _node("s"), const("rdf:object"), _class(half(k, 2)))
+    add("part", f"{k} % 23 = 0", _node("s"), term("who"), "p_brand", "literal")
     # Models that import each other in a tree with a way back to the root.
     add("part", f"{k} % 4 = 1", named("model", k), type_, const("owl:Ontology"))
     add("part", f"{k} % 4 = 1", named("model", k), const("owl:versionInfo"), text("p_size"), "literal")

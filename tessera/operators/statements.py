@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import namespace_of
-from ..rules import lattice_frame, namespaces, predicate_frame, type_frame
+from ..functions.text import local_name, namespace_of
+from ..rules import below, lattice_frame, namespaces, predicate_frame, type_frame
 from ..vocab import FACETS, STRUCTURAL_PREDICATES, iri
 from .classify import dominant
-from .closure import spread
-from .patterns import match
+from .closure import materialize, spread
+from .patterns import match, not_structural
 from .populate import memberships
 
 TRIPLE = ["s", "p", "o", "o_lang"]
@@ -59,16 +59,115 @@ def statements(triples: DataFrame, found: DataFrame, dialect: str = "owl") -> Da
     return scope.select(*TRIPLE).join(used, TRIPLE, "left_anti").join(vocabulary, "s", "left_anti").join(nested, "s", "left_anti").select(*TRIPLE).distinct()
 
 
-def nested_statements(triples: DataFrame, found: DataFrame, dialect: str = "owl") -> DataFrame:
-    """id, predicate, object, n_sides: the smallest pair of a structured node fills the slots, the rest annotates.
+def nested_parts(triples: DataFrame, found: DataFrame, items: DataFrame, dialect: str = "owl") -> DataFrame:
+    """id, attr, pos, p, o, kind: a row for each triple of a structured node.
 
-    Types, list and member links don't count, nor do facets and inline inverses, which restrictions consume.
+    The smallest pair of a node fills the slots of its statement (attr ``has_object``, pos 0); the others are sides, named by
+    the predicate and numbered from 1. kind: literal, container (a list), statement (another structured node), entity. Types,
+    list and member links don't count, nor do facets and inline inverses, which restrictions consume.
     """
     nodes = structured_nodes(triples, found, dialect)
     inline = match(triples, p="owl:onProperty").select(F.col("o").alias("s"), F.lit(iri("owl:inverseOf")).alias("p")).distinct()
     left = triples.where(~F.col("p").isin([iri(p) for p in [*STRUCTURAL_PREDICATES, "rdf:type", *FACETS]])).join(inline, ["s", "p"], "left_anti")
-    own = left.join(nodes.select(F.col("id").alias("s")), "s", "left_semi")
-    return own.groupBy(F.col("s").alias("id")).agg(F.min(F.struct("p", "o")).alias("m"), (F.count("*") - 1).alias("n_sides")).select("id", F.col("m.p").alias("predicate"), F.col("m.o").alias("object"), "n_sides")
+    own = left.join(nodes.select(F.col("id").alias("s")), "s", "left_semi").select(F.col("s").alias("id"), "p", "o", "o_lang", "o_kind").distinct()
+    main = own.groupBy("id").agg(F.min(F.struct("p", "o", "o_lang")).alias("m"))
+    is_main = F.struct("p", "o", "o_lang") == F.col("m")
+    attr = F.when(is_main, "has_object").otherwise(local_name(F.col("p")))
+    placed = own.join(main, "id").select("id", attr.alias("attr"), is_main.alias("is_main"), "p", "o", "o_lang", "o_kind")
+    place = F.row_number().over(Window.partitionBy("id", "is_main", "attr").orderBy("p", "o", "o_lang"))
+    heads = items.select(F.col("head").alias("o"), F.lit("container").alias("as_list")).distinct()
+    inner = nodes.select(F.col("id").alias("o"), F.lit("statement").alias("as_node"))
+    kinds = placed.withColumn("pos", F.when(F.col("is_main"), 0).otherwise(place)).join(heads, "o", "left").join(inner, "o", "left")
+    return kinds.select("id", "attr", "pos", "p", "o", F.when(F.col("o_kind") == "literal", "literal").otherwise(F.coalesce("as_list", "as_node", F.lit("entity"))).alias("kind"))
+
+
+def nested_values(parts: DataFrame) -> DataFrame:
+    """id, path, v, kind: every structured node with all that hangs below it, from the inside out.
+
+    A round folds the nodes whose inner nodes are folded, looking only at those that hold a node of the last round. A path
+    names attributes and positions: ``when0/year1``. Nodes on circles, and those that hold one, keep their links to
+    structured nodes as values of kind ``statement``.
+    """
+    parts = materialize(parts.withColumn("step", F.concat("attr", F.col("pos").cast("string"))))
+    inner = materialize(parts.where("kind = 'statement'").select("id", "step", F.col("o").alias("below")))
+    leaves = parts.where("kind <> 'statement'").select("id", F.col("step").alias("path"), F.col("o").alias("v"), "kind")
+    last = materialize(parts.select("id").distinct().join(inner.select("id"), "id", "left_anti"))
+    folded, done = materialize(leaves.join(last, "id", "left_semi")), last
+    while not last.isEmpty():
+        holds = inner.join(last.withColumnRenamed("id", "below"), "below", "left_semi").select("id").distinct()
+        open_ = inner.join(done.withColumnRenamed("id", "below"), "below", "left_anti").select("id")
+        last = materialize(holds.join(open_, "id", "left_anti").join(done, "id", "left_anti"))
+        links = inner.join(last, "id", "left_semi").join(folded.withColumnRenamed("id", "below").withColumnRenamed("path", "rest"), "below")
+        new = leaves.join(last, "id", "left_semi").unionByName(links.select("id", F.concat("step", F.lit("/"), "rest").alias("path"), "v", "kind"))
+        folded, done = folded.unionByName(materialize(new)), done.unionByName(last)
+    circles = parts.join(done, "id", "left_anti").select("id", F.col("step").alias("path"), F.col("o").alias("v"), "kind")
+    return folded.unionByName(circles)
+
+
+def nested_statements(triples: DataFrame, found: DataFrame, dialect: str = "owl") -> DataFrame:
+    """id, predicate, object, n_sides of each structured node: its slots, and how many triples annotate them."""
+    parts = nested_parts(triples, found, triples.sparkSession.createDataFrame([], "head string"), dialect)
+    slot = F.when(F.col("pos") == 0, F.struct("p", "o"))
+    return parts.groupBy("id").agg(F.max(slot).alias("m"), (F.count("*") - 1).alias("n_sides")).select("id", F.col("m.p").alias("predicate"), F.col("m.o").alias("object"), "n_sides")
+
+
+def made_entities(triples: DataFrame, found: DataFrame, made: DataFrame, parts: DataFrame) -> DataFrame:
+    """id, id_kind, cls of nodes that only statements mention, ``made`` ones (s, p, o, o_lang) and nested ones.
+
+    Predicates without a property class are Annotations. Unknown subjects are Individuals (terms of the vocabularies
+    Resources), unknown objects of statements Resources and of nested ones Individuals, structured nodes Statements and lists
+    Containers; terms of the vocabularies that are only objects are left out.
+    """
+    own = triples.join(made, TRIPLE, "left_semi").select("s", "s_kind", "p", "o", "o_kind")
+    properties = found.where(F.col("cls").isin(below("Property"))).select("id")
+    predicates = own.select(F.col("p").alias("id")).unionByName(parts.select(F.col("p").alias("id"))).distinct().join(properties, "id", "left_anti")
+    predicates = predicates.select("id", F.lit("iri").alias("id_kind"), F.lit("Annotation").alias("cls"))
+    heads = match(triples, p="rdf:first").select(F.col("s").alias("id")).distinct()
+    nodes = parts.select("id").distinct()
+    containers = own.where("o_kind = 'bnode'").select(F.col("o").alias("id")).unionByName(parts.where("kind = 'container'").select(F.col("o").alias("id"))).distinct().join(heads, "id", "left_semi")
+    subjects = own.select(F.col("s").alias("id"), F.col("s_kind").alias("id_kind"), F.when(not_structural("s"), "Individual").otherwise("Resource").alias("cls"))
+    objects = own.where((F.col("o_kind") != "literal") & not_structural("o")).select(F.col("o").alias("id"), F.col("o_kind").alias("id_kind"), F.lit("Resource").alias("cls"))
+    inner = parts.where((F.col("kind") == "entity") & not_structural("o")).select(F.col("o").alias("id"), F.when(F.col("o").startswith("_:"), "bnode").otherwise("iri").alias("id_kind"), F.lit("Individual").alias("cls"))
+    ends = subjects.unionByName(objects).unionByName(inner).groupBy("id", "id_kind").agg(F.min("cls").alias("cls"))  # an Individual is a Resource
+    for known in (found.select("id"), heads, nodes, predicates.select("id")):
+        ends = ends.join(known, "id", "left_anti")
+    blank = lambda df, cls: df.select("id", F.lit("bnode").alias("id_kind"), F.lit(cls).alias("cls"))
+    return predicates.unionByName(ends).unionByName(blank(nodes, "Statement")).unionByName(blank(containers.join(found.select("id"), "id", "left_anti"), "Container"))
+
+
+#: Kinds of nodes that are about a triple, with the predicates that name its subject, predicate and object.
+REIFIED = {
+    "owl:Axiom": ("owl:annotatedSource", "owl:annotatedProperty", ["owl:annotatedTarget"]),
+    "owl:Annotation": ("owl:annotatedSource", "owl:annotatedProperty", ["owl:annotatedTarget"]),
+    "owl:NegativePropertyAssertion": ("owl:sourceIndividual", "owl:assertionProperty", ["owl:targetIndividual", "owl:targetValue"]),
+    "rdf:Statement": ("rdf:subject", "rdf:predicate", ["rdf:object"]),
+}
+
+
+def reified(triples: DataFrame) -> DataFrame:
+    """id, kind, s, p, o, o_lang, is_positive, is_asserted of nodes that are about a triple: one pass pivots their links.
+
+    Of several links of one sort the smallest counts; a node that lacks subject, predicate or object is about none.
+    is_asserted: the graph has the triple itself.
+    """
+    spark = triples.sparkSession
+    kinds = spark.createDataFrame([(iri(k), k) for k in REIFIED], "o string, kind string")
+    links = spark.createDataFrame([(k, iri(p), slot) for k, (s, p0, os) in REIFIED.items() for slot, ps in (("s", [s]), ("p", [p0]), ("o", os)) for p in ps], "kind string, p string, slot string")
+    nodes = match(triples, p="rdf:type").join(F.broadcast(kinds), "o").select(F.col("s").alias("id"), "kind").distinct()
+    filled = triples.withColumnRenamed("s", "id").join(F.broadcast(links), "p").join(nodes, ["id", "kind"])
+    pick = lambda slot: F.min(F.when(F.col("slot") == slot, F.struct("o", "o_lang"))).alias(slot)
+    about = filled.groupBy("id", "kind").agg(pick("s"), pick("p"), pick("o")).where("s is not null and p is not null and o is not null")
+    about = about.select("id", "kind", F.col("s.o").alias("s"), F.col("p.o").alias("p"), F.col("o.o").alias("o"), F.col("o.o_lang").alias("o_lang"), (F.col("kind") != "owl:NegativePropertyAssertion").alias("is_positive"))
+    there = triples.select("s", "p", "o", F.lit(True).alias("is_there")).distinct()
+    return about.join(there, ["s", "p", "o"], "left").select("id", "kind", "s", "p", "o", "o_lang", "is_positive", F.coalesce("is_there", F.lit(False)).alias("is_asserted"))
+
+
+def triple_annotations(triples: DataFrame, about: DataFrame | None = None) -> DataFrame:
+    """s, p, o, attr, v, v_lang, is_positive: what nodes say about their triples, hung on the triples themselves."""
+    about = reified(triples) if about is None else about
+    links = [iri(p) for s, p0, os in REIFIED.values() for p in (s, p0, *os)]
+    said = triples.where(~F.col("p").isin([*links, iri("rdf:type")])).select(F.col("s").alias("id"), F.col("p").alias("attr"), F.col("o").alias("v"), F.col("o_lang").alias("v_lang"))
+    return about.join(said, "id").select("s", "p", "o", "attr", "v", "v_lang", "is_positive").distinct()
 
 
 def list_objects(made: DataFrame, items: DataFrame) -> DataFrame:

@@ -79,10 +79,10 @@ class Ontology:
 
     @cached_property
     def entities(self) -> DataFrame:
-        """id, id_kind, cls of ``classified`` without what is taken back, with the nodes of truth functions and of lists that
-        statements have as objects."""
-        lists = statements.list_objects(self.statements, self.lists).select("id").distinct().join(self.classified.select("id"), "id", "left_anti")
-        found = self.classified.unionByName(lists.select("id", F.lit("bnode").alias("id_kind"), F.lit("Container").alias("cls")))
+        """id, id_kind, cls of ``classified`` without what is taken back, with the nodes of truth functions and all that only
+        statements mention."""
+        made = statements.made_entities(self.triples, self.classified, self.statements, self.nested_parts)
+        found = self.classified.unionByName(made).distinct()
         if self.dialect != "owl":
             return found
         truths = retract.truth_values(self.triples, self.lists, self.classified, self.retracted)
@@ -97,7 +97,21 @@ class Ontology:
 
     @cached_property
     def statements(self) -> DataFrame:
-        return statements.statements(self.triples, self.classified, self.dialect)
+        return materialize(statements.statements(self.triples, self.classified, self.dialect))
+
+    @cached_property
+    def nested_parts(self) -> DataFrame:
+        return materialize(statements.nested_parts(self.triples, self.classified, self.lists, self.dialect))
+
+    @cached_property
+    def nested_values(self) -> DataFrame:
+        """id, path, v, kind of structured nodes with all that hangs below them."""
+        return statements.nested_values(self.nested_parts)
+
+    @cached_property
+    def annotations(self) -> DataFrame:
+        """s, p, o, attr, v, v_lang, is_positive: what reified axioms and statements say about their triples."""
+        return statements.triple_annotations(self.triples)
 
     @cached_property
     def nested(self) -> DataFrame:
