@@ -423,10 +423,24 @@ tx0 AS (SELECT CAST(NULL AS VARCHAR) AS id, CAST(NULL AS VARCHAR) AS text WHERE
 tx{k} AS (SELECT id, string_agg(txt, '' ORDER BY n, txt) AS text FROM (SELECT pt.id, n, before || coalesce(text, {_SHORT.format('part')}) || after AS txt FROM pt LEFT JOIN tx{k - 1} x ON x.id = part) GROUP BY id)""" for k in range(1, _ROUNDS + 1)) + f" SELECT id, text FROM tx{_ROUNDS}")
 on_triples("v10_chains", lambda t: views.chain_texts(populate.list_values(t, closure.list_items(t), "owl:propertyChainAxiom")), ITEMS + f" SELECT s AS owner, string_agg({_SHORT.format('item')}, ' o ' ORDER BY idx) AS text FROM t JOIN items ON head = o WHERE p = {_q('owl:propertyChainAxiom')} GROUP BY s", ["owl:propertyChainAxiom", *LISTS])
 on_triples("v11_statement_groups", lambda t: statements.statements(t, classify.entities(t)).groupBy("s", X.clean_name(X.local_name(F.col("p"))).alias("label")).agg(F.array_join(F.array_sort(F.collect_set("o")), "|").alias("vals")), ENTITIES + _CONSUMED + f" SELECT s, {_CLEAN.format('p')} AS label, array_to_string(list_sort(list(DISTINCT o)), '|') AS vals FROM stmts GROUP BY 1, 2")
-on_triples("v12_hierarchy", lambda t: views.hierarchy(t, "rdfs:subClassOf", patterns.match(t, p="rdf:type", o="owl:Class").where("s_kind = 'iri'").select(F.col("s").alias("id"))), f""", n AS (SELECT DISTINCT s AS id FROM t WHERE p = {_q('rdf:type')} AND o = {_q('owl:Class')} AND s_kind = 'iri'),
-e AS (SELECT DISTINCT s AS child, o AS parent FROM t WHERE p = {_q('rdfs:subClassOf')} AND s <> o AND s IN (SELECT id FROM n) AND o IN (SELECT id FROM n)),
+def _classes(t: DataFrame) -> DataFrame:
+    return patterns.match(t, p="rdf:type", o="owl:Class").where("s_kind = 'iri'").select(F.col("s").alias("id"))
+
+
+_TREE_SQL = f""", n AS (SELECT DISTINCT s AS id FROM t WHERE p = {_q('rdf:type')} AND o = {_q('owl:Class')} AND s_kind = 'iri'),
+e AS (SELECT DISTINCT s AS child, o AS parent FROM t WHERE p = {_q('rdfs:subClassOf')} AND s <> o AND s IN (SELECT id FROM n) AND o IN (SELECT id FROM n))"""
+on_triples("v12_hierarchy", lambda t: views.hierarchy(t, "rdfs:subClassOf", _classes(t)), _TREE_SQL + f""",
 tree AS (SELECT id AS node, [id] AS way FROM n WHERE id NOT IN (SELECT child FROM e) UNION ALL SELECT child, list_append(way, child) FROM tree JOIN e ON parent = node WHERE NOT list_contains(way, child))
 SELECT node, array_to_string(list_transform(way, lambda x: {_SHORT.format('x')}), '/') AS path, CAST(len(way) - 1 AS BIGINT) AS depth FROM tree""", ["rdf:type", "rdfs:subClassOf"])
+on_triples("v12_forest", lambda t: views.forest(t, "rdfs:subClassOf", _classes(t)), _TREE_SQL + _labels_sql("en") + f""",
+steps AS (SELECT id AS node, 0 AS depth FROM n WHERE id NOT IN (SELECT child FROM e) UNION SELECT child, depth + 1 FROM steps JOIN e ON parent = node WHERE depth < 64),
+least_ AS MATERIALIZED (SELECT node, min(depth) AS depth FROM steps GROUP BY node),
+placed AS MATERIALIZED (SELECT c.node, c.depth, coalesce(best.label, {_CLEAN.format('c.node')}) AS label, (SELECT min(e.parent) FROM e JOIN least_ u ON u.node = e.parent WHERE e.child = c.node AND u.depth = c.depth - 1) AS parent FROM least_ c LEFT JOIN best ON best.id = c.node),
+tree AS (SELECT node, [{{'label': label, 'node': node}}] AS way FROM placed WHERE parent IS NULL UNION ALL SELECT c.node, list_append(way, {{'label': c.label, 'node': c.node}}) FROM tree JOIN placed c ON c.parent = tree.node),
+size AS (SELECT node, count(*) AS below FROM (SELECT unnest(list_transform(way, lambda x: x.node)) AS node FROM tree) GROUP BY node),
+num AS (SELECT placed.*, row_number() OVER (ORDER BY way) AS enter, row_number() OVER (ORDER BY way) + below - 1 AS leave FROM tree JOIN placed USING (node) JOIN size USING (node))
+SELECT node, parent, label, CAST(depth AS BIGINT) AS depth, enter, leave, true AS in_tree FROM num
+UNION ALL SELECT node, e.parent, label, CAST(depth AS BIGINT), enter, leave, false FROM num JOIN e ON e.child = node WHERE e.parent IS DISTINCT FROM num.parent AND e.parent IN (SELECT node FROM num)""", ["rdf:type", "rdfs:subClassOf", "skos:prefLabel", "rdfs:label"], shared=True)
 
 on_triples("v8_language_values", lambda t: views.in_language(populate.literals(t), "en").groupBy("attr", "lang").agg(F.count("*").alias("n")), f" SELECT CASE p WHEN {_q('rdfs:label')} THEN 'has_label' ELSE 'has_comment' END AS attr, o_lang AS lang, count(DISTINCT (s, o)) AS n FROM t WHERE o_kind = 'literal' AND p IN {_in('rdfs:label', 'rdfs:comment')} AND (o_lang = '' OR starts_with(lower(o_lang), 'en')) GROUP BY 1, 2", ["rdfs:label", "rdfs:comment"])
 on_triples("v19_literal_pick", lambda t: views.literal_pick(t.select(F.col("s").alias("id"), F.lit("has_preferred_label").alias("attr"), F.col("o").alias("v"), F.col("o_lang").alias("lang")), "de"), " SELECT s AS id, 'has_preferred_label' AS attr, arg_min(o, (lower(o_lang) <> 'de', o_lang, o)) AS v FROM t GROUP BY s", ["skos:prefLabel"])
@@ -446,10 +460,15 @@ register("v13_likely_ontology", lambda s, d: _pages(s, d).select("page_id", "url
 register("val1_size", lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", (F.octet_length("text") <= 4096).alias("fits")), "SELECT doc_id, strlen(text) <= 4096 AS fits FROM documents")
 register("val2_extension", lambda s, d: _pages(s, d).select("page_id", validate.extension_verdict(F.col("url")).alias("verdict")), f"SELECT page_id, CASE WHEN coalesce(url, '') = '' THEN 'missing' WHEN lower(regexp_extract(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/]*', ''), '[^/](\\.[^./]*)$', 1)) IN {tuple(validate.SUFFIXES)} THEN 'ok' ELSE 'extension' END AS verdict FROM pages")
 _ADDRESS = "CAST(c_custkey % 256 AS STRING) || '.' || CAST(c_nationkey * 11 % 256 AS STRING) || '.0.' || CAST(c_custkey % 7 AS STRING)"
-register("val3_address", lambda s, d: s.read.parquet(f"{d}/customer.parquet").select("c_custkey", F.expr(_ADDRESS).alias("ip")).withColumn("blocked", validate.private_v4(F.col("ip"))), f"WITH x AS (SELECT c_custkey, {_ADDRESS} AS ip, c_custkey % 256 AS a, c_nationkey * 11 % 256 AS b FROM customer) SELECT c_custkey, ip, a IN (0, 10, 127) OR a >= 224 OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 169 AND b = 254) AS blocked FROM x")
+_V4 = "(a IN (0, 10, 127) OR a >= 224 OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 169 AND b = 254) OR (a = 198 AND b IN (18, 19)) OR (a = 198 AND b = 51 AND c = 100) OR (a = 203 AND b = 0 AND c = 113) OR (a = 192 AND b = 0 AND (c = 2 OR (c = 0 AND d NOT IN (9, 10)))))"
+_OCTETS = "c_custkey % 256 AS a, c_nationkey * 11 % 256 AS b, 0 AS c, c_custkey % 7 AS d"
+register("val3_address", lambda s, d: s.read.parquet(f"{d}/customer.parquet").select("c_custkey", F.expr(_ADDRESS).alias("ip")).withColumn("blocked", validate.special_address(F.col("ip"))), f"WITH x AS (SELECT c_custkey, {_ADDRESS} AS ip, {_OCTETS} FROM customer) SELECT c_custkey, ip, {_V4} AS blocked FROM x")
+_ADDRESS_V6 = f"CASE c_custkey % 4 WHEN 0 THEN '2001:' || lower(hex(c_custkey % 4000)) || '::' || lower(hex(c_nationkey + 1)) WHEN 1 THEN lower(hex(c_custkey * 97 % 65536)) || ':1:2:3:4:5:6:' || lower(hex(CAST(c_nationkey AS BIGINT))) WHEN 2 THEN '::FFFF:' || {_ADDRESS} ELSE lower(hex(64512 + c_custkey * 37 % 1024)) || '::1' END"
+register("val3_address_v6", lambda s, d: s.read.parquet(f"{d}/customer.parquet").select("c_custkey", F.expr(_ADDRESS_V6).alias("ip")).withColumn("blocked", validate.special_address(F.col("ip"))), f"""WITH x AS (SELECT c_custkey, {_ADDRESS_V6} AS ip, c_custkey % 4 AS kind, {_OCTETS}, c_nationkey + 1 AS host, c_custkey % 4000 AS g, CASE c_custkey % 4 WHEN 1 THEN c_custkey * 97 % 65536 ELSE 64512 + c_custkey * 37 % 1024 END AS f FROM customer)
+SELECT c_custkey, ip, CASE kind WHEN 0 THEN g = 3512 OR (g < 512 AND g <> 3 AND g NOT BETWEEN 32 AND 63 AND NOT (g = 1 AND host IN (1, 2))) WHEN 2 THEN {_V4} ELSE f < 8192 OR f IN (8193, 8194) OR (f >= 16384 AND f NOT BETWEEN 65216 AND 65279) END AS blocked FROM x""")
 register("val4_url", lambda s, d: _pages(s, d).select("page_id", validate.url_verdict(F.col("url")).alias("verdict")), r"""WITH x AS (SELECT page_id, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS scheme, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host FROM pages),
-y AS (SELECT *, regexp_full_match(host, '\d{1,3}(\.\d{1,3}){3}') AS dotted, TRY_CAST(split_part(host, '.', 1) AS INT) AS a, TRY_CAST(split_part(host, '.', 2) AS INT) AS b FROM x)
-SELECT page_id, CASE WHEN scheme NOT IN ('http', 'https') THEN 'scheme' WHEN host = '' THEN 'host' WHEN dotted AND (a IN (0, 10, 127) OR a >= 224 OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 169 AND b = 254)) THEN 'address' ELSE 'ok' END AS verdict FROM y""")
+y AS (SELECT *, regexp_full_match(host, '(0|[1-9]\d{0,2})(\.(0|[1-9]\d{0,2})){3}') AS dotted, TRY_CAST(split_part(host, '.', 1) AS INT) AS a, TRY_CAST(split_part(host, '.', 2) AS INT) AS b, TRY_CAST(split_part(host, '.', 3) AS INT) AS c, TRY_CAST(split_part(host, '.', 4) AS INT) AS d FROM x)
+SELECT page_id, CASE WHEN scheme NOT IN ('http', 'https') THEN 'scheme' WHEN host = '' THEN 'host' WHEN dotted AND greatest(a, b, c, d) < 256 AND """ + _V4 + " THEN 'address' ELSE 'ok' END AS verdict FROM y")
 register("val5_text", lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", validate.text_verdict(F.col("text").cast("binary")).alias("verdict")), r"SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN 'empty' WHEN regexp_matches(text, '^(%PDF|BZh|GIF87a|GIF89a|MZ|%!PS)') THEN 'binary' WHEN 20 * (length(substr(text, 1, 8192)) - length(regexp_replace(substr(text, 1, 8192), '[\x00-\x08\x0E-\x1F]', '', 'g'))) > length(substr(text, 1, 8192)) THEN 'control' ELSE 'ok' END AS verdict FROM documents")
 register("val6_xml", lambda s, d: _pages(s, d).select("page_id", validate.xml_verdict(F.col("html")).alias("verdict")), r"""WITH x AS (SELECT page_id, html, strpos(lower(html), '<!doctype') AS pos FROM pages),
 y AS (SELECT *, substr(html, pos) AS rest FROM x),
@@ -465,7 +484,16 @@ on_triples("src9_import_components", imports.import_components, _COMPONENTS_SQL
 on_triples("src9_component_links", imports.component_links, _COMPONENTS_SQL + " SELECT x.component, y.component AS imported, count(*) AS n FROM steps JOIN part x ON x.model = a JOIN part y ON y.model = b WHERE x.component <> y.component GROUP BY 1, 2", ["owl:imports"], shared=True)
 on_triples("src8_direct_imports", imports.direct_imports, f" SELECT s AS model, o AS imported FROM t WHERE p = {_q('owl:imports')} GROUP BY ALL".replace("GROUP BY ALL", "GROUP BY s, o"), ["owl:imports"])
 register("src12_token", lambda s, d: _pages(s, d).select("page_id", X.url_token(F.col("url"), "owl", False, True).alias("token")), "SELECT page_id, 'url_' || substr(sha256(url || '|owl|False|True'), 1, 32) AS token FROM pages")
-register("src14_spool_eviction", lambda s, d: spool.kept(s.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("spool"), F.col("event_id").alias("name"), F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").alias("mtime"), (F.col("user_id") + 1).alias("size")), now=1735689600, ttl=10**9, budget=20_000, by="spool").select("spool", "name"), "WITH f AS (SELECT event_type AS spool, event_id AS name, user_id + 1 AS size, CAST(floor(epoch(ts)) AS BIGINT) AS mtime FROM events), r AS (SELECT spool, name, sum(size) OVER (PARTITION BY spool ORDER BY mtime DESC, name DESC ROWS UNBOUNDED PRECEDING) AS total FROM f WHERE mtime >= 1735689600 - 1000000000) SELECT spool, name FROM r WHERE total <= 20000")
+def _spooled(s: SparkSession, d: str) -> DataFrame:
+    return s.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("spool"), F.col("event_id").alias("name"), F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").alias("mtime"), (F.col("user_id") + 1).alias("size"))
+
+
+def _spool_sql(by: str) -> str:
+    return f"WITH f AS (SELECT event_type AS spool, event_id AS name, user_id + 1 AS size, CAST(floor(epoch(ts)) AS BIGINT) AS mtime FROM events), r AS (SELECT spool, name, sum(size) OVER ({by}ORDER BY mtime DESC, name DESC ROWS UNBOUNDED PRECEDING) AS total FROM f WHERE mtime >= 1735689600 - 1000000000) SELECT spool, name FROM r WHERE total <= "
+
+
+register("src14_spool_eviction", lambda s, d: spool.kept(_spooled(s, d), now=1735689600, ttl=10**9, budget=20_000, by="spool").select("spool", "name"), _spool_sql("PARTITION BY spool ") + "20000")
+register("src14_one_spool", lambda s, d: spool.kept(_spooled(s, d), now=1735689600, ttl=10**9, budget=100_000).select("spool", "name"), _spool_sql("") + "100000")
 register("k2_slug", lambda s, d: _pages(s, d).select("page_id", X.slug(F.col("url")).alias("slug")), "SELECT page_id, replace(replace(regexp_replace(url, '^https?://', ''), '/', '_'), '#', '_') AS slug FROM pages")
 register("k5_nav_qs", lambda s, d: _pages(s, d).select("page_id", X.query_string(read_as=F.lit("owl"), url=F.col("url"), lang=F.lit(None).cast("string")).alias("qs")), "SELECT page_id, 'read_as=owl&url=' || replace(url_encode(url), '%20', '+') AS qs FROM pages")
 

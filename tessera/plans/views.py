@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import anchor, clean_name, local_name
-from ..operators.closure import materialize
+from ..operators.closure import closure, materialize
+from ..operators.ordering import numbered, spanning_forest
 from ..operators.patterns import match, with_predicates
 from ..operators.populate import cardinalities, facets, has_values, list_values, on_property, quantifiers, truth_functions
 from ..vocab import iri
@@ -135,19 +136,49 @@ def chain_texts(chains: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ hierarchies
 
 
-def hierarchy(triples: DataFrame, p: str, nodes: DataFrame) -> DataFrame:
-    """node, path, depth of the forest under ``p`` among ``nodes`` (id): a row for each way from a root.
+def _inner_links(triples: DataFrame, p: str, nodes: DataFrame) -> DataFrame:
+    """child, parent under ``p`` among ``nodes`` (id), without self loops."""
+    edges = match(triples, p=p).where("s <> o").select(F.col("s").alias("child"), F.col("o").alias("parent")).distinct()
+    return materialize(edges.join(nodes.select(F.col("id").alias("child")), "child", "left_semi").join(nodes.select(F.col("id").alias("parent")), "parent", "left_semi"))
+
+
+def forest(triples: DataFrame, p: str, nodes: DataFrame, language: str = "en") -> DataFrame:
+    """node, parent, label, depth, enter, leave, in_tree of the forest under ``p`` among ``nodes`` (id): a row for each
+    node that a root reaches, and one for each further parent that it has.
+
+    A node stands in the tree under its smallest parent of least depth (``in_tree``); its children follow by label. Pre-order
+    numbers tell what lies below what: see ``ordering.numbered``. Rows are nodes and links, however many ways there
+    are; ``hierarchy`` gives the ways themselves.
+    """
+    nodes = materialize(nodes.select("id").distinct())
+    links = _inner_links(triples, p, nodes)
+    tree = spanning_forest(nodes, links)
+    named = materialize(numbered(materialize(tree.join(best_labels(triples, nodes, language).withColumnRenamed("id", "node"), "node"))))
+    numbers = named.select("node", F.col("parent").alias("above"), "label", "depth", "enter", "leave")
+    further = links.withColumnRenamed("child", "node").join(numbers, "node").where("not parent <=> above").join(named.select(F.col("node").alias("parent")), "parent", "left_semi")
+    columns = ["node", "parent", "label", "depth", "enter", "leave"]
+    return named.select(*columns, F.lit(True).alias("in_tree")).unionByName(further.select(*columns, F.lit(False).alias("in_tree")))
+
+
+def hierarchy(triples: DataFrame, p: str, nodes: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """node, path, depth of the forest under ``p`` among ``nodes`` (id): a row for each way from a root, or only for the
+    ways to the nodes ``of`` (id), which are sought among their ancestors alone.
 
     Parents outside the nodes and self loops don't count; a way never visits a node twice.
     """
-    edges = match(triples, p=p).where("s <> o").select(F.col("s").alias("child"), F.col("o").alias("parent")).distinct()
-    inner = edges.join(nodes.select(F.col("id").alias("child")), "child", "left_semi").join(nodes.select(F.col("id").alias("parent")), "parent", "left_semi")
-    inner = materialize(inner)
+    inner = _inner_links(triples, p, nodes)
+    if of is not None:
+        wanted = of.select("id").distinct()
+        up = closure(inner, "child", "parent", roots=wanted.withColumnRenamed("id", "a")).select(F.col("b").alias("id"))
+        nodes = materialize(nodes.select("id").join(wanted.unionByName(up).distinct(), "id", "left_semi"))
+        inner = materialize(inner.join(nodes.select(F.col("id").alias("child")), "child", "left_semi"))
     level = materialize(nodes.select("id").distinct().join(inner.select(F.col("child").alias("id")), "id", "left_anti").select(F.col("id").alias("node"), F.array("id").alias("way")))
     levels = level
     while not level.isEmpty():
         level = materialize(level.join(inner, level["node"] == inner["parent"]).where(~F.array_contains("way", F.col("child"))).select(F.col("child").alias("node"), F.concat("way", F.array("child")).alias("way")))
         levels = levels.unionByName(level)
+    if of is not None:
+        levels = levels.join(of.select(F.col("id").alias("node")).distinct(), "node", "left_semi")
     return levels.select("node", F.array_join(F.transform("way", _short), "/").alias("path"), (F.size("way") - 1).alias("depth"))
 
 

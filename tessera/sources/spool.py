@@ -6,9 +6,10 @@ import re
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ordering import running_sums
 from .validate import ArtefactValidationError
 
 # Lifetime in seconds and budget in bytes.
@@ -41,8 +42,9 @@ def listing(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
 def kept(files: DataFrame, now: int, ttl: int = TTL, budget: int = BUDGET, by: str | None = None) -> DataFrame:
     """Files (name, size, mtime) that stay: young enough, and newest first within the budget.
 
-    Dropping the oldest until the rest fits keeps those whose running sum from the newest is in budget. A
-    spool's files are one window; ``by`` names the column that tells spools apart.
+    Dropping the oldest until the rest fits keeps those whose running sum from the newest is in budget. The sum goes over
+    ranges of time, so one spool may hold any number of files; ``by`` names the column that tells spools apart. A file
+    without a time is too old, one without a size takes no room.
     """
-    order = Window.partitionBy(*([by] if by else [])).orderBy(F.desc("mtime"), F.desc("name")).rowsBetween(Window.unboundedPreceding, 0)
-    return files.where(F.col("mtime") >= now - ttl).withColumn("total", F.sum("size").over(order)).where(F.col("total") <= budget).drop("total")
+    young = files.where(F.col("mtime") >= now - ttl)
+    return running_sums(young, "size", [F.desc("mtime"), F.desc("name")], [by] if by else None).where(F.col("total") <= budget).drop("total")
