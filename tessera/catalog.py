@@ -12,7 +12,7 @@ from . import rules as R
 from .functions import text as X
 from .lift import lift, lift_sql
 from .operators import axioms, classify, closure, patterns, populate, quality, retract, statements
-from .plans import values, views
+from .plans import cards, values, views
 from .sinks import serialize
 from .sources import imports, spool, validate
 from .vocab import BUILTIN_DATATYPES, FACETS, PREFIXES, STRUCTURAL_PREDICATES, iri
@@ -406,7 +406,7 @@ on_triples("v5_sections", lambda t: views.section_counts(classify.entities(t)),
 on_triples("v6_entities", lambda t: views.entity_cards(t, classify.entities(t)), ENTITIES + _labels_sql("en") + f" SELECT 'id_' || md5(id) || '_' || cls AS anchor_id, cls, id AS uri, coalesce(label, {_CLEAN.format('id')}) AS label, id IN (SELECT s FROM t WHERE p = {_q('owl:deprecated')} OR (p = {_q('rdf:type')} AND o = {_q('owl:DeprecatedClass')})) AS is_deprecated FROM ent LEFT JOIN best USING (id) WHERE cls <> 'Literal'")
 on_triples("v7_metadata", views.ontology_metadata, f" SELECT DISTINCT {_CLEAN.format('p')} AS attr, o AS v FROM t WHERE p <> {_q('rdf:type')} AND s = (SELECT min(s) FROM t WHERE p = {_q('rdf:type')} AND o IN {_in('owl:Ontology', 'skos:ConceptScheme')})")
 _SHORT = "CASE WHEN {0} LIKE '%/%' OR {0} LIKE '%#%' THEN regexp_extract({0}, '([^/#]*)$', 1) ELSE {0} END"
-on_triples("v9_restriction_text", lambda t: views.restriction_texts(t, closure.list_items(t)), ITEMS + _CARD_SQL + _TRUTH_SQL + f""", pn AS (SELECT restriction AS id, min((property, is_inverse)) AS m FROM onp GROUP BY restriction),
+_TEXTS_SQL = ITEMS + _CARD_SQL + _TRUTH_SQL + f""", pn AS (SELECT restriction AS id, min((property, is_inverse)) AS m FROM onp GROUP BY restriction),
 nm AS (SELECT id, CASE WHEN m[2] THEN 'inverse of ' ELSE '' END || {_SHORT.format('m[1]')} AS name FROM pn),
 qt AS ({_QUANT_SQL}),
 lst AS (SELECT s AS id, p, idx, item, max(idx) OVER (PARTITION BY s) AS last FROM t JOIN items ON head = o WHERE p IN {_in('owl:intersectionOf', 'owl:unionOf', 'owl:oneOf')}),
@@ -420,7 +420,8 @@ pt AS MATERIALIZED (SELECT * FROM (
   UNION ALL SELECT id, idx, CASE WHEN idx = 1 THEN {_SHORT.format('datatype')} || ' restricted by ' ELSE ', ' END || comparator || ' ', v, '' FROM fc)
   WHERE starts_with(id, '_:')),
 tx0 AS (SELECT CAST(NULL AS VARCHAR) AS id, CAST(NULL AS VARCHAR) AS text WHERE false)""".replace("{{", "{").replace("}}", "}") + "".join(f""",
-tx{k} AS (SELECT id, string_agg(txt, '' ORDER BY n, txt) AS text FROM (SELECT pt.id, n, before || coalesce(text, {_SHORT.format('part')}) || after AS txt FROM pt LEFT JOIN tx{k - 1} x ON x.id = part) GROUP BY id)""" for k in range(1, _ROUNDS + 1)) + f" SELECT id, text FROM tx{_ROUNDS}")
+tx{k} AS (SELECT id, string_agg(txt, '' ORDER BY n, txt) AS text FROM (SELECT pt.id, n, before || coalesce(text, {_SHORT.format('part')}) || after AS txt FROM pt LEFT JOIN tx{k - 1} x ON x.id = part) GROUP BY id)""" for k in range(1, _ROUNDS + 1)) + f" SELECT id, text FROM tx{_ROUNDS}"
+on_triples("v9_restriction_text", lambda t: views.restriction_texts(t, closure.list_items(t)), _TEXTS_SQL)
 on_triples("v10_chains", lambda t: views.chain_texts(populate.list_values(t, closure.list_items(t), "owl:propertyChainAxiom")), ITEMS + f" SELECT s AS owner, string_agg({_SHORT.format('item')}, ' o ' ORDER BY idx) AS text FROM t JOIN items ON head = o WHERE p = {_q('owl:propertyChainAxiom')} GROUP BY s", ["owl:propertyChainAxiom", *LISTS])
 on_triples("v11_statement_groups", lambda t: statements.statements(t, classify.entities(t)).groupBy("s", X.clean_name(X.local_name(F.col("p"))).alias("label")).agg(F.array_join(F.array_sort(F.collect_set("o")), "|").alias("vals")), ENTITIES + _CONSUMED + f" SELECT s, {_CLEAN.format('p')} AS label, array_to_string(list_sort(list(DISTINCT o)), '|') AS vals FROM stmts GROUP BY 1, 2")
 def _classes(t: DataFrame) -> DataFrame:
@@ -511,9 +512,7 @@ def _of_scope(sql: str) -> str:
     return re.sub(r"\b(FROM|JOIN) t (?=[a-z] )", r"\1 sc ", sql)
 
 
-on_triples(
-    "e1_values",
-    _with_entities(values.stated),
+_VALUES_SQL = (
     _GONE_SQL + _TRUTH_VALUES_SQL + _CONSUMED + """,
 sc AS MATERIALIZED (SELECT * FROM t WHERE p = 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type' OR s IN (SELECT s FROM structured) OR (s, p, o, o_lang) IN (SELECT (s, p, o, o_lang) FROM used))""" + _of_scope(_CARD_SQL + f""", {_LITERAL_ATTRS}, {_SETTERS}, {_SYMMETRIC}, {_LISTED}, {_GROUPS},
 sym AS (SELECT s AS a, o AS b, attr FROM t JOIN sy USING (p) WHERE o_kind <> 'literal' AND s <> o),
@@ -541,6 +540,43 @@ everything AS (
   UNION ALL SELECT a, attr, 0, b, '' FROM two UNION ALL SELECT b, attr, 0, a, '' FROM two
   UNION ALL SELECT rule, CASE p WHEN {_q('swrl:body')} THEN 'has_antecedent' ELSE 'has_consequent' END, idx, item, '' FROM atoms
   UNION ALL SELECT item, 'has_predicate', 0, (SELECT min(o) FROM t WHERE s = item AND p IN {_in('swrl:classPredicate', 'swrl:propertyPredicate', 'swrl:builtin', 'swrl:dataRange')}), '' FROM atoms
-  UNION ALL SELECT s, 'has_arguments', CASE p WHEN {_q('swrl:argument1')} THEN 1 ELSE 2 END, o, '' FROM t WHERE p IN {_in('swrl:argument1', 'swrl:argument2')})
-SELECT DISTINCT id, attr, CAST(ord AS BIGINT) AS ord, v, lang FROM everything WHERE v IS NOT NULL AND id NOT IN (SELECT id FROM gone) AND v NOT IN (SELECT id FROM gone)"""),
+  UNION ALL SELECT s, 'has_arguments', CASE p WHEN {_q('swrl:argument1')} THEN 1 ELSE 2 END, o, '' FROM t WHERE p IN {_in('swrl:argument1', 'swrl:argument2')})""")
 )
+_ALL_VALUES = """SELECT DISTINCT id, attr, CAST(ord AS BIGINT) AS ord, v, lang FROM everything WHERE v IS NOT NULL AND id NOT IN (SELECT id FROM gone) AND v NOT IN (SELECT id FROM gone)"""
+on_triples("e1_values", _with_entities(values.stated), _VALUES_SQL + _ALL_VALUES)
+
+
+# ------------------------------------------------------------------ cards
+
+
+def _relations(t: DataFrame, items: DataFrame, found: DataFrame) -> DataFrame:
+    nested = statements.nested_values(statements.nested_parts(t, found, items))
+    nodes = closure.materialize(cards.known_nodes(t, found, views.restriction_texts(t, items), nested))
+    return cards.relations(closure.materialize(values.stated(t, items, found)), nodes)
+
+
+_NAME_SQL = _CLEAN.format("attr")
+_FIRST = "CASE name " + " ".join(f"WHEN '{x}' THEN {k}" for k, x in enumerate(cards.FIRST_NAMES)) + f" ELSE {len(cards.FIRST_NAMES)} END"
+_strings = lambda names: "(" + ", ".join(f"'{x}'" for x in names) + ")"
+on_triples("v6_relations", _with_entities(_relations), _VALUES_SQL + f""", ev AS MATERIALIZED ({_ALL_VALUES}),
+txt AS MATERIALIZED (WITH RECURSIVE {_TEXTS_SQL.lstrip(", ")}),
+deep AS MATERIALIZED (WITH RECURSIVE {_NESTED_SQL.lstrip().lstrip(",")}, w AS (SELECT id, o, kind, 1 AS depth FROM parts WHERE pos = 0 UNION ALL SELECT w.id, x.o, x.kind, depth + 1 FROM w JOIN parts x ON x.id = w.o WHERE w.kind = 'statement' AND x.pos = 0 AND depth < 20) SELECT id, min(o) AS text FROM w WHERE kind <> 'statement' GROUP BY id)""" + _labels_sql("en") + f""",
+first AS (SELECT id, min(cls) AS kind FROM ent GROUP BY id),
+old AS (SELECT DISTINCT s AS id FROM t WHERE p = {_q('owl:deprecated')} OR (p = {_q('rdf:type')} AND o = {_q('owl:DeprecatedClass')})),
+shown AS (SELECT id, attr, {_NAME_SQL} AS name, ord, v, lang, attr IN {_strings(cards.literal_attributes())} AS is_literal FROM ev WHERE attr NOT IN {_strings(cards.hidden_attributes())} AND (lang = '' OR starts_with(lower(lang), 'en'))),
+rows AS (SELECT x.id, name, ord, lang,
+  CASE WHEN is_literal THEN v WHEN kind IN {_strings(cards.RESTRICTIONS)} THEN txt.text WHEN kind IS NOT NULL THEN coalesce(label, {_CLEAN.format('v')}) WHEN deep.text IS NOT NULL THEN deep.text WHEN NOT starts_with(v, '_:') THEN v END AS text,
+  CASE WHEN NOT is_literal AND kind NOT IN {_strings(cards.RESTRICTIONS)} THEN v END AS link,
+  CASE WHEN is_literal THEN 'Literal' WHEN kind IS NOT NULL THEN kind WHEN deep.text IS NOT NULL THEN 'Statement' END AS kind,
+  NOT is_literal AND kind IS NOT NULL AND old.id IS NOT NULL AS is_deprecated
+  FROM shown x LEFT JOIN first ON first.id = v LEFT JOIN txt ON txt.id = v LEFT JOIN best ON best.id = v LEFT JOIN deep ON deep.id = v LEFT JOIN old ON old.id = v)
+SELECT DISTINCT id, CAST({_FIRST} AS BIGINT) AS rank, name, ord, text, link, lang, kind, is_deprecated FROM rows WHERE text <> ''""")
+on_triples("tp10_instance_json", _with_entities(lambda t, items, found: cards.instance_json(t, found, closure.materialize(values.stated(t, items, found)))), _VALUES_SQL + f""", ev AS MATERIALIZED ({_ALL_VALUES}),
+kinds AS (SELECT id, list(DISTINCT cls ORDER BY cls) AS type FROM ent WHERE cls <> 'Literal' GROUP BY id),
+entries AS (SELECT id, false AS is_triple, attr AS a, ord, v AS b, lang FROM ev UNION SELECT s, true, p, 0, o, o_lang FROM t),
+placed AS (SELECT *, (row_number() OVER (PARTITION BY id ORDER BY is_triple, a, ord, b, lang) - 1) // {cards.PIECE} AS piece FROM entries WHERE id IN (SELECT id FROM kinds)),
+listed AS (SELECT id, piece, is_triple, a, list(b ORDER BY ord, b, lang) AS vs FROM placed GROUP BY ALL),
+props AS (SELECT id, piece, map_from_entries(list((a, vs) ORDER BY a)) AS m FROM listed WHERE NOT is_triple GROUP BY ALL),
+own AS (SELECT id, piece, list({{'subject': id, 'predicate': a, 'object': b}} ORDER BY a, b, lang) AS l FROM placed WHERE is_triple GROUP BY ALL),
+keys AS (SELECT DISTINCT id, piece FROM placed)
+SELECT id, coalesce(piece, 0) AS piece, CAST(to_json({{'uri': id, 'type': type, 'properties': coalesce(m, MAP {{}}), 'rdf_triples': coalesce(l, [])}}) AS VARCHAR) AS json FROM kinds LEFT JOIN keys USING (id) LEFT JOIN props USING (id, piece) LEFT JOIN own USING (id, piece)""")

@@ -16,7 +16,7 @@ from ..sinks.serialize import serialized
 from ..sources import imports as modules
 from ..sources import parse
 from ..sources.validate import ArtefactLoadError
-from . import values, views
+from . import cards, values, views
 
 
 class Ontology:
@@ -137,11 +137,20 @@ class Ontology:
     def view(self, language: str | None = "en") -> DataFrame:
         return views.grouped_view(self.cards(language or "en"), self.dialect)
 
+    def relations(self, language: str | None = "en") -> DataFrame:
+        """id, rank, name, ord, text, link, lang, kind, is_deprecated: what cards show, see ``cards.relations``."""
+        texts = views.restriction_texts(self.triples, self.lists)
+        nodes = cards.known_nodes(self.triples, self.entities, texts, self.nested_values, language or "en")
+        return cards.relations(self.values, nodes, language, self.dialect)
+
+    def to_json(self, uri: str | None = None) -> DataFrame:
+        """id, piece, json of one entity, or of all."""
+        only = lambda df, c: df if uri is None else df.where(F.col(c) == uri)
+        return cards.instance_json(only(self.triples, "s"), only(self.entities, "id"), only(self.values, "id"))
+
     def page_values(self, language: str | None = None) -> DataFrame:
-        """uri, name, text of what a page shows: values in the language, restriction texts, statements."""
-        texts = views.restriction_texts(self.triples, self.lists).select(F.col("id").alias("v"), F.col("text"))
-        shown = views.in_language(self.values, language).join(texts, "v", "left")
-        rows = shown.select(F.col("id").alias("uri"), clean_name(F.col("attr")).alias("name"), F.coalesce("text", "v").alias("text"))
+        """uri, name, text of what a page shows: resolved values in the language, and statements."""
+        rows = self.relations(language).select(F.col("id").alias("uri"), "name", "text")
         return rows.unionByName(self.statements.select(F.col("s").alias("uri"), clean_name(local_name(F.col("p"))).alias("name"), F.col("o").alias("text")))
 
     def export(self, uri: str | None = None, fmt: str = "ttl") -> DataFrame:

@@ -53,11 +53,16 @@ def section_counts(found: DataFrame, dialect: str = "owl") -> DataFrame:
     return found.where(F.col("cls").isin(SECTIONS[dialect])).groupBy(F.col("cls").alias("section")).agg(F.count("*").alias("n"))
 
 
+def deprecated(triples: DataFrame) -> DataFrame:
+    """id, is_deprecated of what is marked so, by a value or by its type."""
+    marked = match(triples, p="owl:deprecated").select(F.col("s").alias("id")).unionByName(match(triples, p="rdf:type", o="owl:DeprecatedClass").select(F.col("s").alias("id")))
+    return marked.distinct().withColumn("is_deprecated", F.lit(True))
+
+
 def entity_cards(triples: DataFrame, found: DataFrame, language: str = "en") -> DataFrame:
     """anchor_id, cls, uri, label, is_deprecated of everything that is no literal."""
-    deprecated = match(triples, p="owl:deprecated").select(F.col("s").alias("id")).unionByName(match(triples, p="rdf:type", o="owl:DeprecatedClass").select(F.col("s").alias("id"))).distinct().withColumn("is_deprecated", F.lit(True))
     labels = best_labels(triples, found, language)
-    return found.where("cls <> 'Literal'").join(labels, "id").join(deprecated, "id", "left").select(anchor(F.col("id"), F.col("cls")).alias("anchor_id"), "cls", F.col("id").alias("uri"), "label", F.coalesce("is_deprecated", F.lit(False)).alias("is_deprecated"))
+    return found.where("cls <> 'Literal'").join(labels, "id").join(deprecated(triples), "id", "left").select(anchor(F.col("id"), F.col("cls")).alias("anchor_id"), "cls", F.col("id").alias("uri"), "label", F.coalesce("is_deprecated", F.lit(False)).alias("is_deprecated"))
 
 
 def grouped_view(cards: DataFrame, dialect: str = "owl") -> DataFrame:
