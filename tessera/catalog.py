@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from . import rules as R
 from .functions import text as X
-from .lift import lift, lift_sql
+from .lift import THESAURUS, lift, lift_sql
 from .operators import axioms, classify, closure, patterns, populate, quality, retract, statements
-from .plans import cards, values, views
+from .plans import cards, skos, values, views
+from .plans.engine import Ontology
 from .sinks import serialize
 from .sources import imports, spool, validate
 from .vocab import BUILTIN_DATATYPES, FACETS, PREFIXES, STRUCTURAL_PREDICATES, iri
@@ -580,3 +581,51 @@ props AS (SELECT id, piece, map_from_entries(list((a, vs) ORDER BY a)) AS m FROM
 own AS (SELECT id, piece, list({{'subject': id, 'predicate': a, 'object': b}} ORDER BY a, b, lang) AS l FROM placed WHERE is_triple GROUP BY ALL),
 keys AS (SELECT DISTINCT id, piece FROM placed)
 SELECT id, coalesce(piece, 0) AS piece, CAST(to_json({{'uri': id, 'type': type, 'properties': coalesce(m, MAP {{}}), 'rdf_triples': coalesce(l, [])}}) AS VARCHAR) AS json FROM kinds LEFT JOIN keys USING (id) LEFT JOIN props USING (id, piece) LEFT JOIN own USING (id, piece)""")
+
+
+# ------------------------------------------------------------------ thesauri
+
+# Titles are matched by predicate here, as each fills in one attribute: narrower turned round, related both ways.
+_MAPPED = {"skos:broadMatch": "has broad match", "skos:narrowMatch": "has narrow match", "skos:exactMatch": "has exact match", "skos:closeMatch": "has close match", "skos:relatedMatch": "has related match"}
+_BETWEEN = _in("skos:broader", "skos:narrower", "skos:related", *_MAPPED)
+_CONCEPTS = f""",
+con AS (
+  SELECT s AS id FROM t WHERE p = {_q('rdf:type')} AND o = {_q('skos:Concept')}
+  UNION SELECT s FROM t WHERE p IN {_BETWEEN} UNION SELECT o FROM t WHERE p IN {_BETWEEN} UNION SELECT o FROM t WHERE p IN {_in('skos:hasTopConcept', 'rdf:type')}),
+col AS (SELECT s AS id FROM t WHERE p = {_q('skos:member')} OR (p = {_q('rdf:type')} AND o IN {_in('skos:Collection', 'skos:OrderedCollection')})),
+card AS (SELECT id, 'Concept' AS section FROM con UNION SELECT id, 'Collection' FROM col),
+labelled AS MATERIALIZED (SELECT id, coalesce(label, {_CLEAN.format('id')}) AS label FROM (SELECT s AS id FROM t UNION SELECT o FROM t WHERE o_kind = 'iri') LEFT JOIN best USING (id))"""
+
+
+def on_thesaurus(name: str, run: Callable[[Ontology], DataFrame], sql: str) -> None:
+    register(name, lambda spark, d: run(Ontology(lift(spark, d, specification=THESAURUS), "skos")), f"WITH t AS MATERIALIZED (SELECT DISTINCT * FROM ({lift_sql(specification=THESAURUS)})){_labels_sql('en')}{_CONCEPTS}{sql}")
+
+
+on_thesaurus("v18_concept_cards", lambda own: own.concept_cards("en"), f""",
+def AS (SELECT s AS id, arg_min(o, (lower(o_lang) <> 'en', o_lang, o)) AS definition FROM t WHERE p = {_q('skos:definition')} GROUP BY s)
+SELECT section, id AS uri, 'id_' || md5(id) AS anchor_id, label, definition FROM card JOIN labelled USING (id) LEFT JOIN def USING (id)""")
+on_thesaurus("v20_semantic_sections", lambda own: own.semantic_sections("en"), f""",
+links AS (
+  SELECT s AS uri, 'has members' AS title, o AS target FROM t WHERE p = {_q('skos:member')}
+  UNION SELECT s, 'has super-concepts', o FROM t WHERE p = {_q('skos:broader')} UNION SELECT o, 'has super-concepts', s FROM t WHERE p = {_q('skos:narrower')}
+  UNION SELECT s, 'is related to', o FROM t WHERE p = {_q('skos:related')} UNION SELECT o, 'is related to', s FROM t WHERE p = {_q('skos:related')}
+  UNION SELECT s, CASE {' '.join(f"WHEN p = {_q(p)} THEN '{t}'" for p, t in _MAPPED.items())} END, o FROM t WHERE p IN {_in(*_MAPPED)})
+SELECT uri, CAST(list_position(['has members', 'is equivalent to', 'has super-concepts', 'is disjoint with', 'is related to', 'has broad match', 'has narrow match', 'has exact match', 'has close match', 'has related match'], title) - 1 AS BIGINT) AS rank,
+  title, target, label, 'id_' || md5(target) AS anchor_id, false AS is_external FROM links JOIN labelled ON labelled.id = target WHERE uri IN (SELECT id FROM card)""")
+on_thesaurus("v18_other_relations", lambda own: own.other_relations("en"), f""" SELECT DISTINCT s AS uri, CASE p WHEN {_q('skos:altLabel')} THEN 'Alternative Label' WHEN {_q('skos:notation')} THEN 'Notation' ELSE 'Included In' END AS name, o AS v, o_lang AS lang
+FROM t WHERE p IN {_in('skos:altLabel', 'skos:notation', 'skos:inScheme')} AND s IN (SELECT id FROM card) AND (o_lang = '' OR starts_with(lower(o_lang), 'en'))""")
+on_thesaurus("v7_metadata_view", lambda own: own.metadata("en"), f""",
+model AS (SELECT min(id) AS id FROM (SELECT s AS id FROM t WHERE p = {_q('rdf:type')} AND o = {_q('skos:ConceptScheme')} UNION SELECT o FROM t WHERE p = {_q('skos:inScheme')})),
+shown AS (
+  SELECT 0 AS rank, 'uri' AS name, id AS text, id AS link FROM model UNION ALL SELECT 1, 'label', label, NULL FROM labelled SEMI JOIN model USING (id)
+  UNION ALL SELECT 2, 'preferred label', o, NULL FROM t JOIN model ON s = id WHERE p = {_q('skos:prefLabel')} AND o_lang IN ('', 'en')
+  UNION ALL SELECT 2, CASE p WHEN {_q('skos:hasTopConcept')} THEN 'top concept' ELSE 'see also' END, label, o FROM t JOIN model ON s = model.id JOIN labelled ON labelled.id = o WHERE p IN {_in('skos:hasTopConcept', 'rdfs:seeAlso')}
+  UNION ALL SELECT 3, 'covers', o, NULL FROM t JOIN model ON s = id WHERE p = 'http://ex.org/o#covers' AND o_lang IN ('', 'en'))
+SELECT DISTINCT CAST(rank AS BIGINT) AS rank, name, text, link, coalesce(({_LIKELY.replace('url', 'link')}) AND starts_with(link, 'http'), false) AS is_visualizable FROM shown""")
+
+# Asked for are all classes that have a class above them, and as many addresses that nothing describes.
+on_triples("v4_resources", lambda t: views.resources_view(views.entity_cards(t, classify.entities(t)), patterns.match(t, p="rdfs:subClassOf").select(F.explode(F.array("s", F.concat("s", F.lit("/none")))).alias("uri"))), ENTITIES + _labels_sql("en") + f""",
+wanted AS (SELECT DISTINCT unnest([s, s || '/none']) AS uri FROM t WHERE p = {_q('rdfs:subClassOf')}),
+old AS (SELECT DISTINCT s AS id FROM t WHERE p = {_q('owl:deprecated')} OR (p = {_q('rdf:type')} AND o = {_q('owl:DeprecatedClass')}))
+SELECT uri, 'id_' || md5(id) || '_' || cls AS anchor_id, cls, CASE WHEN id IS NOT NULL THEN coalesce(label, {_CLEAN.format('id')}) END AS label, CASE WHEN id IS NOT NULL THEN id IN (SELECT id FROM old) END AS is_deprecated,
+  CASE WHEN id IS NULL THEN 'Resource ' || uri || ' not found' END AS error FROM wanted LEFT JOIN (SELECT * FROM ent LEFT JOIN best USING (id) WHERE cls <> 'Literal') ON id = uri""")

@@ -261,22 +261,63 @@ def _specification() -> list[Line]:
     return out
 
 
+def _thesaurus() -> list[Line]:
+    """Collections, concepts and schemes, apart from the ontology: parts and documents are concepts, nations collections."""
+    k = "p_partkey"
+    out: list[Line] = []
+
+    def add(table, where, s, p, o, kind="iri", lang="''"):
+        out.append(Line(table, where, s, p, o, kind, lang))
+
+    concept, collection, scheme = (lambda x=k: named("concept", x)), (lambda x: named("collection", x)), (lambda x: named("scheme", x))
+    type_, other = const("rdf:type"), "'http://other.org/things#' || CAST(p_partkey AS STRING)"
+    add("part", f"{k} % 9 <> 4", concept(), type_, const("skos:Concept"))
+    add("part", f"{k} > 1 AND {k} % 4 <> 3", concept(), const("skos:broader"), concept(half(k, 2)))
+    add("part", f"{k} % 4 = 3", concept(half(k, 2)), const("skos:narrower"), concept())
+    add("part", f"{k} % 10 = 3", concept(), const("skos:related"), concept(f"{k} + 1"))
+    add("part", f"{k} % 5 <> 4", concept(), const("skos:prefLabel"), "p_name", "literal", "'en'")
+    add("part", f"{k} % 3 = 0", concept(), const("skos:prefLabel"), "p_brand", "literal", "'de'")
+    add("part", f"{k} % 7 = 1", concept(), const("skos:altLabel"), "p_type", "literal", "'en-GB'")
+    add("part", f"{k} % 4 <> 1", concept(), const("skos:definition"), "p_type", "literal", "'en'")
+    add("part", f"{k} % 6 = 0", concept(), const("skos:definition"), "p_brand", "literal", "'de'")
+    add("part", f"{k} % 8 = 1", concept(), const("skos:definition"), "p_name", "literal")
+    add("part", f"{k} % 13 = 0", concept(), const("skos:notation"), text(k), "literal")
+    for rest, (p, o) in enumerate((("skos:exactMatch", other), ("skos:closeMatch", concept(f"{k} + 1")), ("skos:broadMatch", other), ("skos:narrowMatch", concept(f"{k} + 5")), ("skos:relatedMatch", other))):
+        add("part", f"{k} % 12 = {rest}", concept(), const(p), o)
+    add("part", "true", concept(), const("skos:inScheme"), scheme(f"{k} % 5"))
+    add("documents", "true", concept("'d' || CAST(doc_id AS STRING)"), type_, const("skos:Concept"))
+    add("documents", "true", concept("'d' || CAST(doc_id AS STRING)"), const("skos:definition"), "source", "literal", "lang")
+    add("documents", "true", collection("0"), const("skos:member"), concept("'d' || CAST(doc_id AS STRING)"))
+    add("region", "true", scheme("r_regionkey"), type_, const("skos:ConceptScheme"))
+    add("region", "true", scheme("r_regionkey"), const("skos:prefLabel"), "r_name", "literal", "'en'")
+    add("region", "true", scheme("r_regionkey"), const("skos:hasTopConcept"), concept("r_regionkey + 1"))
+    add("region", "true", scheme("r_regionkey"), const("rdfs:seeAlso"), "'https://w3id.org/about/' || r_name")
+    add("nation", "true", scheme("n_regionkey"), term("covers"), "n_name", "literal", "CASE WHEN n_nationkey % 2 = 0 THEN 'en' ELSE 'fr' END")
+    add("nation", "n_nationkey % 5 <> 0", collection("n_nationkey"), type_, const("skos:Collection"))
+    add("nation", "n_nationkey % 5 = 0", collection("n_nationkey"), type_, const("skos:OrderedCollection"))
+    add("nation", "n_nationkey % 5 = 1", collection("n_nationkey"), const("skos:member"), collection("n_nationkey + 1"))
+    add("nation", "true", collection("n_nationkey"), const("skos:prefLabel"), "n_name", "literal", "'en'")
+    add("supplier", "true", collection("s_nationkey"), const("skos:member"), concept("s_suppkey"))
+    return out
+
+
 SPECIFICATION = _specification()
+THESAURUS = _thesaurus()
 
 
-def _chosen(predicates: list[str] | None) -> list[Line]:
+def _chosen(predicates: list[str] | None, specification: list[Line] | None = None) -> list[Line]:
     wanted = None if predicates is None else {f"'{iri(p)}'" for p in predicates}
-    return [x for x in SPECIFICATION if (wanted is None or x.p in wanted or ("||" in x.p and any(w.startswith(x.p.split("' ||")[0]) for w in wanted)))]
+    return [x for x in (SPECIFICATION if specification is None else specification) if (wanted is None or x.p in wanted or ("||" in x.p and any(w.startswith(x.p.split("' ||")[0]) for w in wanted)))]
 
 
 def _kind(s: str) -> str:
     return "'bnode'" if s.startswith("'_:") else "'iri'"
 
 
-def lift(spark: SparkSession, sf_dir: str, predicates: list[str] | None = None) -> DataFrame:
+def lift(spark: SparkSession, sf_dir: str, predicates: list[str] | None = None, specification: list[Line] | None = None) -> DataFrame:
     """Triples of the tables in ``sf_dir``: s, s_kind, p, o, o_kind, o_lang, o_dt (empty: none)."""
     parts = []
-    lines = _chosen(predicates)
+    lines = _chosen(predicates, specification)
     groups: dict[str, list[Line]] = {}
     for line in lines:
         groups.setdefault(line.table, []).append(line)
@@ -287,7 +328,7 @@ def lift(spark: SparkSession, sf_dir: str, predicates: list[str] | None = None)
     return reduce(DataFrame.unionByName, parts)
 
 
-def lift_sql(predicates: list[str] | None = None) -> str:
+def lift_sql(predicates: list[str] | None = None, specification: list[Line] | None = None) -> str:
     """The same triples as plain SQL."""
-    lines = [f"SELECT {x.s} AS s, {_kind(x.s)} AS s_kind, {x.p} AS p, {x.o} AS o, '{x.kind}' AS o_kind, {x.lang} AS o_lang, '' AS o_dt FROM {x.table} WHERE {x.where}" for x in _chosen(predicates)]
+    lines = [f"SELECT {x.s} AS s, {_kind(x.s)} AS s_kind, {x.p} AS p, {x.o} AS o, '{x.kind}' AS o_kind, {x.lang} AS o_lang, '' AS o_dt FROM {x.table} WHERE {x.where}" for x in _chosen(predicates, specification)]
     return " UNION ALL ".join(lines)

@@ -15,16 +15,18 @@ from ..operators.patterns import of_class
 from ..sinks.serialize import serialized
 from ..sources import imports as modules
 from ..sources import parse
+from ..sources.namespaces import read_namespaces
 from ..sources.validate import ArtefactLoadError
-from . import cards, values, views
+from . import cards, skos, values, views
 
 
 class Ontology:
     """An artefact, or many, read as ``owl``, ``rdf`` or ``skos``. Every property is a DataFrame, built when asked for."""
 
-    def __init__(self, triples: DataFrame, dialect: str = "owl", warnings: bool = False):
+    def __init__(self, triples: DataFrame, dialect: str = "owl", warnings: bool = False, namespaces: DataFrame | None = None):
+        """``namespaces``: prefix and uri as the artefact declares them, for its metadata."""
         rules.rules(dialect)  # an unknown dialect is an error here
-        self.dialect, self.with_warnings = dialect.lower(), warnings
+        self.dialect, self.with_warnings, self.namespaces = dialect.lower(), warnings, namespaces
         self.triples = materialize(triples.select("s", "s_kind", "p", "o", "o_kind", "o_lang", "o_dt").dropDuplicates())
 
     @classmethod
@@ -34,6 +36,7 @@ class Ontology:
         ``catalogue`` (model and triples) holds what imports refer to; with both flags the closure comes
         first, then one level more.
         """
+        namespaces = None
         if source.startswith(("http://", "https://")):
             from ..sources.fetch import fetch
 
@@ -44,12 +47,13 @@ class Ontology:
             if triples.isEmpty():
                 reason = parse.unreadable(read).first()
                 raise ArtefactLoadError(reason["reason"] if reason else "Empty artefact", path=source)
+            namespaces = read_namespaces(spark, source).groupBy("prefix").agg(F.min("uri").alias("uri"))
         triples = triples.drop("doc")
         if catalogue is not None:
             for wanted, closed in ((closure, True), (imported, False)):
                 if wanted:
                     triples = modules.with_imports(triples, catalogue, closed=closed)
-        return cls(triples, dialect, warnings)
+        return cls(triples, dialect, warnings, namespaces)
 
     @cached_property
     def lists(self) -> DataFrame:
@@ -137,6 +141,27 @@ class Ontology:
     def view(self, language: str | None = "en") -> DataFrame:
         return views.grouped_view(self.cards(language or "en"), self.dialect)
 
+    def resources(self, asked: DataFrame, language: str = "en") -> DataFrame:
+        """Cards of the resources ``asked`` for (uri); those that aren't there have an error instead."""
+        return views.resources_view(self.cards(language), asked)
+
+    def labels(self, language: str | None = "en") -> DataFrame:
+        """id, label of all entities."""
+        return views.best_labels(self.triples, self.entities, language or "en")
+
+    def metadata(self, language: str | None = None) -> DataFrame:
+        """rank, name, text, link, is_visualizable of the first model: values, statements and prefixes."""
+        return views.metadata_view(self.entities, self.relations(language), self.statements, self.labels(language), language, self.namespaces)
+
+    def concept_cards(self, language: str | None = "en") -> DataFrame:
+        return skos.concept_cards(self.entities, self.values, self.labels(language), language)
+
+    def semantic_sections(self, language: str | None = "en") -> DataFrame:
+        return skos.semantic_sections(self.entities, self.values, self.labels(language))
+
+    def other_relations(self, language: str | None = None) -> DataFrame:
+        return skos.other_relations(self.entities, self.values, language)
+
     def relations(self, language: str | None = "en") -> DataFrame:
         """id, rank, name, ord, text, link, lang, kind, is_deprecated: what cards show, see ``cards.relations``."""
         texts = views.restriction_texts(self.triples, self.lists)

@@ -71,10 +71,39 @@ def grouped_view(cards: DataFrame, dialect: str = "owl") -> DataFrame:
 
 
 def resource_view(cards: DataFrame, uri: str) -> DataFrame:
-    """The cards of one resource; empty if it isn't there."""
+    """The cards of one resource; empty if it isn't there (``resources_view`` says so in a row)."""
     return cards.where(F.col("uri") == uri)
 
 
+def resources_view(cards: DataFrame, asked: DataFrame) -> DataFrame:
+    """The cards of all resources that are ``asked`` for (uri), with an error in place of a card for those that aren't there."""
+    rows = asked.select("uri").distinct().join(cards.withColumn("_is_there", F.lit(True)), "uri", "left")
+    missing = F.col("_is_there").isNull()
+    return rows.withColumn("error", F.when(missing, F.concat(F.lit("Resource "), F.coalesce("uri", F.lit("")), F.lit(" not found")))).drop("_is_there")
+
+
+def metadata_view(found: DataFrame, shown: DataFrame, stated: DataFrame, labels: DataFrame, language: str | None = None, namespaces: DataFrame | None = None) -> DataFrame:
+    """rank, name, text, link, is_visualizable of the first model by IRI; empty if there is none.
+
+    By rank: its address, its label, what its card shows (``shown``: relations without labels), what statements say about
+    it (``stated``: s, p, o, o_lang; under the predicate's name, with those of the same name merged) and the declared
+    prefixes. Links that look like ontologies can be shown as such.
+    """
+    first = F.broadcast(found.where("cls = 'Model'").agg(F.min("id").alias("id")).where("id is not null"))
+    none = F.lit(None).cast("string")
+    row = lambda rank, name, text, link: [F.lit(rank).alias("rank"), name.alias("name"), text.alias("text"), link.alias("link")]
+    out = first.select(*row(0, F.lit("uri"), F.col("id"), F.col("id")))
+    out = out.unionByName(first.join(labels, "id").select(*row(1, F.lit("label"), F.col("label"), none)))
+    out = out.unionByName(shown.where("name <> 'label'").join(first, "id").select(*row(2, F.col("name"), F.col("text"), F.col("link"))))
+    about = in_language(stated.withColumnRenamed("o_lang", "lang"), language).join(first, F.col("s") == F.col("id"), "left_semi")
+    target = labels.join(found.where("cls <> 'Literal'").select("id"), "id", "left_semi").distinct().select(F.col("id").alias("o"), "label")
+    out = out.unionByName(about.join(target, "o", "left").select(*row(3, clean_name(local_name(F.col("p"))), F.coalesce("label", "o"), F.when(F.col("label").isNotNull(), F.col("o")))))
+    if namespaces is not None:
+        prefix = F.when(F.col("prefix") == "", F.lit("default namespace")).otherwise(F.col("prefix"))
+        out = out.unionByName(namespaces.withColumn("_one", F.lit(1)).join(first.select(F.lit(1).alias("_one")), "_one", "left_semi").select(*row(4, prefix, F.col("uri"), F.col("uri"))))
+    return out.where("text <> ''").distinct().withColumn("is_visualizable", F.coalesce(likely_ontology(F.col("link")), F.lit(False)))
+
+
 def ontology_metadata(triples: DataFrame) -> DataFrame:
     """attr, v of the first model (by IRI)."""
     models = match(triples, p="rdf:type").where(F.col("o").isin(iri("owl:Ontology"), iri("skos:ConceptScheme"))).select("s")

@@ -167,6 +167,11 @@ skos:scopeNote | predicate | Resource | | | has_scope_note=Literal
 skos:broader | predicate | Concept | Concept | | is_sub_concept_of=Concept
 skos:narrower | predicate | Concept | Concept | narrower
 skos:related | predicate | Concept | Concept | symmetric:is_related_to
+skos:broadMatch | predicate | Concept | Concept | | has_broad_match=Concept
+skos:narrowMatch | predicate | Concept | Concept | | has_narrow_match=Concept
+skos:exactMatch | predicate | Concept | Concept | | has_exact_match=Concept
+skos:closeMatch | predicate | Concept | Concept | | has_close_match=Concept
+skos:relatedMatch | predicate | Concept | Concept | | has_related_match=Concept
 skos:inScheme | predicate | Resource | | | is_included_in=Model
 skos:hasTopConcept | predicate | Model | Model | | has_top_concept=Concept
 skos:member | predicate | Collection | Collection | | has_member=Resource
