@@ -48,7 +48,11 @@ class Ontology:
                 reason = parse.unreadable(read).first()
                 raise ArtefactLoadError(reason["reason"] if reason else "Empty artefact", path=source)
             namespaces = read_namespaces(spark, source).groupBy("prefix").agg(F.min("uri").alias("uri"))
-        triples = triples.drop("doc")
+        return cls.over(triples.drop("doc"), dialect, imported, closure, catalogue, warnings, namespaces)
+
+    @classmethod
+    def over(cls, triples: DataFrame, dialect: str = "owl", imported: bool = False, closure: bool = False, catalogue: DataFrame | None = None, warnings: bool = False, namespaces: DataFrame | None = None) -> Ontology:
+        """Triples that are there already, with what they import from the ``catalogue``."""
         if catalogue is not None:
             for wanted, closed in ((closure, True), (imported, False)):
                 if wanted:

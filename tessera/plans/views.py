@@ -10,6 +10,7 @@ from ..operators.closure import closure, materialize
 from ..operators.ordering import numbered, spanning_forest
 from ..operators.patterns import match, with_predicates
 from ..operators.populate import cardinalities, facets, has_values, list_values, on_property, quantifiers, truth_functions
+from ..rules import PARENTS
 from ..vocab import iri
 
 # Table of contents of each dialect's view.
@@ -48,9 +49,14 @@ def link_anchors(cards: DataFrame) -> DataFrame:
     return cards.groupBy("uri").agg(F.min(F.struct("cls", "anchor_id")).alias("m")).select("uri", "m.anchor_id")
 
 
+def contents(dialect: str) -> list[str]:
+    """The sections of a dialect's view; a dialect of one's own has all classes but literals."""
+    return SECTIONS.get(dialect) or sorted(c for c in PARENTS if c != "Literal")
+
+
 def section_counts(found: DataFrame, dialect: str = "owl") -> DataFrame:
     """section, n in the order of the dialect's table of contents; empty sections are left out."""
-    return found.where(F.col("cls").isin(SECTIONS[dialect])).groupBy(F.col("cls").alias("section")).agg(F.count("*").alias("n"))
+    return found.where(F.col("cls").isin(contents(dialect))).groupBy(F.col("cls").alias("section")).agg(F.count("*").alias("n"))
 
 
 def deprecated(triples: DataFrame) -> DataFrame:
@@ -67,7 +73,7 @@ def entity_cards(triples: DataFrame, found: DataFrame, language: str = "en") ->
 
 def grouped_view(cards: DataFrame, dialect: str = "owl") -> DataFrame:
     """section and its cards, sorted by label; a section's cards are rows that a site writer can split further."""
-    return cards.where(F.col("cls").isin(SECTIONS[dialect])).select(F.col("cls").alias("section"), *cards.columns).orderBy("section", F.lower(F.coalesce("label", "uri")), "uri")
+    return cards.where(F.col("cls").isin(contents(dialect))).select(F.col("cls").alias("section"), *cards.columns).orderBy("section", F.lower(F.coalesce("label", "uri")), "uri")
 
 
 def resource_view(cards: DataFrame, uri: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import json
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -179,6 +180,8 @@ skos:member | predicate | Collection | Collection | | has_member=Resource
 
 ENRICHERS = {"owl:AllDisjointClasses": "is_disjoint_with", "owl:AllDifferent": "is_different_from", "owl:AllDisjointProperties": "is_disjoint_with", "swrl:Imp": "rule"}
 DIALECTS = {"owl": OWL_RULES, "rdf": RDF_RULES, "skos": SKOS_RULES}
+#: Dialects that were read from files.
+ADDED: dict[str, dict] = {}
 
 
 # What operators know how to do with a predicate or type; ``symmetric``, ``truth`` and ``cardinality`` take an argument.
@@ -212,29 +215,105 @@ def is_sub(a: str, b: str) -> bool:
     return b in lattice()[a]
 
 
+def merged(base: dict, override: dict) -> dict:
+    """Maps go together key by key, at any depth; lists and plain values are replaced, by empty ones too. What an
+    override says about itself (``name``, ``inherits``) isn't taken over."""
+    out = dict(base)
+    for key, value in override.items():
+        if key in ("name", "inherits"):
+            continue
+        before = out.get(key)
+        out[key] = merged(before, value) if isinstance(before, dict) and isinstance(value, dict) else value
+    return out
+
+
+def _table(text: str) -> dict[str, dict]:
+    """A table as configuration: what is empty is not said, and so inherited."""
+    out = {}
+    for line in text.strip().splitlines():
+        name, kind, targets, inferred, handler, setters = ([f.strip() for f in line.split("|")] + [""] * 5)[:6]
+        said = {"targets": [t.strip() for t in targets.split(",") if t.strip()], "inferred": inferred, "handler": handler, "setters": [dict([x.strip().split("=")]) for x in setters.split(",") if x.strip()]}
+        out[name] = {"is": kind, **{k: v for k, v in said.items() if v}}
+    return out
+
+
+def config(dialect: str) -> dict:
+    """Namespaces and mapper of a dialect as a nested map, which ``merged`` can go on from.
+
+    Raises ValueError for a dialect that isn't there.
+    """
+    name = dialect.lower()
+    if name in ADDED:
+        return ADDED[name]
+    if name not in DIALECTS:
+        raise ValueError(f"no dialect {dialect!r}; there are {sorted({*DIALECTS, *ADDED})}")
+    return {"namespaces": [PREFIXES[p] for p in DIALECT_NAMESPACES[name]], "mapper": merged(_table(BASE_RULES), _table(DIALECTS[name]))}
+
+
+def _setter(entry: dict | str) -> tuple[str, str]:
+    """``{set_has_label: Literal}`` -> (has_label, Literal); a name alone takes any resource."""
+    (name, value), *_ = entry.items() if isinstance(entry, dict) else [(entry, "Resource")]
+    return name.removeprefix("set_"), str(value)
+
+
+def _rule(place: int, name: str, said: dict) -> Rule:
+    targets = said.get("targets") or said.get("target_classes") or [c for c in [said.get("target_class")] if c]
+    inferred, handler = said.get("inferred", said.get("inferred_class")) or None, said.get("handler") or None
+    for c in [*targets, *([inferred] if inferred else [])]:
+        PARENTS[c]  # an unknown class is an error in the table
+    if handler and handler.split(":")[0] not in HANDLERS:
+        raise ValueError(f"no handler {handler!r} for {name}")
+    return Rule(place, iri(name), said["is"], list(targets), inferred, handler, dict(map(_setter, said.get("setters") or [])))
+
+
+def _rules(mapper: dict[str, dict]) -> tuple[Rule, ...]:
+    """The rules of a mapper in its order; an entry that is neither class nor predicate rules nothing."""
+    return tuple(_rule(k, name, said) for k, (name, said) in enumerate(mapper.items()) if said.get("is"))
+
+
 @functools.cache
 def rules(dialect: str) -> tuple[Rule, ...]:
     """Base and dialect rules merged by name: a name keeps its base position, the dialect's fields win.
 
     Raises ValueError for a dialect or handler that isn't there and KeyError for an unknown entity class.
     """
-    if dialect.lower() not in DIALECTS:
-        raise ValueError(f"no dialect {dialect!r}; there are {sorted(DIALECTS)}")
-    merged: dict[str, list[str]] = {}
-    for table in (BASE_RULES, DIALECTS[dialect.lower()]):
-        for line in table.strip().splitlines():
-            name, kind, targets, inferred, handler, setters = ([f.strip() for f in line.split("|")] + [""] * 5)[:6]
-            before = merged.get(name, [kind, "", "", "", ""])
-            merged[name] = [kind, *(new or old for new, old in zip((targets, inferred, handler, setters), before[1:]))]
-    out = []
-    for ord_, (name, (kind, targets, inferred, handler, setters)) in enumerate(merged.items()):
-        classes = [t.strip() for t in targets.split(",") if t.strip()]
-        for c in [*classes, *([inferred] if inferred else [])]:
-            PARENTS[c]  # an unknown class is an error in the table
-        if handler and handler.split(":")[0] not in HANDLERS:
-            raise ValueError(f"no handler {handler!r} for {name}")
-        out.append(Rule(ord_, iri(name), kind, classes, inferred or None, handler or None, dict(s.strip().split("=") for s in setters.split(",") if s.strip())))
-    return tuple(out)
+    return _rules(config(dialect)["mapper"])
+
+
+def read_config(path: str) -> dict:
+    """A rule file: JSON, or YAML where its library is there. Raises ValueError for what is no map."""
+    with open(path, encoding="utf-8") as file:
+        text = file.read()
+    if path.lower().endswith((".yaml", ".yml")):
+        import yaml
+
+        found = yaml.safe_load(text)
+    else:
+        found = json.loads(text)
+    if not isinstance(found, dict):
+        raise ValueError(f"{path} is no map of rules")
+    return found
+
+
+def add_dialect(name: str, *paths: str, like: str | None = None) -> tuple[Rule, ...]:
+    """Rules from files, each merged onto those before it and the first onto the dialect ``like``, if there is one.
+
+    The new dialect is read like any other; a name that is there already (its own name as ``like``, say) is replaced
+    until ``remove_dialect``. Errors of the files are raised here, and nothing is added then.
+    """
+    made = config(like) if like else {"namespaces": [], "mapper": {}}
+    for path in paths:
+        made = merged(made, read_config(path))
+    made = {"namespaces": list(made.get("namespaces") or []), "mapper": made.get("mapper") or {}}
+    out = _rules(made["mapper"])
+    ADDED[name.lower()] = made
+    rules.cache_clear()
+    return out
+
+
+def remove_dialect(name: str) -> None:
+    ADDED.pop(name.lower(), None)
+    rules.cache_clear()
 
 
 def predicate_rules(dialect: str = "owl") -> list[Rule]:
@@ -246,7 +325,7 @@ def type_rules(dialect: str = "owl") -> list[Rule]:
 
 
 def namespaces(dialect: str) -> list[str]:
-    return [PREFIXES[p] for p in DIALECT_NAMESPACES[dialect.lower()]]
+    return config(dialect)["namespaces"]
 
 
 # Rule tables as frames; they are of fixed size, whatever the data.

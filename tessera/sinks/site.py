@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import slug
-from ..plans.views import SECTIONS
+from ..plans.views import contents
 
 STYLE = "body{font:16px sans-serif;max-width:60em;margin:2em auto}table{border-collapse:collapse}td{padding:.2em .8em;border-bottom:1px solid #ddd}.deprecated{text-decoration:line-through}"
 
@@ -55,7 +55,7 @@ def write_site(cards: DataFrame, values: DataFrame, out: str, dialect: str = "ow
     by: dict[str, list[str]] = {}
     for r in entries.toLocalIterator():
         by.setdefault(r["section"], []).append(f"<li><a href='{html.escape(r['href'], True)}'>{html.escape(r['label'])}</a></li>")
-    for section in SECTIONS[dialect]:
+    for section in contents(dialect):
         if section in by:
             index.append(f"<h2>{section} ({len(by[section])})</h2><ul>{''.join(by[section])}</ul>")
     (root / "index.html").write_text("".join(index), encoding="utf-8")

@@ -39,6 +39,19 @@ def listing(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     return files.select(F.col("path").alias("name"), F.col("length").alias("size"), F.unix_seconds("modificationTime").alias("mtime"))
 
 
+def tokens(spark: SparkSession, root: str) -> DataFrame:
+    """name, size, mtime of what the spool keeps: a token's files together, as old as the newest of them."""
+    token = F.regexp_extract("name", "/([^/]+)/[^/]*$", 1)
+    return listing(spark, root, "*.parquet").groupBy(token.alias("name")).agg(F.sum("size").alias("size"), F.max("mtime").alias("mtime"))
+
+
+def forget(spark: SparkSession, root: str, names: list[str]) -> None:
+    """Deletes what is kept under these tokens, where there is anything."""
+    for name in names:
+        path = spark._jvm.org.apache.hadoop.fs.Path(upload_path(root, name))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def kept(files: DataFrame, now: int, ttl: int = TTL, budget: int = BUDGET, by: str | None = None) -> DataFrame:
     """Files (name, size, mtime) that stay: young enough, and newest first within the budget.
 
