@@ -629,3 +629,7 @@ wanted AS (SELECT DISTINCT unnest([s, s || '/none']) AS uri FROM t WHERE p = {_q
 old AS (SELECT DISTINCT s AS id FROM t WHERE p = {_q('owl:deprecated')} OR (p = {_q('rdf:type')} AND o = {_q('owl:DeprecatedClass')}))
 SELECT uri, 'id_' || md5(id) || '_' || cls AS anchor_id, cls, CASE WHEN id IS NOT NULL THEN coalesce(label, {_CLEAN.format('id')}) END AS label, CASE WHEN id IS NOT NULL THEN id IN (SELECT id FROM old) END AS is_deprecated,
   CASE WHEN id IS NULL THEN 'Resource ' || uri || ' not found' END AS error FROM wanted LEFT JOIN (SELECT * FROM ent LEFT JOIN best USING (id) WHERE cls <> 'Literal') ON id = uri""")
+
+# The same over all entities, not what types alone give.
+on_triples("g5_individual_types", lambda t: axioms.default_types(t, classify.entities(t).where("cls = 'Individual'").select("id")), ENTITIES + f" SELECT DISTINCT id, {_q('owl:Thing')} AS type FROM ent WHERE cls = 'Individual' AND id NOT IN (SELECT s FROM t WHERE p = {_q('rdf:type')} AND NOT ({_STRUCTURAL}))")
+on_triples("v21_entity_anchors", lambda t: views.link_anchors(views.entity_cards(t, classify.entities(t))), ENTITIES + " SELECT id AS uri, 'id_' || md5(id) || '_' || min(cls) AS anchor_id FROM ent WHERE cls <> 'Literal' GROUP BY id")
