@@ -81,6 +81,10 @@ def splitter(tokenizer) -> tuple:
     return whole, ""
 
 
+# The one normalizer, besides none, that ``word_spelling`` stands in for.
+SPACED_LOWER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+
+
 def word_spelling(tokenizer):
     """How Latin text is spelt to the model, or None: functions that lower its case (or don't), that find its words
     and that write a word as the model knows it; and the model, which remembers nothing itself.
@@ -95,14 +99,14 @@ def word_spelling(tokenizer):
 
     told = json.loads(tokenizer.to_str())
     steps = lambda part, inner: [] if part is None else part[inner] if part["type"] == "Sequence" else [part]
-    changes = [x["type"] for x in steps(told["normalizer"], "normalizers")]
+    changes = steps(told["normalizer"], "normalizers")
     *cuts, last = steps(told["pre_tokenizer"], "pretokenizers") or [{}]
     byte_level = last.get("type") == "ByteLevel" and not last["add_prefix_space"]
     if not byte_level or told["model"]["type"] != "BPE" or told["model"]["dropout"]:
         return None
     if not changes and not cuts and last["use_regex"]:
         lower, pattern = False, BYTE_LEVEL_WORDS
-    elif changes == ["NFC", "Replace", "Lowercase"] and len(cuts) == 1 and not last["use_regex"] and cuts[0].get("behavior") == "Removed" and cuts[0]["invert"]:
+    elif changes == SPACED_LOWER and len(cuts) == 1 and not last["use_regex"] and cuts[0].get("behavior") == "Removed" and cuts[0]["invert"]:
         lower, pattern = True, cuts[0]["pattern"]["Regex"]
     else:
         return None
