@@ -27,14 +27,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each group of near-duplicates (0.8 of their five-word shingles) the document with the smallest id stays.
 
     Candidates are found by SimHash, and by an exact join for pairs whose fingerprints lie too far apart; all are
-    verified. Texts without words, or null, are copies of each other; null ids come last. Rows are told apart by id and text. Of rows that repeat both one stays; their texts are only dealt out
-    where there are such rows.
+    verified. Texts without words, or null, are copies of each other; null ids come last. Rows are told apart by a hash of id and text; of rows that repeat both, compared as they are, one
+    stays, and their texts are only dealt out where hashes repeat. Other columns stay as they are.
     """
     own = free_name(docs, "row_key")
     keep = similar.near_duplicates(docs).withColumnRenamed("rk", own)
     kept = docs.withColumn(own, similar.keyed(docs)).join(keep, own, "left_semi")
     repeated = kept.groupBy(own).agg(F.count("*").alias("n")).where("n > 1").limit(1)
-    return (kept if repeated.isEmpty() else kept.dropDuplicates([own])).select(*docs.columns)
+    return (kept if repeated.isEmpty() else kept.dropDuplicates([own, "doc_id", "text"])).select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
