@@ -1,7 +1,7 @@
 """Hard negatives by threshold joins with an inverted index, in the manner of L2AP.
 
-Rows are packed into chunks, anchors into blocks; each block meets each chunk once a round, in a join that is dealt out
-by block and salt. Where they meet, a chunk's inverted index has, for each dimension, the rows that still matter there:
+Rows are packed into chunks, anchors into blocks; each block meets each chunk once a round, where the chunk lies, as a
+block of bounded size goes to all of them. Where they meet, a chunk's inverted index has, for each dimension, the rows that still matter there:
 a row's last dimensions are left out as soon as their norm says that they alone can't reach the threshold. Partial
 scores are accumulated along the lists; a pair goes when what is left of both norms can't lift it to the threshold, and
 what remains is finished on the dimensions that were left out. Thresholds are high in the first round and lowered, round
@@ -31,6 +31,10 @@ SHARES, WINDOW_SHARES = (0.7, 0.45, 0.2), (0.75, 0.4)
 MOST = 1 << 27
 #: Pairs that wait in a task before they are reduced to the best of each list.
 WAITING = 1 << 20
+#: Pairs whose numbers are looked up and multiplied at a time, and blocks that go to all tasks in one job.
+LOOKED_UP, AT_ONCE = 1 << 16, 8
+#: What tasks tell of their lists.
+FOUND = "block int, pos int, rank int, score long, id long"
 
 
 class Chunk:
@@ -104,7 +108,7 @@ def above(chunk: Chunk, anchors: np.ndarray, least: np.ndarray) -> tuple[np.ndar
         found = [np.nonzero(np.zeros((len(queries), len(values))) >= bound[:, None])]
     a, r = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int))
     r = rank[r]
-    scores = np.concatenate([np.einsum("ij,ij->i", anchors[a[i : i + WAITING]], chunk.whole[r[i : i + WAITING]]) for i in range(0, len(a), WAITING)] or [np.zeros(0, np.int64)])
+    scores = np.concatenate([np.einsum("ij,ij->i", anchors[a[i : i + LOOKED_UP]], chunk.whole[r[i : i + LOOKED_UP]]) for i in range(0, len(a), LOOKED_UP)] or [np.zeros(0, np.int64)])
     keep = scores >= least[a]
     return a[keep], r[keep], scores[keep]
 
@@ -222,32 +226,44 @@ class Lists:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), block, np.int32)), pa.array(self.pos[at].astype(np.int32)), pa.array(self.rank[at].astype(np.int32)), pa.array(score), pa.array(ident)], ["block", "pos", "rank", "score", "id"])
 
 
-def _round(chunks: DataFrame, blocks: DataFrame, lists: DataFrame, same: bool, most: int) -> DataFrame:
-    """block, pos, rank, score, id: the first ``most`` rows of each list (block, pos, rank, lo, hi, least)."""
-    salts = partitions(chunks.sparkSession)
-    asked = lists.groupBy("block").agg(F.collect_list(F.struct("pos", "rank", "lo", "hi", "least")).alias("lists"))
-    numbers = [r["block"] for r in asked.select("block").collect()]  # one number for each 16,384 anchors
-    left = chunks.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int")).withColumn("block", F.explode(F.lit(numbers).cast("array<int>")))
-    right = blocks.join(asked, "block").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+def _round(chunks: DataFrame, asked: DataFrame, number: int, same: bool, most: int) -> DataFrame:
+    """block, pos, rank, score, id: what tasks find for the lists of block ``number`` of ``asked``, the first ``most`` of each in a task.
+
+    Chunks stay where they lie, and the block, whose size is bounded, goes to all of them.
+    """
     own, other = ["block", "anchors", "own_labels", "own_numbers", "lists"], ["ids", "labels", "dims", "numbers"]
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, None
+        held = None
         for batch in batches:
             for k in range(batch.num_rows):
-                number = batch.column(0)[k].as_py()
-                if number != now:
-                    if held:
-                        yield held.told(now)
-                    now, held = number, Lists({n: batch.column(i)[k].as_py() for i, n in enumerate(own)}, same, most)
+                if held is None:
+                    held = Lists({n: batch.column(i)[k].as_py() for i, n in enumerate(own)}, same, most)
                 ids, labels, dims, values = (np.frombuffer(batch.column(len(own) + i)[k].as_py(), kind) for i, kind in enumerate((np.int64, np.int64, np.int32, np.int32)))
                 held.meet(Chunk(ids, labels, values.reshape(len(ids), len(dims)).astype(np.int64), dims))
         if held:
-            yield held.told(now)
+            yield held.told(number)
+
+    met = chunks.crossJoin(F.broadcast(asked.where(F.col("block") == number).select(*own)))
+    return met.select(*own, *other).mapInArrow(meet, FOUND)
 
-    found = left.join(right, ["block", "salt"]).select(*own, *other).mapInArrow(meet, "block int, pos int, rank int, score long, id long")
+
+def _rounds(chunks: DataFrame, blocks: DataFrame, lists: DataFrame, same: bool, most: int, scratch: Scratch, name: str) -> DataFrame:
+    """block, pos, rank, score, id, place: the first ``most`` rows of each list (block, pos, rank, lo, hi, least), written.
+
+    Blocks go ``AT_ONCE`` by job, so what is sent to all tasks doesn't grow with anchors.
+    """
+    asked = lists.groupBy("block").agg(F.collect_list(F.struct("pos", "rank", "lo", "hi", "least")).alias("lists"))
+    asked = scratch.save(blocks.join(asked, "block"), f"{name}-asked", ["block"])
+    numbers = sorted(r["block"] for r in asked.select("block").collect())  # one number for each 16,384 anchors
     place = F.row_number().over(Window.partitionBy("block", "pos", "rank").orderBy(F.desc("score"), "id"))
-    return found.withColumn("place", place).where(F.col("place") <= most)
+    none = chunks.sparkSession.createDataFrame([], FOUND)
+    found = []
+    for start in range(0, max(1, len(numbers)), AT_ONCE):
+        told = _all([_round(chunks, asked, n, same, most) for n in numbers[start : start + AT_ONCE]] or [none])
+        found.append(scratch.save(told.withColumn("place", place).where(F.col("place") <= most), f"{name}-{start}"))
+    scratch.drop(f"{name}-asked")
+    return _all(found)
 
 
 def _filled(chunks: DataFrame, blocks: DataFrame, lists: DataFrame, steps: int, same: bool, most: int, scratch: Scratch, name: str) -> DataFrame:
@@ -256,7 +272,7 @@ def _filled(chunks: DataFrame, blocks: DataFrame, lists: DataFrame, steps: int,
     key, found = ["block", "pos", "rank"], []
     for step in range(steps + 1):
         least = F.col("lo").cast("double") if step == steps else F.greatest(F.col("lo").cast("double"), F.col("steps")[step])
-        got = scratch.save(_round(chunks, blocks, lists.withColumn("least", least), same, most), f"{name}-{step}")
+        got = _rounds(chunks, blocks, lists.withColumn("least", least), same, most, scratch, f"{name}-{step}")
         if step == steps:
             return _all([*found, got])
         full = got.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") >= most).select(*key)
@@ -291,7 +307,7 @@ def mine(rows: DataFrame, is_anchor: Column, positives: int = 5, negatives: int
     scratch = Scratch(spark)
     known = F.col(vec_id).isNotNull() & F.col(label).isNotNull() & usable(F.col(vector))
     shape = [F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("long").alias("label"), F.col(vector).alias("vector")]
-    chunks = scratch.save(_packed(rows.where(known).select(*shape), scale), "chunks")
+    chunks = scratch.save(_packed(rows.where(known).select(*shape), scale).repartition(partitions(spark)), "chunks")
     anchors = scratch.save(rows.where(known & is_anchor).select(*shape).distinct(), "anchors")
     n_blocks = -(-max(1, anchors.count()) // BLOCK)
     anchors = anchors.withColumn("block", F.pmod(F.xxhash64("vec_id", "label", "vector"), F.lit(n_blocks)).cast("int"))
